@@ -5,15 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import quality_rules, sentence_pieces, simhash_dedup, token_counts
 from .shared import read_table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.context_limits(token_counts.histogram(read_table(spark, sf_dir, "documents")))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(read_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_docs", "host_failed")
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.classes(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentence_pieces.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    decoded = sentence_pieces.decode(encoded.drop("text"))
+    listed = F.concat_ws(",", F.col("token_ids").cast("array<string>"))
+    return decoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded_text", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
+    "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_sentence_pieces": op9_sentence_pieces,
 }
