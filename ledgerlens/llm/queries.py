@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language_id, mixing, quality_rules, sentence_pieces, sharding, simhash_dedup, token_counts, toxicity
+from . import ann, language_id, mixing, quality_rules, sentence_pieces, sharding, simhash_dedup, suffix_dedup, token_counts, toxicity
 from .shared import read_table
 
 
@@ -38,16 +38,20 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.classes(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = sentence_pieces.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    decoded = sentence_pieces.decode(encoded.drop("text"))
-    listed = F.concat_ws(",", F.col("token_ids").cast("array<string>"))
-    return decoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded_text", 256).alias("decoded_sha256"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", sentence_pieces.round_trip(F.col("text")).alias("t"))
+    listed = F.concat_ws(",", F.col("t.token_ids").cast("array<string>"))
+    return docs.select("doc_id", F.size("t.token_ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("t.decoded_text", 256).alias("decoded_sha256"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +65,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_toxicity": op10_toxicity,
