@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from . import catalog_queries
+
+FLAGSHIP = "catalog_entries"
 QUERIES: dict = {}
 ORACLES: dict = {}
-FLAGSHIP = "catalog_entries"
+for _module in (catalog_queries,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
