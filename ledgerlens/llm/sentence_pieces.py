@@ -19,17 +19,20 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .shared import tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 MARKER = "▁"
-TABLE_LIMIT = 200_000
+TABLE_LIMIT = 100_000
+#: Documents whose ids are held at a time.
+SLICE = 256
 _CHUNK = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+")
 
 
@@ -71,8 +74,8 @@ def token_ids(text: Column, model: str = MODEL) -> Column:
     @pandas_udf(ArrayType(IntegerType()))
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = chunk_table(model)
-        for texts in batches:
-            yield pd.Series([table.encode(t) for t in texts], dtype="object")
+        for texts in sliced(batches):
+            yield pd.Series([np.array(table.encode(t), np.int32) for t in texts], dtype="object")
 
     return ids(text)
 
@@ -81,12 +84,32 @@ def decoded_text(ids: Column, model: str = MODEL) -> Column:
     @pandas_udf(StringType())
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = chunk_table(model)
-        for rows in batches:
+        for rows in sliced(batches):
             yield pd.Series([table.decode([] if r is None else r.tolist()) for r in rows], dtype="object")
 
     return texts(ids)
 
 
+def sliced(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield batch.iloc[at : at + SLICE]
+
+
+def round_trip(text: Column, model: str = MODEL) -> Column:
+    """token_ids and decoded_text in one pass, with one table of chunks and one Python process for a task."""
+
+    @pandas_udf(StructType([StructField("token_ids", ArrayType(IntegerType())), StructField("decoded_text", StringType())]))
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        table = chunk_table(model)
+        for texts in sliced(batches):
+            ids = [table.encode(t) for t in texts]
+            decoded = list(map(table.decode, ids))
+            yield pd.DataFrame({"token_ids": pd.Series([np.array(x, np.int32) for x in ids], dtype="object"), "decoded_text": decoded})
+
+    return both(text)
+
+
 def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", model: str = MODEL) -> DataFrame:
     """The documents with the ids of their whole texts."""
     return docs.withColumn(ids, token_ids(F.col(text), model))
