@@ -35,7 +35,7 @@ WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
 CHUNK_ROWS = 50_000
 FAN_IN = 64
-_OPEN = "uid long, source string, size long, whole int, p double, chunk long"
+_OPEN = "uid long, source string, size long, whole int, p double, chunk long, dice long"
 
 
 def word_count(text: Column) -> Column:
@@ -77,14 +77,14 @@ def pivot(a: float, p: float, b: float, q: float, u: float) -> tuple[float, floa
 
 
 def _round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by chunk and source; each such run leaves its last open row with its probability, all others end at 0 or 1."""
+    """Rows sorted by chunk, source and falling size; each such run leaves its last open row with its probability, all others end at 0 or 1."""
     from .shared import mix64
 
     here, held = None, None  # the run's key; its open row as [uid, source, size, whole, p, chunk]
     names = [x.split()[0] for x in _OPEN.split(", ")]
     for rows in batches:
         out = []
-        chance = (mix64(rows["uid"].to_numpy().astype("uint64") + 0x9E3779B97F4A7C15) >> 11).astype("float64") / float(1 << 53)
+        chance = (mix64(rows["dice"].to_numpy().astype("uint64") + 0x9E3779B97F4A7C15) >> 11).astype("float64") / float(1 << 53)
         for row, u in zip(rows[names].itertuples(index=False, name=None), chance.tolist(), strict=True):
             row = list(row)
             if (key := (row[5], row[1])) != here:
@@ -96,7 +96,7 @@ def _round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held[4], row[4] = pivot(held[2], held[4], row[2], row[4], u)
             ended = held[4] in (0.0, 1.0) or held[4] < 1e-12 or held[4] > 1 - 1e-12
             done, still = (held, row) if ended else (row, held)
-            out.append([*done[:4], float(round(done[4])), done[5]])
+            out.append([*done[:4], float(round(done[4])), *done[5:]])
             held = still
             if held[4] < 1e-12 or held[4] > 1 - 1e-12:
                 held[4] = float(round(held[4]))
@@ -122,14 +122,16 @@ def _round_copies(sized: DataFrame) -> DataFrame:
     aimed = sized.join(renamed, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
     aimed = aimed.withColumn("__rate", rate)
     whole, part = F.floor("__rate").cast("int"), F.col("__rate") - F.floor("__rate")
-    coin = F.shiftrightunsigned(F.xxhash64(F.lit(5), "uid"), 11) / float(1 << 53)
+    # All chance comes from the document, so that neither files nor partitions change the result.
+    dice = F.xxhash64(F.lit(5), "doc_id", "source", "size")
+    coin = F.shiftrightunsigned(dice, 11) / float(1 << 53)
     rows = sized.count()
     chunks = max(1, -(-rows // CHUNK_ROWS))
     chunk = F.pmod(F.xxhash64(F.coalesce("doc_id", "uid"), F.lit(3)), F.lit(chunks))
-    level = aimed.filter((F.col("size") > 0) & (part > 0)).select("uid", "source", "size", whole.alias("whole"), part.alias("p"), chunk.alias("chunk"))
+    level = aimed.filter((F.col("size") > 0) & (part > 0)).select("uid", "source", "size", whole.alias("whole"), part.alias("p"), chunk.alias("chunk"), dice.alias("dice"))
     parts, closed = int(spark.conf.get("spark.sql.shuffle.partitions")), None
     while True:
-        sorted_rows = level.repartition(parts, "chunk").sortWithinPartitions("chunk", "source", F.desc("size"), "uid")
+        sorted_rows = level.repartition(parts, "chunk").sortWithinPartitions("chunk", "source", F.desc("size"), "dice", "uid")
         out = staged(sorted_rows.mapInPandas(_round, _OPEN))
         done = out.filter(F.col("p").isin(0.0, 1.0))
         closed = done if closed is None else closed.unionByName(done)
