@@ -28,11 +28,11 @@ def _items(spark, d):
     """One item for each name and brand: id, key, n_lines, has_unit_price."""
     parts = table(spark, d, "part")
     return parts.groupBy(F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string")).alias("key")).agg(
-        F.min("p_partkey").alias("id"), F.count(F.lit(1)).alias("n_lines"), (F.max("p_retailprice") > 1000).alias("has_unit_price")
+        F.min("p_partkey").alias("id"), F.count(F.lit(1)).alias("n_lines"), (F.max("p_retailprice") > 950).alias("has_unit_price")
     )
 
 
-_ITEMS = """items AS (SELECT p_name || ' ' || p_type || ' ' || p_size AS key, min(p_partkey) AS id, count(*) AS n_lines, max(p_retailprice) > 1000 AS has_unit_price FROM part GROUP BY 1),
+_ITEMS = """items AS (SELECT p_name || ' ' || p_type || ' ' || p_size AS key, min(p_partkey) AS id, count(*) AS n_lines, max(p_retailprice) > 950 AS has_unit_price FROM part GROUP BY 1),
 tk AS (SELECT id, string_split(lower(key), ' ') AS t FROM items), ix AS (SELECT term, id, count(*) AS tf, length FROM (SELECT unnest(t) AS term, id, len(t) AS length FROM tk) GROUP BY ALL)"""
 
 
