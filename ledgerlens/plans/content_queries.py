@@ -74,11 +74,24 @@ def doc_search(spark, d):
     return documents.find_chunks(table(spark, d, "documents"), "Disgusting", None).select("doc_id", "n_chars")
 
 
-@query()
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents), a AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM d),
+r AS (SELECT doc_id, i, 0 AS chunk_no, length(line) AS n, line FROM a WHERE i = 1 UNION ALL
+  SELECT a.doc_id, a.i, CASE WHEN r.n + 1 + length(a.line) <= 1200 THEN r.chunk_no ELSE r.chunk_no + 1 END, CASE WHEN r.n + 1 + length(a.line) <= 1200 THEN r.n + 1 + length(a.line) ELSE length(a.line) END, a.line FROM r JOIN a ON a.doc_id = r.doc_id AND a.i = r.i + 1)
+SELECT doc_id, chunk_no, string_agg(line, chr(10) ORDER BY i) AS text FROM r GROUP BY doc_id, chunk_no""")
 def doc_chunks(spark, d):
     return documents.chunks(table(spark, d, "documents"))
 
 
+@query("""WITH o AS (SELECT DISTINCT source_doc FROM (SELECT 'd' || (o_orderkey % 700) AS source_doc FROM orders WHERE o_orderkey % 700 < 350)), k AS (SELECT DISTINCT doc_id FROM documents WHERE n_chars > 1000)
+SELECT d.doc_id, CASE WHEN source_doc IS NOT NULL THEN 'table' WHEN k.doc_id IS NOT NULL THEN 'text' WHEN CASE WHEN d.doc_id % 5 = 0 THEN d.doc_id % 10 = 0 ELSE lang = 'en' END THEN 'text_layer' ELSE 'none' END AS extracted,
+  CASE WHEN d.doc_id % 5 = 0 THEN d.doc_id % 10 = 0 ELSE lang = 'en' END AS has_text_layer FROM documents d LEFT JOIN o ON source_doc = 'd' || d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""")
+def document_state(spark, d):
+    docs = table(spark, d, "documents")
+    report = docs.filter("doc_id % 5 = 0").select("doc_id", (F.col("doc_id") % 10 == 0).alias("has_text_layer"))
+    named = table(spark, d, "orders").select((F.col("o_orderkey") % 700).alias("source_doc_id")).filter("source_doc_id < 350")
+    return documents.enriched(docs.select("doc_id", (F.col("lang") == "en").alias("has_text_layer")), report, docs.filter("n_chars > 1000"), named).select("doc_id", "extracted", "has_text_layer")
+
+
 @query()
 def fold_text(spark, d):
     docs = table(spark, d, "documents")

@@ -97,6 +97,9 @@ def facet_counts(spark, d):
     return facets.facets(budget_lines(spark, d))
 
 
+QUERIES["facets"], ORACLES["facets"] = QUERIES.pop("facet_counts"), ORACLES.pop("facet_counts")
+
+
 @query(f"WITH {BUDGET} SELECT dataset, count(*) AS n, count(*) FILTER (WHERE list_contains(quality_flags, 'org_unmapped')) AS hits, round(count(*) FILTER (WHERE list_contains(quality_flags, 'org_unmapped')) * 100.0 / count(*), 2) AS pct FROM budget GROUP BY dataset")
 def check_unmapped_pct(spark, d):
     return facets.flag_share(budget_lines(spark, d), "dataset")

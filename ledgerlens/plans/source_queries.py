@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.places import PROVINCES
-from ..operators import facets, items, orgs
+from ..operators import facets, items, normalize, orgs
 from ..sources import sheets, writers
 from .standins import BUDGET, budget_lines, table
 
@@ -62,15 +62,40 @@ def workbook_headers(spark, d):
     return sheets.mapped_headers(_workbooks(spark, d), _FIELDS, needed=("item_name", "amount_thb", "plan"))
 
 
-@query()
-def parse_items(spark, d):
-    """Part names with quantity and place, parsed once each."""
+_PROVINCES = "[" + ", ".join(f"'{p}'" for p in PROVINCES) + "]"
+
+
+def _named_parts(spark, d):
+    """Part names with a quantity and a place."""
     places = F.array(*map(F.lit, PROVINCES))
-    names = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.lit("จำนวน"), F.col("p_size").cast("string"), F.lit("เครื่อง ตำบลช้างเผือก"), F.concat(F.lit("จังหวัด"), places[(F.col("p_partkey") % 77).cast("int")])).alias("item_name_raw"))
-    found = items.parse_items(names)
+    marker = F.when(F.col("p_partkey") % 3 == 0, "จำนวน").otherwise("ใหม่")
+    name = F.concat_ws(" ", "p_name", marker, F.col("p_size").cast("string"), F.lit("เครื่อง ตำบลช้างเผือก"), F.concat(F.lit("จังหวัด"), places[(F.col("p_partkey") % 77).cast("int")]))
+    return table(spark, d, "part").withColumn("item_name_raw", name)
+
+
+@query(f"SELECT p_partkey, p_name || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' ใหม่' END AS item_key, {_PROVINCES}[1 + p_partkey % 77] AS province, 'ช้างเผือก' AS tambon, p_size::DOUBLE AS item_qty, 'เครื่อง' AS item_unit, '' AS flags FROM part")
+def parse_items(spark, d):
+    found = items.parse_items(_named_parts(spark, d))
     return found.select("p_partkey", "item.item_key", "item.province", "item.tambon", "item.item_qty", "item.item_unit", F.array_join("item.quality_flags", "|").alias("flags"))
 
 
+@query(f"""WITH x AS (SELECT *, p_partkey % 3 = 0 OR p_size < 20 AS sure, CASE WHEN p_partkey % 11 = 0 THEN ['corrupt_row'] WHEN p_partkey % 13 = 0 THEN ['upstream_ocr'] ELSE []::VARCHAR[] END AS own FROM part)
+SELECT p_partkey::VARCHAR AS source_id, 2560 AS fiscal_year_be, 2017 AS fiscal_year_ce, CASE p_partkey % 4 WHEN 0 THEN 'local' WHEN 1 THEN 'state_enterprise' WHEN 2 THEN 'central' ELSE 'local' END AS gov_level,
+  CASE WHEN p_partkey % 5 = 0 THEN 'ตรัง' ELSE {_PROVINCES}[1 + p_partkey % 77] END AS province, CASE WHEN p_partkey % 7 = 0 THEN 99 WHEN sure AND p_size > 0 AND NOT list_contains(own, 'corrupt_row') THEN round_even(round(p_retailprice * 1000)::BIGINT / p_size, 0)::BIGINT END AS unit_price_thb,
+  CASE WHEN p_partkey % 2 = 0 THEN true ELSE false END AS is_capital, array_to_string(list_concat(own, CASE WHEN p_size >= 20 AND p_partkey % 3 <> 0 THEN ['qty_parsed_low_conf'] ELSE [] END), '|') AS quality_flags,
+  round(CASE WHEN p_size % 10 <> 0 THEN 5.0::DOUBLE / (p_size % 10) END, 6) AS disbursement_rate FROM x""")
+def normalized_lines(spark, d):
+    k = F.col("p_partkey")
+    none = F.lit(None).cast("string")
+    raw = _named_parts(spark, d).select(
+        k.cast("string").alias("source_id"), F.lit(2560).alias("fiscal_year_be"), F.when(k % 4 == 0, "75000").when(k % 4 == 1, "50000").when(k % 4 == 2, "12").otherwise(none).alias("ministry_code"), F.lit("เทศบาลเมือง").alias("agency"),
+        F.when(k % 5 == 0, "ตรัง").alias("province"), F.when(k % 7 == 0, 99).cast("long").alias("unit_price_thb"), F.round(F.col("p_retailprice") * 1000).cast("long").alias("amount_thb"), F.when(k % 2 == 0, "รายจ่ายลงทุน").otherwise("รายจ่ายประจำ").alias("budget_type"),
+        F.when(k % 11 == 0, F.array(F.lit("corrupt_row"))).when(k % 13 == 0, F.array(F.lit("upstream_ocr"))).otherwise(F.array().cast("array<string>")).alias("quality_flags"), F.lit(5).cast("long").alias("disbursed_thb"), (F.col("p_size") % 10).cast("long").alias("revised_thb"), "item_name_raw",
+    )
+    found = normalize.facts(raw)
+    return found.select("source_id", F.col("fiscal_year_be").cast("int").alias("fiscal_year_be"), F.col("fiscal_year_ce").cast("int").alias("fiscal_year_ce"), "gov_level", "province", "unit_price_thb", "is_capital", F.array_join("quality_flags", "|").alias("quality_flags"), F.round("disbursement_rate", 6).alias("disbursement_rate"))
+
+
 @query("""WITH f AS (SELECT n_nationkey, n_name, s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
 SELECT CASE WHEN s_suppkey % 9 = 4 THEN 'nowhere' ELSE n_name END AS ministry, CASE WHEN s_suppkey % 7 = 3 THEN s_name || '  ' WHEN s_suppkey % 7 = 5 THEN 'unheard of ' || s_suppkey ELSE s_name END AS agency,
   CASE WHEN s_suppkey % 9 <> 4 OR s_suppkey % 7 <> 5 THEN n_nationkey::VARCHAR END AS ministry_code, CASE WHEN s_suppkey % 7 <> 5 THEN s_suppkey::VARCHAR END AS agency_code,
