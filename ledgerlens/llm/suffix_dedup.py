@@ -36,17 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from .shared import mix64, staged
 
 LENGTH = 100
 GRAM = 32
 #: Records in a bucket, about; records that a task holds before it hands them on.
-BUCKET_RECORDS = 600_000
-FLUSH_RECORDS = 600_000
+BUCKET_RECORDS = 400_000
+FLUSH_RECORDS = 400_000
 #: Text in a part of the documents, about.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 SAMPLE_DOCS = 2_000
 SAMPLE_RECORDS = 400_000
 _GROUP = 1 << 19
@@ -56,8 +56,12 @@ _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15
 _ODD = [np.uint64(int(x) | 1) for x in mix64(np.arange(301, 312, dtype=np.uint64))]
 _DEALT = StructType([StructField("bucket", IntegerType()), StructField("blob", BinaryType())])
 _FOUND = StructType([StructField("part", IntegerType()), StructField("kind", IntegerType()), StructField("blob", BinaryType())])
-#: Kinds of rows that a bucket gives: repeats, open runs, and its first and last record.
-REPEAT, OPEN, EDGE = 0, 1, 2
+#: Kinds of rows that a bucket gives: repeats, open runs (sieve only), its first and last record, records of rows that are there twice.
+REPEAT, OPEN, EDGE, TWIN = 0, 1, 2, 3
+#: Most bits of the filter that says which documents have rows in a table of runs. It goes to all executors (16 MB); where
+#: documents outnumber it, it lets more of them pass, and those are then joined in vain.
+FILTER_BITS = 1 << 27
+_SLICE_BITS = 1 << 20
 
 
 # ---- hashes of substrings
@@ -299,7 +303,7 @@ def _settle(parts: int, sieve: bool):
             repeat[at + 1] = repeat[at]
         keep = np.concatenate(([True], ~itself))
         plain = Records(r.ids, r.ties, r.doc, r.pos, r.more)
-        found = _by_part(plain.take(order[repeat & keep]), REPEAT, parts)
+        found = _by_part(plain.take(order[repeat & keep]), REPEAT, parts) + _by_part(plain.take(order[~keep]), TWIN, parts)
         if sieve:
             group = np.cumsum(np.concatenate(([0], k[1:] != k[:-1])))
             classes = np.bincount(group, ~repeat & keep)
@@ -329,11 +333,20 @@ def _edges(found: DataFrame, parts: int, sieve: bool) -> DataFrame | None:
     return found.sparkSession.createDataFrame([(p, k, bytearray(b)) for p, k, b in out], _FOUND) if out else None
 
 
+def _suffixes(piece: np.ndarray, places: np.ndarray, shift: int, key: tuple[int, int]) -> Records:
+    """The suffixes at some places of a piece of text: leading 8 bytes as a number in their order, hash of the first LENGTH bytes."""
+    lead = np.zeros(len(places), np.uint64)
+    for byte in range(8):
+        lead = (lead << np.uint64(8)) | piece[places + byte]
+    none = np.zeros(len(places), np.int64)
+    return Records(np.array([key[0]]), np.array([key[1]]), none, places + shift, none, lead, _whole(_widened(piece), places))
+
+
 def _open_windows(splitters: list[np.ndarray]):
     """The suffixes that start in a part's open runs, by bucket."""
 
     def windows(docs: pa.Table, blobs: pa.Table) -> pa.Table:
-        held, out = [], []
+        held, out, n = [], [], 0
         lists = _spans_by_doc(blobs)
         if lists:
             data, offsets = _texts(docs)
@@ -343,19 +356,17 @@ def _open_windows(splitters: list[np.ndarray]):
                     continue
                 done.add(key)
                 text = data[offsets[row] : offsets[row + 1]]
-                for a, b in zip(*_merged(*lists[key], join=1), strict=True):
-                    for at in range(a, b, _GROUP):
-                        end = min(b, at + _GROUP)
-                        piece = text[at : end + LENGTH - 1]
-                        places = np.arange(end - at)
-                        lead = np.zeros(end - at, np.uint64)
-                        for byte in range(8):
-                            lead = (lead << np.uint64(8)) | piece[byte : byte + end - at]
-                        n = np.zeros(end - at, np.int64)
-                        held.append(Records(np.array([key[0]]), np.array([key[1]]), n, places + at, n, lead, _whole(_widened(piece), places)))
-                if sum(map(len, held)) >= FLUSH_RECORDS:
+                start, end = _merged(*lists[key], join=0)
+                count = end - start
+                places = np.arange(int(count.sum())) + np.repeat(start - (np.cumsum(count) - count), count)
+                for at in range(0, len(text), _GROUP):
+                    mine = places[np.searchsorted(places, at) : np.searchsorted(places, at + _GROUP)]
+                    if len(mine):
+                        held.append(_suffixes(text[at : at + _GROUP + LENGTH - 1], mine - at, at, key))
+                        n += len(mine)
+                if n >= FLUSH_RECORDS:
                     out += _dealt(held, splitters)
-                    held = []
+                    held, n = [], 0
         if held:
             out += _dealt(held, splitters)
         return pa.Table.from_batches(out, pa.schema([("bucket", pa.int32()), ("blob", pa.binary())]))
@@ -429,6 +440,50 @@ def _keyed(docs: DataFrame, text: str, parts: int) -> DataFrame:
     return frame
 
 
+def _bits(ids: np.ndarray, ties: np.ndarray, size: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = mix64(ids.astype(np.uint64) * _ODD[2] + ties.astype(np.uint64))
+    return np.stack((h % np.uint64(size), (h >> np.uint64(32)) % np.uint64(size))).astype(np.int64)
+
+
+def document_filter(runs: DataFrame, rows: int) -> np.ndarray:
+    """A bit filter of the documents in packed runs. Slices of it are made by separate tasks; only finished slices are collected."""
+    size = min(FILTER_BITS, max(1 << 16, 1 << (16 * rows - 1).bit_length()))
+
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("blob"):
+                r = Records.unpack(blob.as_py())
+                at = np.unique(_bits(r.ids, r.ties, size))
+                cuts = np.flatnonzero(np.diff(at // _SLICE_BITS, prepend=-1, append=-1))
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    yield _rows(_DEALT, [int(at[a] // _SLICE_BITS)], [(at[a:b] % _SLICE_BITS).astype(np.uint32).tobytes()])
+
+    def united(table: pa.Table) -> pa.Table:
+        marks = np.zeros(min(size, _SLICE_BITS), bool)
+        for blob in table.column("blob"):
+            marks[np.frombuffer(blob.as_py(), np.uint32)] = True
+        return pa.Table.from_batches([_rows(_DEALT, [table.column("bucket")[0].as_py()], [np.packbits(marks).tobytes()])])
+
+    out = np.zeros(size // 8, np.uint8)
+    for r in runs.mapInArrow(positions, _DEALT).groupBy("bucket").applyInArrow(united, _DEALT).collect():
+        at = r["bucket"] * _SLICE_BITS // 8
+        out[at : at + len(r["blob"])] = np.frombuffer(bytes(r["blob"]), np.uint8)
+    return out
+
+
+def _named(frame: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Adds ``named``: whether a document may be in the runs that the filter was made of (if it is false, it isn't)."""
+    shared = frame.sparkSession.sparkContext.broadcast(bits)
+
+    @pandas_udf(BooleanType())
+    def named(i: pd.Series, t: pd.Series) -> pd.Series:
+        at = _bits(i.to_numpy(), t.to_numpy(), len(shared.value) * 8)
+        return pd.Series(((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0))
+
+    return frame.withColumn("named", named("id", "tie"))
+
+
 def _partitioned(keyed: DataFrame, parts: int) -> DataFrame:
     """Adds ``part``, by the same rule as the tasks' own ``_part``."""
 
@@ -449,7 +504,7 @@ def _collected(rows: list) -> Records | None:
 
 
 def repeats(keyed: DataFrame, parts: int, rows: int, total: int) -> DataFrame:
-    """part, blob: packed runs of string starts that are repeats. ``keyed``: id, tie, text (bytes)."""
+    """part, kind, blob: packed runs of string starts that are repeats, and records of rows that are there twice. ``keyed``: id, tie, text (bytes)."""
     lean = keyed.select("id", "tie", "text")
     buckets = max(1, round(total * 2 / (LENGTH - GRAM + 2) / BUCKET_RECORDS))
     splitters = choose_splitters(_collected(_sample(lean, rows).mapInArrow(_sampler(64), _DEALT).collect()), buckets)
@@ -458,7 +513,7 @@ def repeats(keyed: DataFrame, parts: int, rows: int, total: int) -> DataFrame:
     found = sieved if edges is None else sieved.unionByName(edges)
     still = found.filter(F.col("kind") == OPEN).select("part", "blob")
     # How many suffixes are open, and a sample of them for the splitters: those of the sampled documents.
-    located = _partitioned(lean, parts)
+    located = _partitioned(_named(lean, document_filter(still, rows)).filter("named").drop("named"), parts)
     some = _sample(located, rows).groupBy("part").cogroup(still.groupBy("part"))
     first = some.applyInArrow(_open_windows([np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)] * 3), _DEALT)
     sample = _collected(first.mapInArrow(_thinned(SAMPLE_RECORDS // parts + 1), _DEALT).collect())
@@ -468,7 +523,7 @@ def repeats(keyed: DataFrame, parts: int, rows: int, total: int) -> DataFrame:
     sorted_suffixes = staged(suffixes.groupBy("bucket").applyInArrow(_settle(parts, False), _FOUND))
     more = _edges(sorted_suffixes, parts, False)
     found = found.unionByName(sorted_suffixes) if more is None else found.unionByName(sorted_suffixes).unionByName(more)
-    return found.filter(F.col("kind") == REPEAT).select("part", "blob")
+    return found.filter(F.col("kind").isin(REPEAT, TWIN))
 
 
 def _sampler(most: int):
@@ -509,10 +564,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", as_text: bool = False) -
     keyed = _keyed(docs, text, parts)
     spans = repeats(keyed, parts, sizes["rows"], sizes["bytes"])
     new = ("n_bytes", "n_removed", "n_spans")
-    other = [f for f in docs.schema.fields if f.name not in (*new, "kept", text)]
+    gone = (*new, text) if as_text else (*new, text, "kept")
+    other = [f for f in docs.schema.fields if f.name not in gone]
     schema = StructType([*[StructField(f"c_{f.name}", f.dataType) for f in other], *[StructField(n, LongType()) for n in new], StructField("kept", BinaryType())])
-    located = _partitioned(keyed.select(*[f"c_{f.name}" for f in other], "id", "tie", "text"), parts)
-    out = located.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_remove(to_arrow_schema(schema), as_text), schema)
+    named = _named(keyed.select(*[f"c_{f.name}" for f in other], "id", "tie", "text"), document_filter(spans.select("blob"), sizes["rows"]))
+    located = _partitioned(named.filter("named").drop("named"), parts)
+    runs = spans.filter(F.col("kind") == REPEAT).select("part", "blob")
+    out = located.groupBy("part").cogroup(runs.groupBy("part")).applyInArrow(_remove(to_arrow_schema(schema), as_text), schema)
+    none = F.lit(0).cast("long")
+    whole = named.filter("not named").select(*[f"c_{f.name}" for f in other], F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").alias("kept"))
+    out = out.unionByName(whole)
     kept = F.col("kept").cast("string").alias(text) if as_text else F.col("kept")
     cut = out.select(*[F.col(f"c_{f.name}").alias(f.name) for f in other], *new, kept)
-    return cut.select(*docs.columns, *[n for n in new if n not in docs.columns]) if as_text else cut
+    return cut.select(*[c for c in docs.columns if c not in new], *new) if as_text else cut
