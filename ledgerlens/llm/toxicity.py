@@ -36,7 +36,7 @@ FEATURES = 6_000
 MIN_DOCS = 5
 SMOOTH = 1.0
 STEPS = 300
-L2 = 1e-3
+L2 = 1.0
 _PIECE = 1 << 20
 
 
