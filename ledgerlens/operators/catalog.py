@@ -107,16 +107,43 @@ def low_specificity() -> Column:
     return (F.char_length("key") <= SHORT_KEY) | F.coalesce(spread, F.lit(False))
 
 
+def _spread(value: str, usable: Column, prefix: str) -> list[Column]:
+    x = F.when(usable, F.col(value))
+    return [F.min(x).alias(f"{prefix}_min"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"__{prefix}"), F.max(x).alias(f"{prefix}_max"), F.nullif(F.count(x), F.lit(0)).alias(f"{prefix}_n")]
+
+
+def summaries(lines: DataFrame) -> DataFrame:
+    """Counts and statistics of each group, all in one pass and one shuffle; combined map-side."""
+    prices = F.collect_set(F.when(usable_price(), F.col("unit_price_thb")))
+    found = lines.groupBy("group_key").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_set("fiscal_year_be")).alias("years"), F.size(prices).cast("long").alias("n_unit_prices"),
+        *_spread("unit_price_thb", usable_price(), "up"), *_spread("amount_thb", usable_amount(), "amt"),
+    )
+    parts = {f"{p}_{n}": round_half_even(F.col(f"__{p}")[i]).cast("long") for p in ("up", "amt") for i, n in enumerate(("p25", "median", "p75"))}
+    found = found.withColumns(parts | {"n_years": F.size("years").cast("long")})
+    stats = [f"{p}_{n}" for p in ("up", "amt") for n in ("min", "p25", "median", "p75", "max", "n")]
+    return found.select("group_key", "n_lines", "n_years", "years", "n_unit_prices", *stats)
+
+
+def leading_values(lines: DataFrame) -> DataFrame:
+    """Variants, display name and agencies of each group: the values of three columns are counted and ranked together."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("item_key", "item_name", "agency")])
+    long = lines.select("group_key", F.explode(pairs).alias("x")).select("group_key", "x.*").filter(F.col("value").isNotNull())
+    counts = long.groupBy("group_key", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("group_key", "kind").orderBy(F.desc("n"), F.asc("value"))
+    kept = counts.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= F.when(F.col("kind") == "item_key", MAX_VARIANTS + 1).otherwise(TOP_AGENCIES))
+    listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("rn", "value")))), lambda x: x["value"])
+    keys = F.col("__keys")
+    found = kept.groupBy("group_key").agg(listed("item_key").alias("__keys"), listed("agency").alias("agencies"), F.max(F.when((F.col("kind") == "item_name") & (F.col("rn") == 1), F.col("value"))).alias("display_name"))
+    return found.select("group_key", keys[0].alias("key"), F.slice(keys, 1, MAX_VARIANTS).alias("keys"), (F.size(keys) > MAX_VARIANTS).alias("keys_truncated"), "display_name", "agencies")
+
+
 def entries(flagged: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
-    """The catalogue. All parts are keyed alike, so their joins find them partitioned already."""
+    """The catalogue: three passes over the lines, and joins of parts that are partitioned alike."""
     lines = grouped_lines(flagged)
-    kept = eligibility(lines).filter(thresholds.met())
-    agencies = top_agencies(lines).groupBy("group_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "agency"))), lambda x: x["agency"]).alias("agencies"))
     picks = samples(lines).groupBy("group_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "source_id"))), lambda x: x["source_id"]).alias("sample_ids"))
-    out = kept
-    for part in (variants(lines), price_statistics(lines), amount_statistics(lines), display_names(lines), agencies, picks):
-        out = out.join(part, "group_key", "left")
-    return out.withColumn("low_specificity", low_specificity())
+    kept = summaries(lines).filter(thresholds.met())
+    return kept.join(leading_values(lines), "group_key", "left").join(picks, "group_key", "left").withColumn("low_specificity", low_specificity())
 
 
 def file_index(flagged: DataFrame, path: str = "path") -> DataFrame:
