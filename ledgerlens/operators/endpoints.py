@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
 from . import checks, documents, facets, implied, lines, search, trends
 from .lines import LineFilter
 
@@ -79,7 +78,3 @@ def standard_checks(source: DataFrame, docs: DataFrame, first: int, last: int) -
         ("unique_ids", HARD, checks.duplicate_ids(source)), ("years_in_range", HARD, checks.years_out_of_range(source, first, last).filter("n_bad > 0")), ("documents_known", HARD, checks.missing_documents(source, docs)),
         ("no_gaps", SOFT, checks.absent_years(source)), ("organisations_mapped", SOFT, unmapped), ("amounts_positive", SOFT, source.filter("amount_thb < 0")),
     ]
-
-
-def folded_contains(column: str, query: str):
-    return F.contains(fold(F.col(column)), fold(F.lit(query)))

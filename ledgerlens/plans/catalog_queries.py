@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog, flags, trends
-from .standins import BUDGET, FLAGGED, PHRASE, budget_lines, table
+from .standins import FLAGGED, PHRASE, budget_lines, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -170,5 +170,3 @@ def trend_buckets(spark, d):
     shown = F.array_join(F.transform("points", lambda p: F.concat_ws(":", p["year_be"].cast("string"), p["median"].cast("string"))), "|")
     return found.select(bucket_of(F.col("group_key")).alias("hh"), "group_key", "basis", shown.alias("points"))
 
-
-_ = BUDGET

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text, years
-from ..operators import checks, documents, econ, implied, proposals, search
+from ..operators import documents, econ, implied, proposals, search
 from .standins import BUDGET, budget_lines, table
 
 QUERIES, ORACLES = {}, {}
@@ -251,5 +251,3 @@ def implied_unit_price(spark, d):
     amount = F.when(F.col("l_linenumber") == 7, F.round("l_extendedprice")).otherwise(F.col("l_quantity") * (2500 + F.col("l_partkey") % 97 * 100)).cast("long")
     return implied.implied_prices(items.select("l_partkey", amount.alias("amount_thb")).filter("l_partkey % 5 > 0 or amount_thb > 0"), "l_partkey")
 
-
-_ = checks

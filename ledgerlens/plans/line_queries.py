@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import checks, facets, flags, lines
 from ..operators.lines import LineFilter
-from ..schema import UPSTREAM_OCR
 from .standins import BUDGET, FLAGGED, PHRASE, budget_lines, table
 
 QUERIES, ORACLES = {}, {}
@@ -97,7 +96,7 @@ def facet_counts(spark, d):
     return facets.facets(budget_lines(spark, d))
 
 
-QUERIES["facets"], ORACLES["facets"] = QUERIES.pop("facet_counts"), ORACLES.pop("facet_counts")
+QUERIES["facets"], ORACLES["facets"] = QUERIES.pop("facet_counts"), ORACLES.pop("facet_counts")  # "facets" is the module here
 
 
 @query(f"WITH {BUDGET} SELECT dataset, count(*) AS n, count(*) FILTER (WHERE list_contains(quality_flags, 'org_unmapped')) AS hits, round(count(*) FILTER (WHERE list_contains(quality_flags, 'org_unmapped')) * 100.0 / count(*), 2) AS pct FROM budget GROUP BY dataset")
@@ -248,5 +247,3 @@ def check_price_outliers(spark, d):
     limits = flags.outlier_thresholds(source, skip_corrupt=False).withColumn("threshold", F.col("threshold") / flags.OUTLIER_FACTOR)
     return checks.price_outliers(source, limits)
 
-
-_ = UPSTREAM_OCR

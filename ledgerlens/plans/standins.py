@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ids import bucket_of
 from ..functions.numbers import round_half_even
-from ..functions.text import group_key
 
 #: Stands in for the lump-sum phrase in part names.
 PHRASE = "gizmo"
@@ -90,5 +88,3 @@ cl AS (
          amount_thb > 0 AND NOT list_contains(quality_flags, 'unit_price_outlier') AS amt_ok
   FROM flagged WHERE item_key IS NOT NULL AND NOT list_contains(quality_flags, 'subset_of_act_2570_draft')
     AND NOT list_contains(quality_flags, 'corrupt_row') AND NOT list_contains(quality_flags, 'lump_sum_category'))"""
-
-__all__ = ["BUDGET", "FLAGGED", "PHRASE", "bucket_of", "budget_lines", "group_key", "table"]
