@@ -36,20 +36,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from .shared import mix64, staged
 
 LENGTH = 100
 GRAM = 32
 #: Records in a bucket, about; records that a task holds before it hands them on.
-BUCKET_RECORDS = 400_000
-FLUSH_RECORDS = 400_000
+BUCKET_RECORDS = 250_000
+FLUSH_RECORDS = 250_000
 #: Text in a part of the documents, about.
 PART_BYTES = 8 << 20
 SAMPLE_DOCS = 2_000
 SAMPLE_RECORDS = 400_000
-_GROUP = 1 << 19
+_GROUP = 1 << 18
 _IDX = np.uint64((1 << 20) - 1)
 _LAST_ID = (1 << 63) - 1
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -472,24 +472,16 @@ def document_filter(runs: DataFrame, rows: int) -> np.ndarray:
     return out
 
 
-def _named(frame: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Adds ``named``: whether a document may be in the runs that the filter was made of (if it is false, it isn't)."""
-    shared = frame.sparkSession.sparkContext.broadcast(bits)
-
-    @pandas_udf(BooleanType())
-    def named(i: pd.Series, t: pd.Series) -> pd.Series:
-        at = _bits(i.to_numpy(), t.to_numpy(), len(shared.value) * 8)
-        return pd.Series(((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0))
-
-    return frame.withColumn("named", named("id", "tie"))
-
-
-def _partitioned(keyed: DataFrame, parts: int) -> DataFrame:
-    """Adds ``part``, by the same rule as the tasks' own ``_part``."""
+def _routed(keyed: DataFrame, bits: np.ndarray, parts: int) -> DataFrame:
+    """Adds ``part``, by the same rule as the tasks' own ``_part``; -1 for documents that aren't in the runs that the filter was made of."""
+    shared = keyed.sparkSession.sparkContext.broadcast(bits)
 
     @pandas_udf(IntegerType())
     def part(i: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series(_part(i.to_numpy(), t.to_numpy(), parts))
+        ids, ties = i.to_numpy(), t.to_numpy()
+        at = _bits(ids, ties, len(shared.value) * 8)
+        named = ((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
+        return pd.Series(np.where(named, _part(ids, ties, parts), -1).astype(np.int32))
 
     return keyed.withColumn("part", part("id", "tie"))
 
@@ -513,7 +505,7 @@ def repeats(keyed: DataFrame, parts: int, rows: int, total: int) -> DataFrame:
     found = sieved if edges is None else sieved.unionByName(edges)
     still = found.filter(F.col("kind") == OPEN).select("part", "blob")
     # How many suffixes are open, and a sample of them for the splitters: those of the sampled documents.
-    located = _partitioned(_named(lean, document_filter(still, rows)).filter("named").drop("named"), parts)
+    located = _routed(lean, document_filter(still, rows), parts).filter("part >= 0")
     some = _sample(located, rows).groupBy("part").cogroup(still.groupBy("part"))
     first = some.applyInArrow(_open_windows([np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)] * 3), _DEALT)
     sample = _collected(first.mapInArrow(_thinned(SAMPLE_RECORDS // parts + 1), _DEALT).collect())
@@ -567,12 +559,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", as_text: bool = False) -
     gone = (*new, text) if as_text else (*new, text, "kept")
     other = [f for f in docs.schema.fields if f.name not in gone]
     schema = StructType([*[StructField(f"c_{f.name}", f.dataType) for f in other], *[StructField(n, LongType()) for n in new], StructField("kept", BinaryType())])
-    named = _named(keyed.select(*[f"c_{f.name}" for f in other], "id", "tie", "text"), document_filter(spans.select("blob"), sizes["rows"]))
-    located = _partitioned(named.filter("named").drop("named"), parts)
+    routed = _routed(keyed.select(*[f"c_{f.name}" for f in other], "id", "tie", "text"), document_filter(spans.select("blob"), sizes["rows"]), parts)
+    located = routed.filter("part >= 0")
     runs = spans.filter(F.col("kind") == REPEAT).select("part", "blob")
     out = located.groupBy("part").cogroup(runs.groupBy("part")).applyInArrow(_remove(to_arrow_schema(schema), as_text), schema)
     none = F.lit(0).cast("long")
-    whole = named.filter("not named").select(*[f"c_{f.name}" for f in other], F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").alias("kept"))
+    whole = routed.filter("part < 0").select(*[f"c_{f.name}" for f in other], F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").alias("kept"))
     out = out.unionByName(whole)
     kept = F.col("kept").cast("string").alias(text) if as_text else F.col("kept")
     cut = out.select(*[F.col(f"c_{f.name}").alias(f.name) for f in other], *new, kept)
