@@ -155,5 +155,6 @@ def mix(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = staged(docs.withColumns({"__uid": F.monotonically_increasing_id(), "__size": word_count(F.col(text))}))
     sized = whole.select(F.col("doc_id"), F.col("source"), F.col("__size").alias("size"), F.col("__uid").alias("uid"))
     copies = staged(_round_copies(sized).filter(F.col("copies") > 0).select(F.col("uid").alias("__of"), F.col("copies").alias("__copies")))
-    taken = whole.join(copies, F.col("__uid") == F.col("__of"))
+    # The decisions grow with the documents: they are merged at any size, never sent to all executors.
+    taken = whole.join(copies.hint("merge"), F.col("__uid") == F.col("__of"))
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
