@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays."""
-    return simhash_dedup.keep_one(docs)
+    """One document of each class of near-duplicates stays: shingles of five words with a Jaccard similarity of 0.8 or more."""
+    return simhash_dedup.keep_one(docs, words=5, similarity=0.8)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,12 @@ are keyed by themselves and by each of their 64 one-bit changes. Two members wit
 such a key, all members with a key are within two bits of each other, and no key has more than 65 of
 them, so that this way is exact and has no large group either.
 
+``keep_one(docs, words=5, similarity=0.8)`` links texts by the exact Jaccard similarity of their shingles instead, for
+stages that remove near copies. Fingerprints of such pairs lie up to a dozen bits apart, and blocks for such a radius are
+so short that nearly all pairs would meet. So the candidates are found without loss by shared shingles: of n shingles in
+one order, similar sets share one of the first n - ceil(similarity * n) + 1. Shingles that a sample shows to be common go
+last in the order; this decides the work only, not the result. All candidates are verified on their whole shingle sets.
+
 Links become classes by repeated minimum over neighbours with pointer jumping; nothing is collected.
 
 Defined results
@@ -26,12 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
 
-from .shared import staged
+from .shared import bound_batches, staged
 
 RADIUS = 2
 SHINGLE_WORDS = 3
@@ -39,21 +45,42 @@ SEED = 42
 #: First bit and number of bits of each block: one more block than the radius.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 SHARD_LIMIT = 256
+#: Documents that are asked for common shingles, and in how many of them a shingle is common.
+COMMON_SAMPLE, COMMON_DOCS = 20_000, 20
+#: A shingle shared by more sets than this is compared with its most central set first.
+STAR_LIMIT = 64
+#: Up to so many candidate sets, the rows that name them are broadcast to find their texts.
+NAMED_LIMIT = 200_000
 _PIECE = 1 << 15
 
 
-def fingerprint(text: str | None, words_in_shingle: int = SHINGLE_WORDS) -> int:
-    """The text's SimHash as a signed 64-bit number."""
-    import xxhash
-
+def _shingle_bounds(text: str | None, words_in_shingle: int) -> tuple[bytes, list[int], list[int]]:
+    """The text's words joined by single blanks, and where each shingle starts and ends."""
     words = (text or "").encode().lower().split()  # bytes: lower() changes A-Z only, split() cuts at ASCII space only
     if not words:
-        return 0
+        return b"", [], []
     size = min(len(words), words_in_shingle)
-    joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - size + 1].tolist()
-    ends = ends[size - 1 :].tolist()
+    return b" ".join(words), starts, ends[size - 1 :].tolist()
+
+
+def shingle_set(text: str | None, words_in_shingle: int) -> np.ndarray:
+    """The distinct hashes of the text's shingles, ascending (int64)."""
+    import xxhash
+
+    joined, starts, ends = _shingle_bounds(text, words_in_shingle)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64).view(np.int64))
+
+
+def fingerprint(text: str | None, words_in_shingle: int = SHINGLE_WORDS) -> int:
+    """The text's SimHash as a signed 64-bit number."""
+    import xxhash
+
+    joined, starts, ends = _shingle_bounds(text, words_in_shingle)
+    if not starts:
+        return 0
     digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, len(starts), _PIECE):
         hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + _PIECE], ends[at : at + _PIECE], strict=True)], np.uint64)
@@ -63,10 +90,13 @@ def fingerprint(text: str | None, words_in_shingle: int = SHINGLE_WORDS) -> int:
     return int(ones.view(np.int64)[0])
 
 
-@pandas_udf(LongType())
-def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series([fingerprint(t) for t in texts], dtype="int64")
+def _fingerprints(words: int):
+    @pandas_udf(LongType())
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([fingerprint(t, words) for t in texts], dtype="int64")
+
+    return prints
 
 
 class BKTree:
@@ -169,19 +199,109 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _classes(prints: DataFrame) -> DataFrame:
-    """fp, label for each distinct fingerprint; ``prints`` is staged."""
+def _classes(prints: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """fp, label for each distinct fingerprint; ``prints`` is staged. ``found``: the links, if they are not those of the radius."""
     distinct = prints.select("fp").distinct()
-    found = staged(links(distinct))
+    found = staged(links(distinct)) if found is None else found
     if found.isEmpty():
         return distinct.withColumn("label", F.col("fp"))
     labels = connected(found)
     return distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("label", "fp").alias("label"))
 
 
+def _set_id(shingles: np.ndarray) -> int:
+    """One number for a set of shingles; 0 for the empty set."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), SEED)).view(np.int64)) if len(shingles) else 0
+
+
+def _shingle_sets(words: int):
+    @pandas_udf(ArrayType(LongType()))
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, words) for t in texts], dtype=object)
+
+    return sets
+
+
+def common_shingles(docs: DataFrame, text: str, words: int) -> np.ndarray:
+    """Hashes of shingles that are in many documents of a sample, ascending. At most shingles of the sample / COMMON_DOCS."""
+    share = min(1.0, COMMON_SAMPLE / max(1, docs.count()))
+    chosen = docs.filter(F.pmod(F.xxhash64(F.lit(SEED), F.col(text)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    found = chosen.select(F.explode(_shingle_sets(words)(F.col(text))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    return np.sort(found.filter(F.col("n") >= COMMON_DOCS).select("h").toPandas()["h"].to_numpy(np.int64))
+
+
+def _prefixes(docs: DataFrame, text: str, words: int, percent: int):
+    """A function of a text: fp (the id of its set of shingles), n (the set's size) and prefix."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, words))
+
+    @pandas_udf("fp long, n long, prefix array<long>")
+    def prefixes(texts: pd.Series) -> pd.DataFrame:
+        last, rows = common.value, []
+        for t in texts:
+            x = shingle_set(t, words)
+            often = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] == x if len(last) else np.zeros(len(x), bool)
+            length = len(x) - -(-len(x) * percent // 100) + 1 if len(x) else 0
+            rows.append((_set_id(x), len(x), np.concatenate((x[~often], x[often]))[:length]))
+        return pd.DataFrame(rows, columns=["fp", "n", "prefix"])
+
+    return prefixes
+
+
+def _may_match(percent: int) -> Column:
+    """Whether rows a and b of one shingle (size n, place pos of the shingle) can be similar: the shingles from there on suffice.
+
+    A similar pair also meets at the first shingle that both have, where this always holds.
+    """
+    shared = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    return (F.col("a.fp") != F.col("b.fp")) & ((100 + percent) * shared >= percent * (F.col("a.n") + F.col("b.n")))
+
+
+def similar(prints: DataFrame, docs: DataFrame, mark: dict, text: str, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of set ids with a Jaccard similarity of at least ``percent`` of 100. ``prints`` is staged."""
+    chosen = F.min_by(F.struct("n", "prefix", *mark), F.struct("__crc", "__id"))
+    sets = staged(prints.filter("n > 0").groupBy("fp").agg(chosen.alias("s")).select("fp", "s.*"))
+    keyed = sets.select("fp", "n", F.posexplode("prefix").alias("pos", "h"))
+    shared = staged(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1"))
+    keyed = staged(keyed.join(shared, "h"))
+
+    def meet(a: DataFrame, b: DataFrame) -> DataFrame:
+        pairs = a.alias("a").join(b.alias("b"), "h").filter(_may_match(percent))
+        return pairs.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct()
+
+    def both_sides(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
+        for side in "ab":
+            pairs = pairs.join(of.select(F.col("fp").alias(side), F.col(column).alias(f"x{side}"), *([F.col("n").alias(f"n{side}")] if "n" in of.columns else [])), side)
+        return pairs
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        # What prefixes don't share can only be shared by what follows one of the two.
+        most = F.size(F.array_intersect("xa", "xb")) + F.greatest(F.col("na") - F.size("xa"), F.col("nb") - F.size("xb"))
+        pairs = staged(both_sides(staged(pairs), sets, "prefix").filter((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b"))
+        asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(sets.select("fp", *mark), "fp")
+        asked = staged(asked)
+        asked = F.broadcast(asked) if asked.count() <= NAMED_LIMIT else asked
+        same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in mark]
+        texts = docs.withColumns(mark).alias("l").join(asked.alias("r"), same).select("r.fp", F.col(f"l.{text}").alias("t"))
+        whole = staged(texts.select("fp", _shingle_sets(words)(F.col("t")).alias("x")).dropDuplicates(["fp"]))
+        alike = (100 + percent) * F.size(F.array_intersect("xa", "xb")) >= percent * (F.size("xa") + F.size("xb"))
+        return staged(both_sides(pairs, whole, "x").filter(alike).select("a", "b"))
+
+    few, many = keyed.filter(F.col("sets") <= STAR_LIMIT), keyed.filter(F.col("sets") > STAR_LIMIT)
+    # The centre has the fewest shingles before the shared one: the copied text itself, if it is there.
+    centres = staged(many.groupBy("h").agg(F.min(F.struct("pos", "n", "fp")).alias("c")).select("h", "c.*"))
+    out = verified(meet(few, few).union(meet(many, centres)).distinct())
+    # Sets that aren't like the centre of a large group are compared with all of the group.
+    centred = out.union(out.select("b", "a")).select(F.col("a").alias("fp"), F.col("b").alias("centre"))
+    rest = many.join(centres.select("h", F.col("fp").alias("centre")), "h").filter(F.col("fp") != F.col("centre"))
+    rest = staged(rest.join(centred, ["fp", "centre"], "left_anti").select("h", "fp", "n", "pos"))
+    return out if rest.isEmpty() else out.union(verified(meet(rest, many))).distinct()
+
+
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, fp (long) and component_id of each document."""
-    prints = staged(docs.select("doc_id", _fingerprints(F.col(text)).alias("fp")))
+    prints = staged(docs.select("doc_id", _fingerprints(SHINGLE_WORDS)(F.col(text)).alias("fp")))
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     of = _classes(prints).join(firsts, "fp")
     least = of.groupBy("label").agg(F.min("first").alias("component_id"))
@@ -189,14 +309,22 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", words: int = SHINGLE_WORDS, similarity: float | None = None) -> DataFrame:
     """One document of each class, with all its columns: the smallest doc_id (nulls last), then the smallest text hash.
 
+    Classes are those of the fingerprints within the radius, or with ``similarity`` (of two decimals) those that pairs of
+    at least this Jaccard similarity of shingles of ``words`` words connect.
     The documents that go are looked up by doc_id and text hash; of rows that agree in both, one stays.
     """
     mark = {"__id": F.col("doc_id"), "__crc": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "__none": F.col(text).isNull()}
-    prints = staged(docs.select(*[c.alias(n) for n, c in mark.items()], _fingerprints(F.col(text)).alias("fp")))
-    of = _classes(prints)
+    if similarity is None:
+        prints = staged(docs.select(*[c.alias(n) for n, c in mark.items()], _fingerprints(words)(F.col(text)).alias("fp")))
+        of = _classes(prints)
+    else:
+        bound_batches(docs.sparkSession)
+        percent = round(100 * similarity)
+        prints = staged(docs.select(*[c.alias(n) for n, c in mark.items()], _prefixes(docs, text, words, percent)(F.col(text)).alias("p"))).select(*mark, "p.*")
+        of = _classes(prints, similar(prints, docs, mark, text, words, percent))
     order = F.struct(F.col("__id").isNull().alias("n"), F.col("__id"), F.col("__crc"), F.col("__none"))
     by_fp = prints.groupBy("fp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows"))
     stay = of.join(by_fp, "fp").groupBy("label").agg(F.min("first").alias("s")).select("s.__id", "s.__crc", "s.__none")
