@@ -88,10 +88,15 @@ def total(lines: DataFrame, wanted: LineFilter) -> DataFrame:
 
 
 def neighbours(lines: DataFrame, anchors: DataFrame, reach: int) -> DataFrame:
-    """For each anchor (source_id), the lines of its sheet at most ``reach`` rows away, itself included."""
+    """For each anchor (source_id), the lines of its sheet at most ``reach`` rows away, itself included.
+
+    Lines meet by blocks of ``reach`` + 1 rows, an anchor in its own and the two beside it: no sheet is paired as a whole.
+    """
+    block = F.floor(F.col("source_row") / (reach + 1))
     at = lines.join(anchors.select("source_id").distinct(), "source_id", "left_semi")
-    at = at.select(F.col("source_id").alias("anchor_id"), F.col("source_path").alias("a_path"), F.col("source_sheet").alias("a_sheet"), F.col("source_row").alias("a_row"))
-    same = (F.col("source_path") == F.col("a_path")) & F.col("source_sheet").eqNullSafe(F.col("a_sheet"))
+    at = at.select(F.col("source_id").alias("anchor_id"), F.col("source_path").alias("a_path"), F.col("source_sheet").alias("a_sheet"), F.col("source_row").alias("a_row"), block.alias("own")).distinct()
+    at = at.select("*", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)).alias("a_block"))
+    same = (F.col("source_path") == F.col("a_path")) & F.col("source_sheet").eqNullSafe(F.col("a_sheet")) & (block == F.col("a_block"))
     near = F.col("source_row").between(F.col("a_row") - reach, F.col("a_row") + reach)
     return lines.join(at, same & near).select("anchor_id", "source_id", "source_row", (F.col("source_row") - F.col("a_row")).alias("distance"))
 

@@ -73,6 +73,15 @@ def neighbor_lines(spark, d):
     return lines.neighbours(all_lines, all_lines.filter(F.col("source_id").startswith("0a")), 40)
 
 
+@query(f"""WITH {BUDGET}, a AS (SELECT DISTINCT source_id, source_path, source_sheet, source_row FROM budget)
+SELECT a.source_id AS anchor_id, b.source_id, b.source_row, b.source_row - a.source_row AS distance FROM budget b JOIN a ON b.source_path = a.source_path AND b.source_sheet IS NOT DISTINCT FROM a.source_sheet
+WHERE b.source_row BETWEEN a.source_row - 40 AND a.source_row + 40""")
+def neighbor_lines_all(spark, d):
+    """Every line is an anchor."""
+    all_lines = budget_lines(spark, d)
+    return lines.neighbours(all_lines, all_lines, 40)
+
+
 _IDS = "SELECT source_id FROM budget WHERE substr(source_id, 1, 2) = 'ff' UNION SELECT substr(sha1(o_orderkey::VARCHAR), 1, 16) FROM orders WHERE o_orderkey % 1000 = 3"
 
 
