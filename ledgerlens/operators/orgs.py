@@ -61,10 +61,15 @@ def _step(asked: DataFrame, names: DataFrame, within: bool) -> DataFrame:
     same = [F.col("key") == F.col("spelling")] + ([F.col("parent") == F.col("ministry_code")] if within else [])
     exact = _first(asked.join(names, same), F.desc("own")).select("pair", "code", F.when(F.col("own"), "exact").otherwise("alias").alias("method"), F.lit(1.0).alias("score"))
     rest = asked.join(exact.select("pair"), "pair", "left_anti").filter(~F.coalesce(F.col("key").rlike("^(" + "|".join(LOCAL_PREFIXES) + ")"), F.lit(False)))
-    # Candidates share the parent, or else the first character and about the length.
-    block = [F.col("parent") == F.col("ministry_code")] if within else [F.substring("key", 1, 1) == F.substring("spelling", 1, 1)]
-    near = F.abs(F.length("key") - F.length("spelling")) <= F.greatest(F.length("key"), F.length("spelling")) * (1 - MIN_SIMILARITY)
-    scored = rest.join(names, [*block, near]).withColumn("score", likeness(F.col("key"), F.col("spelling"))).filter(F.col("score") >= MIN_SIMILARITY)
+    # Candidates share the parent, if there is one, and about the length: each edit changes it by one at most.
+    parent = ["parent"] if within else []
+    todo, known = rest.select("key", *parent).distinct(), names.withColumn("__length", F.length("spelling"))
+    length = F.length("key")
+    lengths = F.sequence(F.floor(length * MIN_SIMILARITY).cast("int"), F.ceil(length / MIN_SIMILARITY).cast("int"))
+    todo = todo.select("*", F.explode(lengths).alias("__asked"))
+    block = [F.col("__asked") == F.col("__length")] + ([F.col("parent") == F.col("ministry_code")] if within else [])
+    scored = todo.join(known, block).withColumn("score", likeness(F.col("key"), F.col("spelling"))).filter(F.col("score") >= MIN_SIMILARITY)
+    scored = rest.join(scored.select("key", *parent, "code", "score"), ["key", *parent])
     return exact.unionByName(_first(scored, F.desc("score")).select("pair", "code", F.lit("fuzzy").alias("method"), "score"))
 
 
