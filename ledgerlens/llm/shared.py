@@ -58,6 +58,15 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*frames: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for frame in frames:
+        folders = {f.rsplit("/", 1)[0] for f in frame.inputFiles()}
+        for folder in (f for f in folders if f.rsplit("/", 1)[-1].startswith("staged-")):
+            path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def running_sums(df: DataFrame, key: str, values: list[str], block: int = 1024) -> DataFrame:
     """Adds ``<value>_before`` for each value: its sum over rows with a smaller key.
 

@@ -1,99 +1,92 @@
 """Repeated passages by a distributed suffix array.
 
 Every byte of a text that lies in a string of ``LENGTH`` bytes which also starts earlier (in a document with a
-smaller doc_id, or earlier in the same one) is found, exactly, over whole texts.
+smaller doc_id, or earlier in the same one) is found, exactly, over whole texts. Equality is always decided on bytes.
 
-A suffix matters only up to its first LENGTH bytes. To sort all of them would move a hundred times the corpus,
-so a sieve goes first that loses none that can matter:
+Tokens. Of the 69 substrings of GRAM bytes in each string of LENGTH, the one with the smallest hash is its anchor; equal
+strings have equal anchors at equal places. Neighbouring strings share anchors, so that the anchors cut a text into
+tokens of about 35 bytes. A run is the strings of one anchor; its cover is the text from the first string's start to the
+last one's end. The suffixes that are sorted start at anchors.
 
-1. Sieve. Of the 69 substrings of 32 bytes in each string of LENGTH, the one with the smallest hash is its anchor;
-   equal strings have equal anchors at equal places. Neighbouring strings share anchors: about 3 records for each
-   100 bytes. A record stands for its run of strings. Records are range-partitioned by (anchor, hash of all that the
-   run covers, doc, position). All but the first of equal runs are repeats as a whole. First runs whose anchor occurs
-   in no other run are new as a whole. Only first runs whose anchor is also in a different run stay open.
-2. Suffix array. The suffixes that start in open runs are range-partitioned by their leading 8 bytes, then by a hash
-   of the LENGTH bytes, then by document and position, at sampled splitters. Each bucket is sorted by multikey
-   quicksort: by the first key, then tied suffixes only by the next. Equal neighbours are repeats.
+1. Sieve. A run whose anchor occurs nowhere else has no partner and goes. Anchors are compared by 64-bit hashes: different
+   hashes prove different anchors, and equal hashes only let a run pass.
+2. Suffix array. The suffixes of all other runs are range-partitioned by their leading token (the anchor and what follows
+   it), then by what precedes it, document and position, at sampled splitters. Each bucket is sorted by multikey quicksort
+   on successive words of 8 bytes. A cover equal to its neighbour's is a repeat as a whole. Where one anchor has several
+   covers, the strings of these are sorted in the same way, and equal neighbours are repeats.
+3. Across boundaries. Anchors at the two ends of a bucket (a very frequent one fills many buckets) may go on in the next
+   bucket: the strings of their different covers are range-partitioned themselves, by string, document and position, sorted
+   in buckets, and the last string of each bucket is compared with the first of the next.
 
-As document and position are part of the order, a string that occurs everywhere spreads over many buckets; what a
-bucket can't tell of its first record is found by comparing it with the end of the bucket before it.
+As document and position are part of the order, what occurs everywhere is spread over many buckets.
 
 Defined results
 * null text is an empty text; texts shorter than LENGTH have no repeats.
-* null doc_id comes after all others; documents with equal ids are ordered by a hash of the text.
-* of rows equal in doc_id and text, the first counts as the document, the others as later copies.
+* null doc_id comes after all others; documents with equal ids are ordered by a hash of the text. Ids that aren't whole
+  numbers are ordered as Spark orders them.
+* of rows equal in doc_id and text, one counts as the document, the others as later copies.
 * an empty table gives an empty result. Other columns stay; columns named as the new ones are replaced.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, IntegralType, LongType, StructField, StructType
 
-from .shared import mix64, staged
+from .shared import mix64, release, staged
 
 LENGTH = 100
 GRAM = 32
-#: Records in a bucket, about; records that a task holds before it hands them on.
-BUCKET_RECORDS = 250_000
-FLUSH_RECORDS = 250_000
+LEFT = LENGTH - GRAM
+#: Anchors in a bucket of the sieve, suffixes in a bucket of the suffix array, strings in a bucket of the last step, about.
+SIEVE_RECORDS = 250_000
+BUCKET_SUFFIXES = 60_000
+BUCKET_STRINGS = 100_000
+#: Most buckets of a step: their splitters, 192 bytes each, go to every executor. Beyond, buckets grow.
+MOST_BUCKETS = 1 << 20
+#: Records that a task holds before it hands them on.
+FLUSH_RECORDS = 60_000
 #: Text in a part of the documents, about.
-PART_BYTES = 8 << 20
+PART_BYTES = 6 << 20
 SAMPLE_DOCS = 2_000
-SAMPLE_RECORDS = 400_000
+SAMPLE_RECORDS = 60_000
+#: Ranges of so few rows are sorted by comparing them.
+_LEAF = 40
 _GROUP = 1 << 18
 _IDX = np.uint64((1 << 20) - 1)
 _LAST_ID = (1 << 63) - 1
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = [np.uint64(int(x) | 1) for x in mix64(np.arange(301, 312, dtype=np.uint64))]
 _DEALT = StructType([StructField("bucket", IntegerType()), StructField("blob", BinaryType())])
-_FOUND = StructType([StructField("part", IntegerType()), StructField("kind", IntegerType()), StructField("blob", BinaryType())])
-#: Kinds of rows that a bucket gives: repeats, open runs (sieve only), its first and last record, records of rows that are there twice.
-REPEAT, OPEN, EDGE, TWIN = 0, 1, 2, 3
-#: Most bits of the filter that says which documents have rows in a table of runs. It goes to all executors (16 MB); where
-#: documents outnumber it, it lets more of them pass, and those are then joined in vain.
-FILTER_BITS = 1 << 27
-_SLICE_BITS = 1 << 20
+_FOUND = StructType([StructField("kind", IntegerType()), StructField("at", IntegerType()), StructField("n", LongType()), StructField("blob", BinaryType())])
+#: Kinds of found rows: repeats (at: part), runs that stay (at: part), covers for the last step, first and last string of a bucket (at: bucket).
+REPEAT, OPEN, FAR, EDGE = 0, 1, 2, 3
 
 
-# ---- hashes of substrings
-
-
-def _widened(data: np.ndarray) -> dict[int, np.ndarray]:
-    """Hashes of all substrings of 1, 2, 4 ... 64 bytes, by length."""
-    out, size = {1: _TABLE[data]}, 1
-    with np.errstate(over="ignore"):
-        while size < 64 and len(data) >= 2 * size:
-            h = out[size]
-            out[2 * size] = h[:-size] * _ODD[size.bit_length()] + h[size:]
-            size *= 2
-    return out
-
-
-def _whole(h: dict[int, np.ndarray], at: np.ndarray) -> np.ndarray:
-    """Hashes of the LENGTH (64 + 32 + 4) bytes from each place on."""
-    with np.errstate(over="ignore"):
-        return mix64((h[64][at] * _ODD[8] + h[32][at + 64]) * _ODD[9] + h[4][at + 96])
+# ---- anchors
 
 
 def anchor_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """segment, start in it, further strings, anchor hash, cover hash of each run of strings with one anchor."""
+    """segment, start in it, further strings, place of the anchor from the start on, and anchor hash of each run."""
     count = np.maximum(0, ends - starts - LENGTH + 1)
     total = int(count.sum())
     if not total:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    h = _widened(data)
-    grams = mix64(h[GRAM])
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
+    h, size = _TABLE[data], 1
+    with np.errstate(over="ignore"):
+        while size < GRAM:
+            h = h[:-size] * _ODD[size.bit_length()] + h[size:]
+            size *= 2
+    grams = mix64(h)
     low = (grams & ~_IDX) | np.arange(len(grams), dtype=np.uint64)
-    width, places = 1, LENGTH - GRAM + 1
+    width, places = 1, LEFT + 1
     while 2 * width <= places:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
@@ -103,123 +96,190 @@ def anchor_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     anchor = (low[at] & _IDX).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], (np.diff(anchor) != 0) | (np.diff(segment) != 0))))
     last = np.concatenate((first[1:], [total])) - 1
-    a, b, p = at[first], at[last], anchor[first]
-    with np.errstate(over="ignore"):
-        cover = mix64(_whole(h, a) * _ODD[7] + _whole(h, b) * _ODD[10] + ((b - a) * 128 + (p - a)).astype(np.uint64))
-    return segment[first], a - starts[segment[first]], b - a, grams[p], cover
+    a, p = at[first], anchor[first]
+    return segment[first], a - starts[segment[first]], at[last] - a, p - a, grams[p]
 
 
-# ---- records as packed columns
+class Runs:
+    """Columns of runs: doc (row of the table ids, ties), pos, more (further strings), off (from pos to the anchor) and, in the sieve, k (the anchor's hash)."""
 
-
-class Records:
-    """Columns of records: doc (row of the table ids, ties), pos, more, and the sort keys k and x (both 0 for spans)."""
-
-    def __init__(self, ids, ties, doc, pos, more, k=None, x=None):
-        self.ids, self.ties, self.doc, self.pos, self.more, self.k, self.x = ids, ties, doc, pos, more, k, x
+    def __init__(self, ids, ties, doc, pos, more, off, k=None):
+        self.ids, self.ties, self.doc, self.pos, self.more, self.off, self.k = ids, ties, doc, pos, more, off, k
 
     def __len__(self) -> int:
         return len(self.doc)
 
-    def take(self, which: np.ndarray) -> Records:
+    def take(self, which: np.ndarray) -> Runs:
         used, doc = np.unique(self.doc[which], return_inverse=True)
-        keys = (None, None) if self.k is None else (self.k[which], self.x[which])
-        return Records(self.ids[used], self.ties[used], doc, self.pos[which], self.more[which], *keys)
+        return Runs(self.ids[used], self.ties[used], doc, self.pos[which], self.more[which], self.off[which], None if self.k is None else self.k[which])
 
     def pack(self) -> bytes:
         """Bytes of equal weight lie together, which Spark's own compression then shrinks."""
-        columns = [(self.doc, np.uint32), (self.pos, np.uint32), (self.more, np.uint8)]
+        columns = [(self.doc, np.uint32), (self.pos, np.uint32), (self.more, np.uint8), (self.off, np.uint8)]
         if self.k is not None:
-            columns += [(np.diff(self.k, prepend=np.uint64(0)), np.uint64), (self.x, np.uint64)]
+            columns.append((np.diff(self.k, prepend=np.uint64(0)), np.uint64))
         planes = [np.ascontiguousarray(c.astype(t)).view(np.uint8).reshape(len(c), -1).T.tobytes() for c, t in columns]
         head = np.array([len(self.ids), len(self.doc), self.k is not None], np.int64)
         return b"".join([head.tobytes(), self.ids.astype(np.int64).tobytes(), self.ties.astype(np.int64).tobytes(), *planes])
 
     @staticmethod
-    def unpack(blob: bytes) -> Records:
+    def unpack(blob: bytes) -> Runs:
         docs, n, keyed = np.frombuffer(blob, np.int64, 3).tolist()
         at, out = 24 + 16 * docs, []
-        for t in (np.uint32, np.uint32, np.uint8, np.uint64, np.uint64)[: 5 if keyed else 3]:
+        for t in (np.uint32, np.uint32, np.uint8, np.uint8, np.uint64)[: 5 if keyed else 4]:
             w = np.dtype(t).itemsize
             out.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, w * n, at).reshape(w, n).T).view(t).reshape(n))
             at += w * n
         ids, ties = np.frombuffer(blob, np.int64, docs, 24), np.frombuffer(blob, np.int64, docs, 24 + 8 * docs)
         with np.errstate(over="ignore"):
-            return Records(ids, ties, out[0].astype(np.int64), out[1].astype(np.int64), out[2].astype(np.int64), *((np.cumsum(out[3], dtype=np.uint64), out[4]) if keyed else ()))
+            return Runs(ids, ties, *(c.astype(np.int64) for c in out[:4]), np.cumsum(out[4], dtype=np.uint64) if keyed else None)
 
     @staticmethod
-    def joined(many: list[Records]) -> Records:
+    def joined(many: list[Runs]) -> Runs:
         shift = np.cumsum([0, *(len(r.ids) for r in many)])
         doc = np.concatenate([r.doc + s for r, s in zip(many, shift, strict=False)])
-        rest = [None if many[0].k is None and c in "kx" else np.concatenate([getattr(r, c) for r in many]) for c in ("pos", "more", "k", "x")]
-        return Records(np.concatenate([r.ids for r in many]), np.concatenate([r.ties for r in many]), doc, *rest)
-
-    def keys(self) -> list[np.ndarray]:
-        return [self.k, self.x, self.ids[self.doc], self.ties[self.doc], self.pos]
-
-
-def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
-    """Order by the first key; then, key after key, only what is still tied is sorted on."""
-    order = np.argsort(keys[0], kind="stable")
-    run = np.cumsum(np.concatenate(([0], np.diff(keys[0][order]) != 0)).astype(np.int64)) if len(order) else order
-    for key in keys[1:]:
-        same = np.zeros(len(order), bool)
-        same[1:] = run[1:] == run[:-1]
-        tied = np.flatnonzero(same | np.concatenate((same[1:], [False])))
-        if not len(tied):
-            break
-        inner = np.lexsort((key[order[tied]], run[tied]))
-        order[tied] = order[tied][inner]
-        value = key[order]
-        run = np.cumsum(np.concatenate(([0], (run[1:] != run[:-1]) | (value[1:] != value[:-1])))) if len(order) else run
+        rest = [None if many[0].k is None and c == "k" else np.concatenate([getattr(r, c) for r in many]) for c in ("pos", "more", "off", "k")]
+        return Runs(np.concatenate([r.ids for r in many]), np.concatenate([r.ties for r in many]), doc, *rest)
+
+
+# ---- suffixes as rows of bytes
+
+
+#: A row of the suffix array: LENGTH bytes from the anchor on, LEFT bytes up to it (each padded by zeros), both lengths; then id, tie, position.
+CONTENT = LENGTH + LEFT + 2
+TAIL = 22
+#: A row of the last step: a string, six zeros; then id, tie, position.
+STRING_CONTENT = LENGTH + 6
+
+
+def _tails(ids: np.ndarray, ties: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """id, tie and position as bytes in their order."""
+    out = np.empty((len(ids), TAIL), np.uint8)
+    for at, value in ((0, ids), (8, ties)):
+        out[:, at : at + 8] = (value.astype(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    out[:, 16:] = pos.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]
+    return out
+
+
+def _untailed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """id, tie and position of rows."""
+    tail = np.zeros((len(rows), 24), np.uint8)
+    tail[:, :16], tail[:, 18:] = rows[:, -TAIL:-6], rows[:, -6:]
+    ids, ties, pos = tail.view(">u8").astype(np.uint64).T
+    top = np.uint64(1 << 63)
+    return (ids ^ top).astype(np.int64), (ties ^ top).astype(np.int64), pos.astype(np.int64)
+
+
+def _windows(data: np.ndarray, at: np.ndarray, width: int, keep: np.ndarray) -> np.ndarray:
+    """The ``width`` bytes at each place, with zeros from ``keep`` bytes on. ``data`` reaches that far."""
+    out = np.lib.stride_tricks.sliding_window_view(data, width)[at]
+    return np.where(np.arange(width) < keep[:, None], out, np.uint8(0))
+
+
+def suffix_rows(data: np.ndarray, begin: np.ndarray, more: np.ndarray, off: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    """The rows of runs that begin at some places of ``data``, which has LENGTH idle bytes at its end."""
+    right = more + LENGTH - off
+    return np.concatenate((_windows(data, begin + off, LENGTH, right), _windows(data, begin, LEFT, off), np.stack((right, off), axis=1).astype(np.uint8), tails), axis=1)
+
+
+def string_rows(rows: np.ndarray) -> np.ndarray:
+    """The strings of the runs whose suffixes are given."""
+    right, left = rows[:, LENGTH + LEFT].astype(np.int64), rows[:, LENGTH + LEFT + 1].astype(np.int64)
+    place = np.arange(LENGTH + LEFT)
+    source = np.where(place < left[:, None], LENGTH + place, np.minimum(place - left[:, None], LENGTH - 1))  # the cover: left part, then right part
+    cover = np.take_along_axis(rows, source, axis=1)
+    count = left + right - LENGTH + 1
+    of = np.repeat(np.arange(len(rows)), count)
+    step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    strings = np.lib.stride_tricks.sliding_window_view(cover, LENGTH, axis=1)[of, step]
+    ids, ties, pos = _untailed(rows)
+    return np.concatenate((strings, np.zeros((len(of), STRING_CONTENT - LENGTH), np.uint8), _tails(ids[of], ties[of], pos[of] + step)), axis=1)
+
+
+def string_counts(rows: np.ndarray) -> np.ndarray:
+    return rows[:, LENGTH + LEFT].astype(np.int64) + rows[:, LENGTH + LEFT + 1] - LENGTH + 1
+
+
+def multikey_quicksort(rows: np.ndarray) -> np.ndarray:
+    """Order of rows of bytes: a range is parted at a pivot's word into less, equal and more; what is equal goes on with the next word."""
+    words, order, todo = rows.view(">u8"), np.arange(len(rows)), [(0, len(rows), 0)]
+    while todo:
+        a, b, depth = todo.pop()
+        if b - a < 2 or depth == words.shape[1]:
+            continue
+        part = order[a:b]
+        if b - a <= _LEAF:
+            keys = [x.tobytes() for x in rows[part, 8 * depth :]]
+            order[a:b] = part[sorted(range(b - a), key=keys.__getitem__)]
+            continue
+        word = words[part, depth].astype(np.uint64)
+        some = np.sort(word[:: max(1, (b - a) // 15)])
+        pivot = some[len(some) // 2]
+        less, equal = word < pivot, word == pivot
+        order[a:b] = np.concatenate((part[less], part[equal], part[~(less | equal)]))
+        low = a + int(np.count_nonzero(less))
+        high = low + int(np.count_nonzero(equal))
+        todo += [(a, low, depth), (low, high, depth + 1), (high, b, depth)]
     return order
 
 
-def bucket_of(keys: list[np.ndarray], splitters: list[np.ndarray]) -> np.ndarray:
-    """How many splitters are at or below each record."""
-    out, n = np.searchsorted(splitters[0], keys[0], side="left"), len(splitters[0])
-    ask = np.flatnonzero(out < n)
-    while len(ask := ask[out[ask] < n]):
-        at, above, equal = out[ask], np.zeros(len(ask), bool), np.ones(len(ask), bool)
-        for key, splitter in zip(keys, splitters, strict=True):
-            a, b = key[ask], splitter[at]
-            above |= equal & (a > b)
-            equal &= a == b
-        ask = ask[above | equal]
-        out[ask] += 1
+def bucket_of(rows: np.ndarray, splitters: np.ndarray) -> np.ndarray:
+    """How many splitters are at or below each row. Only rows that share a splitter's first word are compared beyond it."""
+    lead = lambda x: np.ascontiguousarray(x[:, :8]).view(">u8").ravel().astype(np.uint64)
+    ours, theirs = lead(rows), lead(splitters)
+    out, above = np.searchsorted(theirs, ours, side="left"), np.searchsorted(theirs, ours, side="right")
+    tied = np.flatnonzero(out < above)
+    if len(tied):
+        keys = [x.tobytes() for x in splitters]
+        for i in tied.tolist():
+            out[i] = bisect_right(keys, rows[i].tobytes(), int(out[i]), int(above[i]))
     return out
 
 
-def choose_splitters(sample: Records | None, buckets: int) -> list[np.ndarray]:
-    if sample is None or not len(sample):
-        return [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)] * 3
-    keys = sample.keys()
-    order = multikey_order(keys)
-    at = order[(np.arange(1, buckets) * len(order)) // buckets]
-    return [k[at] for k in keys]
+def choose_splitters(sample: np.ndarray, buckets: int) -> np.ndarray:
+    """Rows of the sample, all different, that cut it into about equal shares."""
+    order = multikey_quicksort(sample)
+    return sample[order[np.unique((np.arange(1, buckets) * len(order)) // buckets)]] if len(sample) else sample
+
+
+def _packed(rows: np.ndarray) -> bytes:
+    return len(rows).to_bytes(4, "little") + rows.shape[1].to_bytes(2, "little") + pa.compress(rows.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    n, width = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:6], "little")
+    return np.frombuffer(pa.decompress(memoryview(blob)[6:], n * width, codec="zstd", asbytes=True), np.uint8).reshape(n, width)
+
+
+def _all_rows(blobs) -> np.ndarray:
+    many = [_unpacked(b.as_py()) for b in blobs]
+    return many[0] if len(many) == 1 else np.concatenate(many)
 
 
 # ---- tasks
 
 
 def _rows(schema: StructType, *columns: list) -> pa.RecordBatch:
-    kinds = {IntegerType(): pa.int32(), BinaryType(): pa.binary()}
+    kinds = {IntegerType(): pa.int32(), LongType(): pa.int64(), BinaryType(): pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.dataType]) for c, f in zip(columns, schema.fields, strict=True)], names=schema.names)
 
 
-def _dealt(many: list[Records], splitters: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    r = Records.joined(many)
-    bucket = bucket_of(r.keys(), splitters)
-    order = np.lexsort((r.k, bucket))
-    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield _rows(_DEALT, [int(bucket[order[a]])], [r.take(order[a:b]).pack()])
+def _cut_at_changes(values: np.ndarray) -> list[tuple[int, int]]:
+    at = np.flatnonzero(np.diff(values, prepend=-1, append=-1)).tolist()
+    return list(zip(at[:-1], at[1:], strict=True))
+
+
+def _dealt(rows: np.ndarray, splitters: np.ndarray) -> pa.RecordBatch:
+    bucket = bucket_of(rows, splitters)
+    order = np.lexsort((np.ascontiguousarray(rows[:, :8]).view(">u8").ravel(), bucket))  # like beside like: packs well
+    bucket = bucket[order]
+    cuts = _cut_at_changes(bucket)
+    return _rows(_DEALT, [int(bucket[a]) for a, _ in cuts], [_packed(rows[order[a:b]]) for a, b in cuts])
 
 
 def _texts(batch) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of the binary column ``text``."""
     column = batch.column("text")
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())
     column = column.cast(pa.large_binary())
@@ -248,138 +308,192 @@ def _groups(offsets: np.ndarray) -> Iterator[tuple[list[int], list[int], list[in
         yield rows, begins, ends
 
 
-def _records_of(batch) -> Iterator[Records]:
+def _longs(batch, name: str) -> np.ndarray:
+    column = batch.column(name)
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.to_numpy(zero_copy_only=False), np.int64)
+
+
+def _runs_of(batch) -> Iterator[Runs]:
     data, offsets = _texts(batch)
-    ids, ties = (batch.column(c).to_numpy(**({"zero_copy_only": False} if isinstance(batch, pa.RecordBatch) else {})) for c in ("id", "tie"))
+    ids, ties = _longs(batch, "id"), _longs(batch, "tie")
     for rows, begins, ends in _groups(offsets):
         rows, begins, ends = np.array(rows), np.array(begins), np.array(ends)
-        segment, start, more, k, x = anchor_runs(data[begins[0] : ends[-1]], begins - begins[0], ends - begins[0])
+        segment, start, more, off, k = anchor_runs(data[begins[0] : ends[-1]], begins - begins[0], ends - begins[0])
         used = np.unique(rows)
         if len(segment):
-            yield Records(ids[used], ties[used], np.searchsorted(used, rows[segment]), start + (begins - offsets[rows])[segment], more, k, x)
+            yield Runs(ids[used], ties[used], np.searchsorted(used, rows[segment]), start + (begins - offsets[rows])[segment], more, off, k)
+
 
+def _sieve_rows(r: Runs) -> np.ndarray:
+    """The order of runs in the sieve, as rows of bytes: anchor hash, document, position."""
+    return np.concatenate((r.k.astype(">u8").view(np.uint8).reshape(-1, 8), _tails(r.ids[r.doc], r.ties[r.doc], r.pos), np.zeros((len(r), 2), np.uint8)), axis=1)
 
-def _sieve(splitters: list[np.ndarray]):
+
+def _sieve_bucket(r: Runs, splitters: np.ndarray) -> np.ndarray:
+    """As ``bucket_of``; whole rows are made only of runs whose anchor is a splitter's."""
+    theirs = np.ascontiguousarray(splitters[:, :8]).view(">u8").ravel().astype(np.uint64)
+    out, above = np.searchsorted(theirs, r.k, side="left"), np.searchsorted(theirs, r.k, side="right")
+    tied = np.flatnonzero(out < above)
+    if len(tied):
+        out[tied] = bucket_of(_sieve_rows(r.take(tied)), splitters)
+    return out
+
+
+def _sieve(splitters):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def dealt(held: list[Runs]) -> pa.RecordBatch:
+            r = Runs.joined(held)
+            bucket = _sieve_bucket(r, splitters.value)
+            order = np.lexsort((r.k, bucket))
+            bucket = bucket[order]
+            cuts = _cut_at_changes(bucket)
+            return _rows(_DEALT, [int(bucket[a]) for a, _ in cuts], [r.take(order[a:b]).pack() for a, b in cuts])
+
         held, n = [], 0
         for batch in batches:
-            for r in _records_of(batch):
+            for r in _runs_of(batch):
                 held.append(r)
                 n += len(r)
-                if n >= FLUSH_RECORDS:
-                    yield from _dealt(held, splitters)
+                if n >= 4 * FLUSH_RECORDS:
+                    yield dealt(held)
                     held, n = [], 0
         if held:
-            yield from _dealt(held, splitters)
+            yield dealt(held)
 
     return deal
 
 
-def _part(ids: np.ndarray, ties: np.ndarray, parts: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (mix64(ids.astype(np.uint64) * _ODD[1] + ties.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+def part_of(ids: Column, ties: Column, parts: int) -> Column:
+    return F.pmod(ids.bitwiseXOR(ties), F.lit(parts)).cast("int")
 
 
-def _by_part(r: Records, kind: int, parts: int) -> list[tuple[int, int, bytes]]:
+def _by_part(r: Runs, kind: int, parts: int) -> list[tuple[int, int, int, bytes]]:
+    """Runs packed by part, which is the same as ``part_of``."""
     if not len(r):
         return []
-    part = _part(r.ids, r.ties, parts)[r.doc]
+    part = np.mod(r.ids ^ r.ties, parts)[r.doc]
     order = np.lexsort((r.pos, r.doc, part))
-    cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
-    return [(int(part[order[a]]), kind, r.take(order[a:b]).pack()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    part = part[order]
+    return [(kind, int(part[a]), b - a, r.take(order[a:b]).pack()) for a, b in _cut_at_changes(part)]
 
 
-def _settle(parts: int, sieve: bool):
-    """What a bucket's sorted records tell: repeats, open runs (sieve only), and the two records at its edges."""
+def _found(rows: list) -> pa.Table:
+    return pa.Table.from_batches([_rows(_FOUND, *(map(list, zip(*rows, strict=True)) if rows else ([], [], [], [])))])
+
+
+def _settle_sieve(parts: int):
+    """The runs of a bucket whose anchor's hash is there again; those at the bucket's ends stay, as it may be in the next bucket."""
+
+    def settle(table: pa.Table) -> pa.Table:
+        r = Runs.joined([Runs.unpack(b.as_py()) for b in table.column("blob")])
+        order = np.argsort(r.k, kind="stable")
+        k = r.k[order]
+        again = np.concatenate(([True], k[1:] == k[:-1]))
+        again |= np.concatenate((again[1:], [True])) | (k == k[0]) | (k == k[-1])
+        r = r.take(order[again])
+        r.k = None
+        return _found(_by_part(r, OPEN, parts))
+
+    return settle
+
+
+def _to_runs(rows: np.ndarray, more: np.ndarray) -> Runs:
+    ids, ties, pos = _untailed(rows)
+    both, doc = np.unique(np.stack((ids, ties), axis=1), axis=0, return_inverse=True)
+    return Runs(both[:, 0], both[:, 1], doc.ravel(), pos, more, np.zeros(len(rows), np.int64))
+
+
+def _settle_suffixes(parts: int):
+    """What a bucket's sorted suffixes tell: repeats, and the covers that the last step must look at."""
+
+    def settle(table: pa.Table) -> pa.Table:
+        rows = _all_rows(table.column("blob"))
+        rows = rows[multikey_quicksort(rows)]
+        equal = np.concatenate(([False], (rows[1:, :CONTENT] == rows[:-1, :CONTENT]).all(axis=1)))
+        anchor = np.cumsum(np.concatenate(([0], (rows[1:, :GRAM] != rows[:-1, :GRAM]).any(axis=1))))
+        found = _by_part(_to_runs(rows[equal], string_counts(rows[equal]) - 1), REPEAT, parts)
+        strings = np.bincount(anchor[~equal], string_counts(rows[~equal]), anchor[-1] + 1).astype(np.int64)
+        several = np.bincount(anchor[~equal], minlength=anchor[-1] + 1) > 1
+        away = strings > 2 * BUCKET_STRINGS
+        away[[0, -1]] = True
+        if (far := ~equal & away[anchor]).any():
+            found.append((FAR, 0, int(string_counts(rows[far]).sum()), _packed(rows[far])))
+        here = ~equal & several[anchor] & ~away[anchor]
+        rows, anchor = rows[here], anchor[here]
+        lot = np.cumsum(np.where(several & ~away, strings, 0)) // BUCKET_STRINGS  # whole anchors, so many strings at a time
+        for a, b in _cut_at_changes(lot[anchor]) if len(rows) else []:
+            some = string_rows(rows[a:b])
+            some = some[multikey_quicksort(some)]
+            again = 1 + np.flatnonzero((some[1:, :LENGTH] == some[:-1, :LENGTH]).all(axis=1))
+            found += _by_part(_to_runs(some[again], np.zeros(len(again), np.int64)), REPEAT, parts)
+        return _found(found)
+
+    return settle
+
+
+def _settle_strings(parts: int):
+    """Repeats among a bucket's sorted strings, and its first and last string."""
 
     def settle(table: pa.Table) -> pa.Table:
-        r = Records.joined([Records.unpack(b.as_py()) for b in table.column("blob")])
-        order = multikey_order(r.keys())
-        k, x, i, t, p = (c[order] for c in r.keys())
-        equal = (k[1:] == k[:-1]) & (x[1:] == x[:-1])
-        itself = equal & (i[1:] == i[:-1]) & (t[1:] == t[:-1]) & (p[1:] == p[:-1])  # a row that is there twice
-        repeat = np.concatenate(([False], equal))
-        for at in np.flatnonzero(itself).tolist():  # a twin has its predecessor's fate
-            repeat[at + 1] = repeat[at]
-        keep = np.concatenate(([True], ~itself))
-        plain = Records(r.ids, r.ties, r.doc, r.pos, r.more)
-        found = _by_part(plain.take(order[repeat & keep]), REPEAT, parts) + _by_part(plain.take(order[~keep]), TWIN, parts)
-        if sieve:
-            group = np.cumsum(np.concatenate(([0], k[1:] != k[:-1])))
-            classes = np.bincount(group, ~repeat & keep)
-            still = ~repeat & keep & ((classes[group] > 1) | (k == k[0]) | (k == k[-1]))
-            still[0] = False
-            found += _by_part(plain.take(order[still]), OPEN, parts)
-        bucket = table.column("bucket")[0].as_py()
-        found.append((bucket, EDGE, r.take(order[[0, len(order) - 1]]).pack() + bytes([int(order[0] <= order[-1])])))
-        return pa.Table.from_batches([_rows(_FOUND, *map(list, zip(*found, strict=True)))])
+        rows = _all_rows(table.column("blob"))
+        rows = rows[multikey_quicksort(rows)]
+        again = 1 + np.flatnonzero((rows[1:, :LENGTH] == rows[:-1, :LENGTH]).all(axis=1))
+        found = _by_part(_to_runs(rows[again], np.zeros(len(again), np.int64)), REPEAT, parts)
+        return _found([*found, (EDGE, table.column("bucket")[0].as_py(), 2, rows[[0, -1]].tobytes())])
 
     return settle
 
 
-def _edges(found: DataFrame, parts: int, sieve: bool) -> DataFrame | None:
-    """What the first record of each bucket is, now that the bucket before it is known: a few rows, made on the driver."""
-    rows = sorted((r["part"], bytes(r["blob"])[:-1]) for r in found.filter(F.col("kind") == EDGE).collect())
-    out, before = [], None
-    for _, blob in rows:
-        r = Records.unpack(blob)
-        mine = [(int(r.k[n]), int(r.x[n]), int(r.ids[r.doc[n]]), int(r.ties[r.doc[n]]), int(r.pos[n])) for n in (0, len(r) - 1)]
-        one = Records(r.ids, r.ties, r.doc, r.pos, r.more).take(np.array([0]))
-        if before is not None and before[:2] == mine[0][:2]:
-            out += _by_part(one, REPEAT, parts) if before != mine[0] else []
-        elif sieve:
-            out += _by_part(one, OPEN, parts)
-        before = mine[1]
-    return found.sparkSession.createDataFrame([(p, k, bytearray(b)) for p, k, b in out], _FOUND) if out else None
-
-
-def _suffixes(piece: np.ndarray, places: np.ndarray, shift: int, key: tuple[int, int]) -> Records:
-    """The suffixes at some places of a piece of text: leading 8 bytes as a number in their order, hash of the first LENGTH bytes."""
-    lead = np.zeros(len(places), np.uint64)
-    for byte in range(8):
-        lead = (lead << np.uint64(8)) | piece[places + byte]
-    none = np.zeros(len(places), np.int64)
-    return Records(np.array([key[0]]), np.array([key[1]]), none, places + shift, none, lead, _whole(_widened(piece), places))
-
-
-def _open_windows(splitters: list[np.ndarray]):
-    """The suffixes that start in a part's open runs, by bucket."""
-
-    def windows(docs: pa.Table, blobs: pa.Table) -> pa.Table:
-        held, out, n = [], [], 0
-        lists = _spans_by_doc(blobs)
-        if lists:
+def _open_suffixes(splitters, thin: int = 1):
+    """The suffixes of a part's runs, by bucket; with ``thin``, every so many-th."""
+
+    def suffixes(docs: pa.Table, blobs: pa.Table) -> pa.Table:
+        out, schema = [], pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
+        if docs.num_rows and blobs.num_rows:
+            r = Runs.joined([Runs.unpack(b.as_py()) for b in blobs.column("blob")])
             data, offsets = _texts(docs)
-            done = set()
-            for row, key in enumerate(zip(docs.column("id").to_pylist(), docs.column("tie").to_pylist(), strict=True)):
-                if key not in lists or key in done:
-                    continue
-                done.add(key)
-                text = data[offsets[row] : offsets[row + 1]]
-                start, end = _merged(*lists[key], join=0)
-                count = end - start
-                places = np.arange(int(count.sum())) + np.repeat(start - (np.cumsum(count) - count), count)
-                for at in range(0, len(text), _GROUP):
-                    mine = places[np.searchsorted(places, at) : np.searchsorted(places, at + _GROUP)]
-                    if len(mine):
-                        held.append(_suffixes(text[at : at + _GROUP + LENGTH - 1], mine - at, at, key))
-                        n += len(mine)
-                if n >= FLUSH_RECORDS:
-                    out += _dealt(held, splitters)
-                    held, n = [], 0
-        if held:
-            out += _dealt(held, splitters)
-        return pa.Table.from_batches(out, pa.schema([("bucket", pa.int32()), ("blob", pa.binary())]))
+            data = np.concatenate((data, np.zeros(LENGTH, np.uint8)))
+            row = {key: n for n, key in enumerate(zip(_longs(docs, "id").tolist(), _longs(docs, "tie").tolist(), strict=True))}
+            at = np.array([row.get(key, -1) for key in zip(r.ids.tolist(), r.ties.tolist(), strict=True)], np.int64)
+            ours = np.flatnonzero(at[r.doc] >= 0)[::thin]
+            for cut in range(0, len(ours), FLUSH_RECORDS):
+                i = ours[cut : cut + FLUSH_RECORDS]
+                tails = _tails(r.ids[r.doc[i]], r.ties[r.doc[i]], r.pos[i])
+                out.append(_dealt(suffix_rows(data, offsets[at[r.doc[i]]] + r.pos[i], r.more[i], r.off[i], tails), splitters.value))
+        return pa.Table.from_batches(out, schema)
+
+    return suffixes
+
+
+def _far_strings(splitters, thin: int = 1):
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("blob"):
+                rows = _unpacked(blob.as_py())
+                for cut in range(0, len(rows), 2_000):
+                    some = string_rows(rows[cut : cut + 2_000])[::thin]
+                    yield _dealt(some, splitters.value)
+
+    return strings
+
 
-    return windows
+def _first_repeats(parts: int):
+    """Rows of two edges: the bucket's first string, of which the bucket before holds another."""
+
+    def repeats_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.frombuffer(b"".join(b.as_py()[: STRING_CONTENT + TAIL] for b in batch.column("blob")), np.uint8).reshape(-1, STRING_CONTENT + TAIL)
+            yield from _found(_by_part(_to_runs(rows, np.zeros(len(rows), np.int64)), REPEAT, parts)).to_batches()
+
+    return repeats_of
 
 
 def _spans_by_doc(blobs: pa.Table) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
     """Per document: starts and ends (exclusive) of the runs of string starts in a part's blobs."""
-    many = [Records.unpack(b.as_py()) for b in blobs.column("blob")]
-    if not many:
+    if not blobs.num_rows:
         return {}
-    r = Records.joined(many)
+    r = Runs.joined([Runs.unpack(b.as_py()) for b in blobs.column("blob")])
     ids, ties = r.ids[r.doc], r.ties[r.doc]
     order = np.lexsort((r.pos, ties, ids))
     ids, ties, start, end = ids[order], ties[order], r.pos[order], (r.pos + r.more + 1)[order]
@@ -409,20 +523,18 @@ def _whole_characters(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[
 
 def _remove(schema: pa.Schema, as_text: bool):
     def remove(docs: pa.Table, blobs: pa.Table) -> pa.Table:
-        lists, seen = _spans_by_doc(blobs), set()
+        lists, none = _spans_by_doc(blobs), (np.zeros(0, np.int64),) * 2
         size, gone, runs, kept = [], [], [], []
-        for key in zip(docs.column("id").to_pylist(), docs.column("tie").to_pylist(), docs.column("text"), strict=True):
-            text, key = key[2].as_py() or b"", key[:2]
-            start, end = lists.get(key, (np.zeros(0, np.int64),) * 2)
-            if key in seen and len(text) >= LENGTH:
-                start, end = np.array([0]), np.array([len(text) - LENGTH + 1])
-            seen.add(key)
-            start, end = _merged(start, end + LENGTH - 1, join=1) if len(start) else (start, end)
-            start, end = _whole_characters(text, start, end) if as_text else (start, end)
+        for i, t, text in zip(docs.column("id").to_pylist(), docs.column("tie").to_pylist(), docs.column("text"), strict=True):
+            text = text.as_py()
+            start, end = lists.get((i, t), none)
+            if len(start):
+                start, end = _merged(start, end + LENGTH - 1, join=1)
+                start, end = _whole_characters(text, start, end) if as_text else (start, end)
             size.append(len(text))
             gone.append(int((end - start).sum()))
             runs.append(len(start))
-            kept.append(_cut(text, start, end))
+            kept.append(_cut(text, start, end) if len(start) else text)
         values = {"n_bytes": size, "n_removed": gone, "n_spans": runs, "kept": kept}
         return pa.Table.from_arrays([pa.array(values[f.name], f.type) if f.name in values else docs.column(f.name).cast(f.type) for f in schema], schema=schema)
 
@@ -432,117 +544,81 @@ def _remove(schema: pa.Schema, as_text: bool):
 # ---- the operator
 
 
+def _with_order(docs: DataFrame) -> DataFrame:
+    """The documents with ``__id``: whole numbers in the order of doc_id, nulls last."""
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, IntegralType):
+        return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = docs.select(F.col("doc_id").alias("__of")).filter("__of is not null").distinct().repartitionByRange(parts, "__of").sortWithinPartitions("__of")
+    ranks = staged(ids.withColumn("__id", F.monotonically_increasing_id()))
+    return docs.join(ranks, F.col("doc_id") == F.col("__of"), "left").drop("__of").withColumn("__id", F.coalesce("__id", F.lit(_LAST_ID)))
+
+
 def _keyed(docs: DataFrame, text: str, parts: int) -> DataFrame:
     """The documents with ``text`` as bytes, their order keys id and tie, and their part. Other columns get a prefix."""
     whole = F.coalesce(F.col(text), F.lit(""))
     other = [F.col(c).alias(f"c_{c}") for c in docs.columns if c != text]
-    frame = docs.select(*other, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("id"), F.xxhash64(whole).alias("tie"), whole.cast("binary").alias("text"))
-    return frame
-
-
-def _bits(ids: np.ndarray, ties: np.ndarray, size: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = mix64(ids.astype(np.uint64) * _ODD[2] + ties.astype(np.uint64))
-    return np.stack((h % np.uint64(size), (h >> np.uint64(32)) % np.uint64(size))).astype(np.int64)
-
-
-def document_filter(runs: DataFrame, rows: int) -> np.ndarray:
-    """A bit filter of the documents in packed runs. Slices of it are made by separate tasks; only finished slices are collected."""
-    size = min(FILTER_BITS, max(1 << 16, 1 << (16 * rows - 1).bit_length()))
-
-    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column("blob"):
-                r = Records.unpack(blob.as_py())
-                at = np.unique(_bits(r.ids, r.ties, size))
-                cuts = np.flatnonzero(np.diff(at // _SLICE_BITS, prepend=-1, append=-1))
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    yield _rows(_DEALT, [int(at[a] // _SLICE_BITS)], [(at[a:b] % _SLICE_BITS).astype(np.uint32).tobytes()])
-
-    def united(table: pa.Table) -> pa.Table:
-        marks = np.zeros(min(size, _SLICE_BITS), bool)
-        for blob in table.column("blob"):
-            marks[np.frombuffer(blob.as_py(), np.uint32)] = True
-        return pa.Table.from_batches([_rows(_DEALT, [table.column("bucket")[0].as_py()], [np.packbits(marks).tobytes()])])
-
-    out = np.zeros(size // 8, np.uint8)
-    for r in runs.mapInArrow(positions, _DEALT).groupBy("bucket").applyInArrow(united, _DEALT).collect():
-        at = r["bucket"] * _SLICE_BITS // 8
-        out[at : at + len(r["blob"])] = np.frombuffer(bytes(r["blob"]), np.uint8)
-    return out
-
-
-def _routed(keyed: DataFrame, bits: np.ndarray, parts: int) -> DataFrame:
-    """Adds ``part``, by the same rule as the tasks' own ``_part``; -1 for documents that aren't in the runs that the filter was made of."""
-    shared = keyed.sparkSession.sparkContext.broadcast(bits)
-
-    @pandas_udf(IntegerType())
-    def part(i: pd.Series, t: pd.Series) -> pd.Series:
-        ids, ties = i.to_numpy(), t.to_numpy()
-        at = _bits(ids, ties, len(shared.value) * 8)
-        named = ((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
-        return pd.Series(np.where(named, _part(ids, ties, parts), -1).astype(np.int32))
-
-    return keyed.withColumn("part", part("id", "tie"))
-
-
-def _sample(frame: DataFrame, rows: int) -> DataFrame:
-    chance = F.shiftrightunsigned(F.xxhash64(F.lit(29), "id", "tie"), 11) / float(1 << 53)
-    return frame.filter(chance < min(1.0, SAMPLE_DOCS / max(1, rows)))
+    frame = _with_order(docs).select(*other, F.col("__id").alias("id"), F.xxhash64(whole).alias("tie"), whole.cast("binary").alias("text"))
+    return frame.withColumn("part", part_of(F.col("id"), F.col("tie"), parts))
 
 
-def _collected(rows: list) -> Records | None:
-    return Records.joined([Records.unpack(bytes(r["blob"])) for r in rows]) if rows else None
+def _collected(frame: DataFrame, width: int) -> np.ndarray:
+    rows = [_unpacked(bytes(r["blob"])) for r in frame.select("blob").collect()]
+    return np.concatenate(rows) if rows else np.zeros((0, width), np.uint8)
 
 
-def repeats(keyed: DataFrame, parts: int, rows: int, total: int) -> DataFrame:
-    """part, kind, blob: packed runs of string starts that are repeats, and records of rows that are there twice. ``keyed``: id, tie, text (bytes)."""
-    lean = keyed.select("id", "tie", "text")
-    buckets = max(1, round(total * 2 / (LENGTH - GRAM + 2) / BUCKET_RECORDS))
-    splitters = choose_splitters(_collected(_sample(lean, rows).mapInArrow(_sampler(64), _DEALT).collect()), buckets)
-    sieved = staged(lean.mapInArrow(_sieve(splitters), _DEALT).groupBy("bucket").applyInArrow(_settle(parts, True), _FOUND))
-    edges = _edges(sieved, parts, True)
-    found = sieved if edges is None else sieved.unionByName(edges)
-    still = found.filter(F.col("kind") == OPEN).select("part", "blob")
-    # How many suffixes are open, and a sample of them for the splitters: those of the sampled documents.
-    located = _routed(lean, document_filter(still, rows), parts).filter("part >= 0")
-    some = _sample(located, rows).groupBy("part").cogroup(still.groupBy("part"))
-    first = some.applyInArrow(_open_windows([np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)] * 3), _DEALT)
-    sample = _collected(first.mapInArrow(_thinned(SAMPLE_RECORDS // parts + 1), _DEALT).collect())
-    count = still.mapInArrow(_counted, StructType([StructField("n", LongType())])).agg(F.sum("n")).first()[0] or 0
-    splitters = choose_splitters(sample, max(1, round(count / BUCKET_RECORDS)))
-    suffixes = located.groupBy("part").cogroup(still.groupBy("part")).applyInArrow(_open_windows(splitters), _DEALT)
-    sorted_suffixes = staged(suffixes.groupBy("bucket").applyInArrow(_settle(parts, False), _FOUND))
-    more = _edges(sorted_suffixes, parts, False)
-    found = found.unionByName(sorted_suffixes) if more is None else found.unionByName(sorted_suffixes).unionByName(more)
-    return found.filter(F.col("kind").isin(REPEAT, TWIN))
+def _thin(n: int) -> int:
+    return max(1, n // SAMPLE_RECORDS)
 
 
-def _sampler(most: int):
-    """About ``most`` records of each lot of documents, spread over them."""
-
+def _sampled_runs(thin: int):
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in _records_of(batch):
-                some = r.take(np.arange(0, len(r), max(1, len(r) // most)))
-                yield _rows(_DEALT, [0], [some.take(np.argsort(some.k, kind="stable")).pack()])
+            for r in _runs_of(batch):
+                some = r.take(np.arange(0, len(r), thin))
+                yield _rows(_DEALT, [0], [_packed(_sieve_rows(some))])
 
     return sample
 
 
-def _thinned(most: int):
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column("blob"):
-                r = Records.unpack(blob.as_py())
-                yield _rows(_DEALT, [0], [r.take(np.arange(0, len(r), max(1, len(r) // most))).pack()])
-
-    return thin
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([sum(int((r := Records.unpack(b.as_py())).more.sum()) + len(r) for b in batch.column("blob"))], pa.int64())], names=["n"])
+def repeats(lean: DataFrame, parts: int, rows: int, total: int) -> DataFrame:
+    """at (part), blob: packed runs of string starts that are repeats. ``lean``: id, tie, text (bytes), part; (id, tie) is unique."""
+    spark = lean.sparkSession
+    share = spark.sparkContext.broadcast
+    none = {w: share(np.zeros((0, w), np.uint8)) for w in (CONTENT + TAIL, STRING_CONTENT + TAIL)}
+    # A part is chosen by a hash of the document: the first parts are a sample of the documents.
+    first = max(1, -(-parts * SAMPLE_DOCS // max(1, rows)))
+    some = lean.filter(F.col("part") < first)
+    buckets = lambda n, size: int(min(MOST_BUCKETS, max(1, round(n / size))))
+    anchors = total * 2 / (LEFT + 2)
+    sample = _collected(some.mapInArrow(_sampled_runs(_thin(int(anchors * first / parts))), _DEALT), 32)
+    splitters = share(choose_splitters(sample, buckets(anchors, SIEVE_RECORDS)))
+    lots = lean.select("id", "tie", "text").mapInArrow(_sieve(splitters), _DEALT)
+    still = staged(lots.groupBy("bucket").applyInArrow(_settle_sieve(parts), _FOUND))
+    # Suffix array.
+    sums = still.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("at") < first, F.col("n"))).alias("some")).first()
+    runs = still.select(F.col("at").alias("part"), "blob")
+    seen = some.groupBy("part").cogroup(runs.filter(F.col("part") < first).groupBy("part")).applyInArrow(_open_suffixes(none[CONTENT + TAIL], _thin(sums["some"] or 0)), _DEALT)
+    splitters = share(choose_splitters(_collected(seen, CONTENT + TAIL), buckets(sums["all"] or 0, BUCKET_SUFFIXES)))
+    suffixes = lean.groupBy("part").cogroup(runs.groupBy("part")).applyInArrow(_open_suffixes(splitters), _DEALT)
+    found = staged(suffixes.groupBy("bucket").applyInArrow(_settle_suffixes(parts), _FOUND))
+    release(still)
+    out = found.filter(F.col("kind") == REPEAT).select("at", "blob")
+    # Across boundaries.
+    far = found.filter(F.col("kind") == FAR)
+    count = far.agg(F.sum("n")).first()[0] or 0
+    if not count:
+        return out
+    sample = _collected(far.select("blob").mapInArrow(_far_strings(none[STRING_CONTENT + TAIL], _thin(count)), _DEALT), STRING_CONTENT + TAIL)
+    splitters = share(choose_splitters(sample, buckets(count, BUCKET_STRINGS)))
+    strings = far.select("blob").mapInArrow(_far_strings(splitters), _DEALT)
+    last = staged(strings.groupBy("bucket").applyInArrow(_settle_strings(parts), _FOUND))
+    edges, width = last.filter(F.col("kind") == EDGE), STRING_CONTENT + TAIL
+    before = edges.select((F.col("at") + 1).alias("next"), F.substring("blob", width + 1, LENGTH).alias("end"))
+    again = edges.join(before, (F.col("at") == F.col("next")) & (F.substring("blob", 1, LENGTH) == F.col("end"))).select("blob")
+    out = out.unionByName(last.filter(F.col("kind") == REPEAT).select("at", "blob"))
+    return out.unionByName(again.mapInArrow(_first_repeats(parts), _FOUND).select("at", "blob"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", as_text: bool = False) -> DataFrame:
@@ -552,20 +628,35 @@ def remove_repeats(docs: DataFrame, text: str = "text", as_text: bool = False) -
     a repeat covers in part only stay.
     """
     sizes = docs.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
-    parts = max(1, -(-sizes["bytes"] // PART_BYTES))
+    parts = max(1, -(-sizes["bytes"] // PART_BYTES)) | 1
     keyed = _keyed(docs, text, parts)
-    spans = repeats(keyed, parts, sizes["rows"], sizes["bytes"])
+    twins = staged(keyed.groupBy("id", "tie").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", "tie"))
+    lone, twice = keyed, None
+    if not twins.isEmpty():  # rows equal in id and text: texts are grouped before they move
+        lone, twice = keyed.join(twins, ["id", "tie"], "left_anti"), keyed.join(twins, ["id", "tie"], "left_semi")
+        single = staged(twice.groupBy("id", "tie", "part").agg(F.first("text").alias("text")))
+    names = ["id", "tie", "text", "part"]
+    lean = lone.select(names) if twice is None else lone.select(names).unionByName(single.select(names))
+    spans = repeats(lean, parts, sizes["rows"], sizes["bytes"]).withColumnRenamed("at", "part")
     new = ("n_bytes", "n_removed", "n_spans")
     gone = (*new, text) if as_text else (*new, text, "kept")
     other = [f for f in docs.schema.fields if f.name not in gone]
-    schema = StructType([*[StructField(f"c_{f.name}", f.dataType) for f in other], *[StructField(n, LongType()) for n in new], StructField("kept", BinaryType())])
-    routed = _routed(keyed.select(*[f"c_{f.name}" for f in other], "id", "tie", "text"), document_filter(spans.select("blob"), sizes["rows"]), parts)
-    located = routed.filter("part >= 0")
-    runs = spans.filter(F.col("kind") == REPEAT).select("part", "blob")
-    out = located.groupBy("part").cogroup(runs.groupBy("part")).applyInArrow(_remove(to_arrow_schema(schema), as_text), schema)
-    none = F.lit(0).cast("long")
-    whole = routed.filter("part < 0").select(*[f"c_{f.name}" for f in other], F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").alias("kept"))
-    out = out.unionByName(whole)
+    results = [*[StructField(n, LongType()) for n in new], StructField("kept", BinaryType())]
+
+    def cut(frame: DataFrame, columns: list[StructField]) -> DataFrame:
+        schema = StructType([*columns, *results])
+        return frame.select(*[f.name for f in columns], *[n for n in names if n not in {f.name for f in columns}]).groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_remove(to_arrow_schema(schema), as_text), schema)
+
+    prefixed = [StructField(f"c_{f.name}", f.dataType) for f in other]
+    out = cut(lone, prefixed)
+    if twice is not None:
+        one = cut(single, [StructField("id", LongType()), StructField("tie", LongType())])
+        numbered = staged(twice.select("id", "tie", *[f.name for f in prefixed]).withColumn("uid", F.monotonically_increasing_id()))
+        chosen = numbered.groupBy("id", "tie").agg(F.min("uid").alias("chosen"))
+        copies = numbered.join(chosen, ["id", "tie"]).join(one, ["id", "tie"])
+        later = (F.col("uid") != F.col("chosen")) & (F.col("n_bytes") >= LENGTH)
+        instead = {"n_removed": F.col("n_bytes"), "n_spans": F.lit(1).cast("long"), "kept": F.lit("").cast("binary")}
+        out = out.unionByName(copies.select(*[f.name for f in prefixed], "n_bytes", *[F.when(later, x).otherwise(F.col(n)).alias(n) for n, x in instead.items()]))
     kept = F.col("kept").cast("string").alias(text) if as_text else F.col("kept")
-    cut = out.select(*[F.col(f"c_{f.name}").alias(f.name) for f in other], *new, kept)
-    return cut.select(*[c for c in docs.columns if c not in new], *new) if as_text else cut
+    left = out.select(*[F.col(f"c_{f.name}").alias(f.name) for f in other], *new, kept)
+    return left.select(*[c for c in docs.columns if c not in new], *new) if as_text else left

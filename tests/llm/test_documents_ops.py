@@ -232,9 +232,10 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("records, part", [(600_000, 16 << 20), (150, 20_000)])
+@pytest.mark.parametrize("records, part", [(600_000, 16 << 20), (60, 20_000)])
 def test_repeats_are_found_exactly(spark, odd_rows, monkeypatch, records, part):
-    monkeypatch.setattr(suffix_dedup, "BUCKET_RECORDS", records)
+    for name in ("SIEVE_RECORDS", "BUCKET_SUFFIXES", "BUCKET_STRINGS"):
+        monkeypatch.setattr(suffix_dedup, name, records)
     monkeypatch.setattr(suffix_dedup, "PART_BYTES", part)
     rows = [r for r in odd_rows if r[0] != 11 and r[0] is not None]  # equal ids with different texts have an order of their own
     from tests.llm.conftest import SCHEMA
@@ -246,20 +247,57 @@ def test_repeats_are_found_exactly(spark, odd_rows, monkeypatch, records, part):
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["sha"]) for r in got) == want
 
 
-def test_repeats_with_null_ids_and_as_text(odd, empty):
+def test_repeats_with_null_and_equal_ids(spark, odd, odd_rows, empty):
+    """The order of equal ids is that of a hash of the text, as documented; null comes last."""
+    hashes = {r["doc_id"]: r["h"] for r in spark.createDataFrame([(k, r[1] or "") for k, r in enumerate(odd_rows)], "doc_id int, t string").select("doc_id", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(range(len(odd_rows)), key=lambda k: (odd_rows[k][0] is None, odd_rows[k][0] or 0, hashes[k]))
+    want = Counter((odd_rows[k][0], *x) for k, x in zip(order, brute_repeats([(odd_rows[k][1] or "").encode() for k in order]), strict=True))
+    got = suffix_dedup.remove_repeats(odd).withColumn("sha", F.sha2("kept", 256)).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["sha"]) for r in got) == want
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_repeats_as_text_keep_whole_characters(odd, odd_rows, empty):
     got = suffix_dedup.remove_repeats(odd, as_text=True)
     assert got.count() == odd.count() and set(odd.columns) <= set(got.columns)
-    by_id = {r["doc_id"]: r for r in got.collect()}
-    assert by_id[None]["n_removed"] == 0 or by_id[None]["n_removed"] > 0
-    assert "�" not in by_id[11]["text"]
-    assert suffix_dedup.remove_repeats(empty).count() == 0
+    texts = {}
+    for r in odd_rows:
+        texts.setdefault(r[0], []).append(r[1] or "")
+    for r in got.collect():
+        assert "\ufffd" not in r["text"] and r["n_removed"] == r["n_bytes"] - len(r["text"].encode()) and r["n_bytes"] in {len(t.encode()) for t in texts[r["doc_id"]]}
+    assert suffix_dedup.remove_repeats(empty, as_text=True).count() == 0
 
 
-def test_multikey_order_is_a_full_sort():
+def test_repeats_with_ids_that_are_no_numbers(spark):
+    passage = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(150))
+    docs = spark.createDataFrame([("x10", passage + " one"), ("x9", "two " + passage), (None, passage), ("a", "nothing like it")], "doc_id string, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(docs).collect()} == {"x10": 0, "x9": 150, None: 150, "a": 0}
+
+
+def test_multikey_quicksort_orders_by_bytes():
     rng = np.random.default_rng(4)
-    keys = [rng.integers(0, 4, 500).astype(np.uint64), rng.integers(0, 3, 500).astype(np.uint64), rng.integers(0, 3, 500), rng.integers(0, 2, 500), rng.permutation(500)]
-    order = suffix_dedup.multikey_order(keys)
-    assert [tuple(int(k[i]) for k in keys) for i in order] == sorted(zip(*[map(int, k) for k in keys], strict=True))
+    rows = np.concatenate((rng.integers(0, 3, (900, 16)), np.zeros((300, 16), np.int64), rng.integers(0, 255, (500, 16)))).astype(np.uint8)
+    order = suffix_dedup.multikey_quicksort(rows)
+    assert [rows[i].tobytes() for i in order] == sorted(r.tobytes() for r in rows) and sorted(order.tolist()) == list(range(len(rows)))
+
+
+def test_buckets_are_ranges_of_whole_rows():
+    rng = np.random.default_rng(5)
+    rows = rng.integers(0, 2, (400, 24)).astype(np.uint8)
+    splitters = suffix_dedup.choose_splitters(np.unique(rows[:90], axis=0), 12)
+    got, keys = suffix_dedup.bucket_of(rows, splitters), [s.tobytes() for s in splitters]
+    assert got.tolist() == [sum(k <= r.tobytes() for k in keys) for r in rows]
+
+
+def test_strings_of_a_run_and_its_place_survive_packing():
+    rng = np.random.default_rng(7)
+    data = np.concatenate((rng.integers(1, 255, 700).astype(np.uint8), np.zeros(100, np.uint8)))
+    begin, more, off = np.array([3, 40, 597]), np.array([30, 0, 3]), np.array([40, 68, 5])
+    ids, ties = np.array([-5, 2**62, 7]), np.array([-(2**63), 1, -1])
+    rows = suffix_dedup._unpacked(suffix_dedup._packed(suffix_dedup.suffix_rows(data, begin, more, off, suffix_dedup._tails(ids, ties, begin))))
+    strings = suffix_dedup.string_rows(rows)
+    want = [(int(ids[i]), int(ties[i]), int(begin[i]) + k, data[begin[i] + k : begin[i] + k + 100].tobytes()) for i in range(3) for k in range(int(more[i]) + 1)]
+    assert list(zip(*[x.tolist() for x in suffix_dedup._untailed(strings)], [s[:100].tobytes() for s in strings], strict=True)) == want
 
 
 def test_equal_strings_have_equal_anchors():
@@ -268,7 +306,7 @@ def test_equal_strings_have_equal_anchors():
     data = np.concatenate((rng.integers(97, 110, 333).astype(np.uint8), text, rng.integers(97, 110, 77).astype(np.uint8)))
     inner = suffix_dedup.anchor_runs(text, np.array([0]), np.array([1000]))
     outer = suffix_dedup.anchor_runs(data, np.array([0]), np.array([len(data)]))
-    assert set(inner[3].tolist()) <= set(outer[3].tolist())
+    assert set(inner[4].tolist()) <= set(outer[4].tolist())
     assert int((inner[2] + 1).sum()) == 901
 
 
