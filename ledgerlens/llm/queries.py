@@ -49,7 +49,8 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", sentence_pieces.round_trip(F.col("text")).alias("t"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.select("doc_id", sentence_pieces.round_trip(docs).alias("t"))
     listed = F.concat_ws(",", F.col("t.token_ids").cast("array<string>"))
     return docs.select("doc_id", F.size("t.token_ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("t.decoded_text", 256).alias("decoded_sha256"))
 

@@ -394,29 +394,54 @@ def test_encoding_equals_the_library(odd, odd_rows, empty):
     got = sentence_pieces.decode(sentence_pieces.encode(odd)).collect()
     want = Counter((i, tuple(sp.encode(t or "")), sp.decode(sp.encode(t or ""))) for i, t in ids_and_texts(odd_rows))
     assert Counter((r["doc_id"], tuple(r["token_ids"]), r["decoded_text"]) for r in got) == want
-    both = odd.select("doc_id", sentence_pieces.round_trip(F.col("text")).alias("t")).select("doc_id", "t.*").collect()
+    both = odd.select("doc_id", sentence_pieces.round_trip(odd).alias("t")).select("doc_id", "t.*").collect()
     assert Counter((r["doc_id"], tuple(r["token_ids"]), r["decoded_text"]) for r in both) == want
     assert sentence_pieces.encode(empty).count() == 0
 
 
+@pytest.mark.parametrize("table, lot", [(40, 3), (0, 1)])
+def test_rare_chunks_are_encoded_by_the_tasks(spark, odd, odd_rows, monkeypatch, table, lot):
+    import sentencepiece
+
+    monkeypatch.setattr(sentence_pieces, "TABLE_CHUNKS", table)
+    monkeypatch.setattr(sentence_pieces, "COUNTED_CHUNKS", 100)
+    found = sentence_pieces.frequent_chunks(odd)
+    assert len(found) <= table and (table == 0 or found)
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(sentence_pieces.MODEL))
+    want = Counter((i, tuple(sp.encode(t or ""))) for i, t in ids_and_texts(odd_rows))
+    assert Counter((r["doc_id"], tuple(r["token_ids"])) for r in sentence_pieces.encode(odd).collect()) == want
+    counts = Counter(c for _, t in ids_and_texts(odd_rows) for c in sentence_pieces.chunks_of(t))
+    assert {r["chunk"]: r["n"] for r in sentence_pieces.count_chunks(odd).collect()} == counts
+
+
 def test_any_text_encodes_as_the_library_does(monkeypatch):
     import sentencepiece
     from hypothesis import given, settings
     from hypothesis import strategies as st
 
-    monkeypatch.setattr(sentence_pieces, "TABLE_LIMIT", 20)
+    monkeypatch.setattr(sentence_pieces, "TASK_CHUNKS", 20)
     sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(sentence_pieces.MODEL))
-    table = sentence_pieces.ChunkTable(sentence_pieces.MODEL)
+    known = ["▁a", "▁", "b", "▁▁"]
+    encoder = sentence_pieces.Encoder(dict(zip(known, sentence_pieces.segmented(known), strict=True)))
 
     @settings(max_examples=300, deadline=None)
-    @given(st.text(alphabet=st.one_of(st.sampled_from(" ▁\n\tabe<0x>"), st.characters(blacklist_categories=("Cs",))), max_size=40))
-    def holds(text):
-        ids = sp.encode(text)
-        assert table.encode(text) == ids and table.decode(ids) == sp.decode(ids)
+    @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" ▁\n\tabe<0x>"), st.characters(blacklist_categories=("Cs",))), max_size=40), max_size=4))
+    def holds(texts):
+        assert [np.frombuffer(x, np.int32).tolist() for x in encoder.encode(texts)] == [sp.encode(t) for t in texts]
 
     holds()
 
 
+def test_lots_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(sentence_pieces, "LOT_DOCS", 3)
+    monkeypatch.setattr(sentence_pieces, "LOT_CHARS", 10)
+    texts = ["a" * n if n is not None else None for n in (4, 4, 4, 20, None, 1, 1, 1, 1, 9)]
+    cut = [x.to_pylist() for x in sentence_pieces.lots(iter([pa.array(texts), pa.array([], pa.string())]))]
+    assert sum(cut, []) == texts and all(len(x) <= 3 and (len(x) == 1 or sum(map(len, filter(None, x))) <= 10) for x in cut)
+
+
 # ---- 10 toxicity
 
 
