@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD_PATTERN, staged
+from .shared import WORD_PATTERN, free_name, staged
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -109,12 +109,12 @@ def _round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def rounded(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, source, size, source_size, target, copies of each document."""
-    sized = docs.select("doc_id", "source", word_count(F.col(text)).alias("size")).withColumn("uid", F.monotonically_increasing_id())
-    return _round_copies(staged(sized)).drop("uid")
+    sized = docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("mark"), F.monotonically_increasing_id().alias("uid"))
+    return _round_copies(staged(sized)).drop("uid", "mark")
 
 
 def _round_copies(sized: DataFrame) -> DataFrame:
-    """``sized``, staged: uid, source, size and more; adds source_size, target and copies."""
+    """``sized``, staged: uid, doc_id, source, size, mark (a hash of the text); adds source_size, target and copies."""
     spark = sized.sparkSession
     targets = staged(source_targets(sized))
     renamed = targets.withColumnRenamed("source", "__source")
@@ -122,12 +122,13 @@ def _round_copies(sized: DataFrame) -> DataFrame:
     aimed = sized.join(renamed, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
     aimed = aimed.withColumn("__rate", rate)
     whole, part = F.floor("__rate").cast("int"), F.col("__rate") - F.floor("__rate")
-    # All chance comes from the document, so that neither files nor partitions change the result.
-    dice = F.xxhash64(F.lit(5), "doc_id", "source", "size")
+    # All chance and order come from the document, so that neither files nor partitions change the result: rows equal in
+    # doc_id, source and text may change places among themselves only.
+    dice = F.xxhash64(F.lit(5), "doc_id", "source", "mark")
     coin = F.shiftrightunsigned(dice, 11) / float(1 << 53)
     rows = sized.count()
     chunks = max(1, -(-rows // CHUNK_ROWS))
-    chunk = F.pmod(F.xxhash64(F.coalesce("doc_id", "uid"), F.lit(3)), F.lit(chunks))
+    chunk = F.pmod(F.xxhash64(dice, F.lit(3)), F.lit(chunks))
     level = aimed.filter((F.col("size") > 0) & (part > 0)).select("uid", "source", "size", whole.alias("whole"), part.alias("p"), chunk.alias("chunk"), dice.alias("dice"))
     parts, closed = int(spark.conf.get("spark.sql.shuffle.partitions")), None
     while True:
@@ -151,10 +152,10 @@ def _round_copies(sized: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents, each as often as the mix takes it, with all their columns."""
-    columns = docs.columns
-    whole = staged(docs.withColumns({"__uid": F.monotonically_increasing_id(), "__size": word_count(F.col(text))}))
-    sized = whole.select(F.col("doc_id"), F.col("source"), F.col("__size").alias("size"), F.col("__uid").alias("uid"))
-    copies = staged(_round_copies(sized).filter(F.col("copies") > 0).select(F.col("uid").alias("__of"), F.col("copies").alias("__copies")))
+    uid, size, mark, of, copies, copy = (free_name(docs, n) for n in ("__uid", "__size", "__mark", "__of", "__copies", "__copy"))
+    whole = staged(docs.withColumns({uid: F.monotonically_increasing_id(), size: word_count(F.col(text)), mark: F.xxhash64(text)}))
+    sized = whole.select("doc_id", "source", F.col(size).alias("size"), F.col(mark).alias("mark"), F.col(uid).alias("uid"))
+    times = staged(_round_copies(sized).filter(F.col("copies") > 0).select(F.col("uid").alias(of), F.col("copies").alias(copies)))
     # The decisions grow with the documents: they are merged at any size, never sent to all executors.
-    taken = whole.join(copies.hint("merge"), F.col("__uid") == F.col("__of"))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
+    taken = whole.join(times.hint("merge"), F.col(uid) == F.col(of))
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

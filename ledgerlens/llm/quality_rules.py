@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import SPACES, staged
+from .shared import SPACES, free_name, staged
 
 #: A document with fewer words fails.
 MIN_WORDS = 10
@@ -121,6 +121,7 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> Data
     Texts never move: they are measured once to count failures by host, and once more where they are kept.
     """
     counted = measures(docs, keep=(), text=text, host=host)
-    bad = host_verdicts(counted).filter(~F.col("host_good")).select(F.col("host").alias("__bad_host"))
-    good = docs.withColumn("__m", _measures(F.col(text))).filter(~base_failed("__m.")).drop("__m")
-    return good.join(bad, good[host].eqNullSafe(bad["__bad_host"]), "left_anti")
+    m, rejected = free_name(docs, "__m"), free_name(docs, "__bad_host")
+    bad = host_verdicts(counted).filter(~F.col("host_good")).select(F.col("host").alias(rejected))
+    good = docs.withColumn(m, _measures(F.col(text))).filter(~base_failed(f"{m}.")).drop(m)
+    return good.join(bad, good[host].eqNullSafe(bad[rejected]), "left_anti")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
-from .shared import staged
+from .shared import free_name, staged
 
 #: Rows in a bucket of a shard, about.
 BUCKET_ROWS = 20_000
@@ -72,8 +72,9 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarra
 def shuffle_into_shards(rows: DataFrame, shards: int, seed: int = 17) -> DataFrame:
     """All rows with ``shard`` (from 0) and ``slot`` (from 0, gapless in a shard)."""
     columns = [c for c in rows.columns if c not in ("shard", "slot")]
-    fixed = staged(rows.select(*columns).withColumn("__row", F.monotonically_increasing_id()))
-    part, index = F.shiftright("__row", _INDEX_BITS).cast("int"), F.col("__row").bitwiseAND((1 << _INDEX_BITS) - 1)
+    row, key, bucket, size, start, at = (free_name(rows, n) for n in ("__row", "__key", "__bucket", "__n", "__start", "__at"))
+    fixed = staged(rows.select(*columns).withColumn(row, F.monotonically_increasing_id()))
+    part, index = F.shiftright(row, _INDEX_BITS).cast("int"), F.col(row).bitwiseAND((1 << _INDEX_BITS) - 1)
     found = sorted((r["part"], r["n"]) for r in fixed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
     total = sum(n for _, n in found)
     matrix = communication_matrix([n for _, n in found], shards, seed)
@@ -93,11 +94,11 @@ def shuffle_into_shards(rows: DataFrame, shards: int, seed: int = 17) -> DataFra
             yield pd.Series(out)
 
     buckets = max(1, -(-total // (shards * BUCKET_ROWS)))
-    dealt = fixed.withColumn("shard", label(part, index)).withColumn("__key", F.xxhash64(F.lit(seed), "__row"))
-    dealt = dealt.withColumn("__bucket", F.floor(F.shiftrightunsigned("__key", 32) * buckets / float(1 << 32)).cast("int"))
-    sizes = dealt.groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    key = F.shiftrightunsigned("__key", 32), F.col("__key"), F.col("__row")
-    placed = dealt.withColumn("__at", F.row_number().over(Window.partitionBy("shard", "__bucket").orderBy(*key)) - 1)
-    return placed.join(starts, ["shard", "__bucket"]).select(*columns, "shard", (F.col("__start") + F.col("__at")).alias("slot"))
+    dealt = fixed.withColumn("shard", label(part, index)).withColumn(key, F.xxhash64(F.lit(seed), row))
+    dealt = dealt.withColumn(bucket, F.floor(F.shiftrightunsigned(key, 32) * buckets / float(1 << 32)).cast("int"))
+    sizes = dealt.groupBy("shard", bucket).agg(F.count(F.lit(1)).alias(size))
+    before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("shard", bucket, F.coalesce(F.sum(size).over(before), F.lit(0)).alias(start))
+    order = F.shiftrightunsigned(key, 32), F.col(key), F.col(row)
+    placed = dealt.withColumn(at, F.row_number().over(Window.partitionBy("shard", bucket).orderBy(*order)) - 1)
+    return placed.join(starts, ["shard", bucket]).select(*columns, "shard", (F.col(start) + F.col(at)).alias("slot"))

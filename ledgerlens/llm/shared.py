@@ -27,6 +27,13 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+def free_name(frame: DataFrame, name: str) -> str:
+    """``name``, or with underscores that make it new among the frame's columns."""
+    while name.lower() in map(str.lower, frame.columns):
+        name += "_"
+    return name
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

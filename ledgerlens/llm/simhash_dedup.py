@@ -2,13 +2,13 @@
 
 Fingerprints of 64 bits that differ in at most two bits agree in at least one of three blocks of
 bits. Every distinct fingerprint goes to the shard of each of its three block values; in a shard, a
-BK-tree (children keyed by their Hamming distance to the parent) is built and searched within the
-radius. As only distinct fingerprints take part, any number of equal texts weighs as one.
+BK-tree (children keyed by their Hamming distance to the parent) is built and searched, following only
+edges within the radius. As only distinct fingerprints take part, any number of equal texts weighs as one.
 
-A shard of more than ``SHARD_LIMIT`` distinct fingerprints isn't searched as a tree: its members
-are keyed by themselves and by each of their 64 one-bit changes. Two members within two bits share
-such a key, all members with a key are within two bits of each other, and no key has more than 65 of
-them, so that this way is exact and has no large group either.
+A shard of more than ``SHARD_LIMIT`` distinct fingerprints is divided in the same way: of the bits in which its members may
+differ, three blocks are made, and members within two bits agree in one of these too. This goes on until all shards
+are small, at any size of the input. Trees aren't sent to all executors: all trees together hold all fingerprints, which
+has no bound, so a tree is built and searched in the task of its shard.
 
 ``keep_one(docs, words=5, similarity=0.8)`` links texts by the exact Jaccard similarity of their shingles instead, for
 stages that remove near copies. Fingerprints of such pairs lie up to a dozen bits apart, and blocks for such a radius are
@@ -37,14 +37,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType
 
-from .shared import bound_batches, staged
+from .shared import bound_batches, free_name, release, staged
 
 RADIUS = 2
 SHINGLE_WORDS = 3
 SEED = 42
-#: First bit and number of bits of each block: one more block than the radius.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
-SHARD_LIMIT = 256
+#: Fingerprints in a shard's tree.
+SHARD_LIMIT = 1_000
+#: Shards whose members may differ in so few bits have no more members than 2 to their power: they aren't divided.
+LEAST_FREE = 6
 #: Documents that are asked for common shingles, and in how many of them a shingle is common.
 COMMON_SAMPLE, COMMON_DOCS = 20_000, 20
 #: A shingle shared by more sets than this is compared with its most central set first.
@@ -144,15 +145,15 @@ def shard_links(members: list[int], radius: int = RADIUS) -> list[tuple[int, int
 
 
 def _tree_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted rows (block, bits, fp); a shard may run over batches."""
-    rest = pd.DataFrame({"block": [], "bits": [], "fp": []}, dtype="int64")
+    """Sorted rows (mask, bits, fp); a shard may run over batches."""
+    rest = pd.DataFrame({"mask": [], "bits": [], "fp": []}, dtype="int64")
     for rows in chain_last(batches):
         last = rows is None
-        rows = rest if last else pd.concat([rest, rows[["block", "bits", "fp"]]], ignore_index=True)
+        rows = rest if last else pd.concat([rest, rows[["mask", "bits", "fp"]]], ignore_index=True)
         if rows.empty:
             continue
-        block, bits, fp = (rows[c].to_numpy() for c in ("block", "bits", "fp"))
-        cuts = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(bits) != 0)) + 1).tolist(), len(rows)]
+        mask, bits, fp = (rows[c].to_numpy() for c in ("mask", "bits", "fp"))
+        cuts = [0, *(np.flatnonzero((np.diff(mask) != 0) | (np.diff(bits) != 0)) + 1).tolist(), len(rows)]
         ended = len(cuts) - 1 if last else len(cuts) - 2
         links = [x for a, b in zip(cuts[:ended], cuts[1 : ended + 1], strict=True) for x in shard_links(fp[a:b].tolist())]
         rest = rows.iloc[cuts[ended] :]
@@ -167,21 +168,37 @@ def chain_last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]
     yield None
 
 
+def signed(bits: int) -> int:
+    """A 64-bit pattern as the signed number that Spark has for it."""
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def divided(mask: int) -> list[int]:
+    """Masks of the shards below the one whose members agree in the bits of ``mask``: one more block than the radius, of the other bits."""
+    free = [k for k in range(64) if not mask >> k & 1]
+    cuts = [len(free) * i // (RADIUS + 1) for i in range(RADIUS + 2)]
+    return [mask | sum(1 << k for k in free[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Pairs (a, b) of fingerprints within the radius that connect all that is so connected. ``distinct``: column fp."""
-    shards = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << n) - 1)).alias("bits")) for k, (at, n) in enumerate(BLOCKS)])
-    members = distinct.select("fp", F.explode(shards).alias("s")).select("s.block", "s.bits", "fp")
-    sizes = members.groupBy("block", "bits").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    sized = members.join(sizes, ["block", "bits"])
-    small = sized.filter(F.col("n") <= SHARD_LIMIT).select(F.col("block").cast("long"), "bits", "fp")
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_tree = small.repartition(parts, "block", "bits").sortWithinPartitions("block", "bits").mapInPandas(_tree_links, "a long, b long")
-    crowded = sized.filter(F.col("n") > SHARD_LIMIT).select("fp").distinct()
-    keys = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(64)])
-    keyed = crowded.select("fp", F.explode(keys).alias("key"))
-    first = keyed.groupBy("key").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    by_key = keyed.join(first, "key").filter(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b").distinct()
-    return by_tree.unionByName(by_key)
+    crowded, masks, trees = distinct.select("fp", F.lit(0).cast("long").alias("mask")), [0], None
+    while True:
+        below = {m: divided(m) for m in masks}
+        masks = sorted({x for many in below.values() for x in many})
+        of = F.create_map(*[x for m, many in below.items() for x in (F.lit(signed(m)).cast("long"), F.array(*[F.lit(signed(x)).cast("long") for x in many]))])
+        members = crowded.select("fp", F.explode(F.element_at(of, F.col("mask"))).alias("mask")).distinct()
+        members = members.withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
+        sizes = members.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+        sized = staged(members.join(sizes, ["mask", "bits"]))
+        fits = (F.col("n") <= SHARD_LIMIT) | (F.bit_count("mask") >= 64 - LEAST_FREE)
+        small = sized.filter(fits).select("mask", "bits", "fp")
+        trees = small if trees is None else trees.unionByName(small)
+        crowded = sized.filter(~fits).select("fp", "mask")
+        if crowded.isEmpty():
+            break
+    return trees.repartition(parts, "mask", "bits").sortWithinPartitions("mask", "bits").mapInPandas(_tree_links, "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -194,8 +211,10 @@ def connected(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
         new = labels.join(jump, F.col("label") == F.col("via")).join(near, F.col("node") == F.col("a"))
         new = staged(new.select("node", F.least("far", "near").alias("label"), F.col("label").alias("old")))
+        release(labels)
         labels = new.select("node", "label")
         if new.filter(F.col("label") != F.col("old")).isEmpty():
+            release(both)
             return labels
 
 
@@ -317,6 +336,10 @@ def keep_one(docs: DataFrame, text: str = "text", words: int = SHINGLE_WORDS, si
     The documents that go are looked up by doc_id and text hash; of rows that agree in both, one stays.
     """
     mark = {"__id": F.col("doc_id"), "__crc": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "__none": F.col(text).isNull()}
+    if clash := [c for c in docs.columns if c in mark]:
+        back = {free_name(docs, f"{c}_of_caller"): c for c in clash}
+        out = keep_one(docs.withColumnsRenamed({c: n for n, c in back.items()}), text, words, similarity)
+        return out.withColumnsRenamed(back)
     if similarity is None:
         prints = staged(docs.select(*[c.alias(n) for n, c in mark.items()], _fingerprints(words)(F.col(text)).alias("fp")))
         of = _classes(prints)
@@ -330,10 +353,16 @@ def keep_one(docs: DataFrame, text: str = "text", words: int = SHINGLE_WORDS, si
     stay = of.join(by_fp, "fp").groupBy("label").agg(F.min("first").alias("s")).select("s.__id", "s.__crc", "s.__none")
     rows = prints.groupBy(*mark).agg(F.count(F.lit(1)).alias("__rows"))
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in mark]
-    stay = staged(rows.alias("l").join(stay.alias("r"), same).select("l.*"))
-    kept = docs.withColumns(mark).alias("l").join(stay.alias("r"), same)
-    if stay.filter(F.col("__rows") > 1).isEmpty():
-        return kept.select(*[F.col(f"l.{c}") for c in docs.columns])
-    once = kept.filter(F.col("__rows") == 1).select(*[F.col(f"l.{c}") for c in docs.columns])
-    again = kept.filter(F.col("__rows") > 1).select("l.*").dropDuplicates(list(mark)).select(*docs.columns)
-    return once.unionByName(again)
+    judged = staged(rows.alias("l").join(stay.withColumn("__stays", F.lit(True)).alias("r"), same, "left").select("l.*", F.coalesce("r.__stays", F.lit(False)).alias("__stays")))
+
+    def named(wanted: Column) -> DataFrame:
+        few = judged.filter(wanted).select(*mark)
+        return (F.broadcast(few) if few.count() <= NAMED_LIMIT else few).alias("r")
+
+    marked = docs.withColumns(mark).alias("l")
+    left = marked.join(named(~F.col("__stays")), same, "left_anti")
+    again = F.col("__stays") & (F.col("__rows") > 1)
+    if judged.filter(again).isEmpty():
+        return left.select(*docs.columns)
+    once = left.join(named(again), same, "left_anti").select(*docs.columns)
+    return once.unionByName(left.join(named(again), same, "left_semi").dropDuplicates(list(mark)).select(*docs.columns))

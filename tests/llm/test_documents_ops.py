@@ -359,8 +359,8 @@ def test_simhash_classes(odd, odd_rows, empty):
     assert simhash_dedup.classes(empty).count() == 0 and simhash_dedup.keep_one(empty).count() == 0
 
 
-@pytest.mark.parametrize("limit", [256, 3])
-def test_links_by_trees_and_by_changes(spark, monkeypatch, limit):
+@pytest.mark.parametrize("limit", [1000, 3, 1])
+def test_links_at_several_shard_sizes(spark, monkeypatch, limit):
     monkeypatch.setattr(simhash_dedup, "SHARD_LIMIT", limit)
     rng = np.random.default_rng(8)
     prints = []
