@@ -5,31 +5,10 @@ from collections import Counter
 
 import pytest
 
-import corpus_pipeline
-from ledgerlens.llm import simhash_dedup
+from ledgerlens.llm import pipeline, simhash_dedup
+from ledgerlens.llm.shared import staged
 from tests.llm.test_documents_ops import brute_classes, brute_fingerprint
-from tests.llm.test_pipeline import _cut
-
-
-def brute_similar(rows, words=5):
-    """The smallest id of each class of texts that pairs of a Jaccard similarity of 0.8 or more connect."""
-    sets = {}
-    for i, t in rows:
-        w = (t or "").encode().lower().split()
-        sets[i] = frozenset(tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))) if w else frozenset()
-    parent = {i: i for i in sets}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in sorted(sets):
-        for j in sorted(sets):
-            if i < j and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
-                a, b = sorted((root(i), root(j)))
-                parent[b] = a
-    return {root(i) for i in sets}
+from tests.llm.test_pipeline import _cut, brute_similar
 
 
 @pytest.mark.parametrize("limit, common", [(64, 20), (3, 20), (3, 3)])
@@ -59,11 +38,11 @@ def test_edited_copies_go(spark, monkeypatch, limit, common):
 
 def test_near_duplicate_stage(spark):
     """The stage on given documents; edited copies that are more than two bits apart go. The next stage works on what is left."""
-    docs = corpus_pipeline.staged(corpus_pipeline.quality(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), ""))
+    docs = staged(pipeline.quality(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), ""))
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    left = corpus_pipeline.staged(corpus_pipeline.near_duplicates(spark, docs, ""))
+    left = staged(pipeline.near_duplicates(spark, docs, ""))
     assert left.columns == docs.columns
     ids = {r["doc_id"] for r in left.collect()}
     assert ids == brute_similar(rows) and ids != {c for _, _, c in brute_classes([(i, brute_fingerprint(t)) for i, t in rows])}
-    cut = corpus_pipeline.repeated_passages(spark, left, "")
+    cut = pipeline.repeated_passages(spark, left, "")
     assert Counter((r["doc_id"], r["text"]) for r in cut.collect()) == Counter(_cut(left.collect()))
