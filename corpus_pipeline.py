@@ -1,61 +1,5 @@
-"""The training-corpus pipeline: quality rules, near-duplicates, repeated passages, source mix, tokens.
+"""The training-corpus pipeline of ``ledgerlens.llm.pipeline``: its stages, their SQL and the whole run."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next
-stage's documents. All stages but the last return the columns of ``documents``.
-"""
+from ledgerlens.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ledgerlens.llm import mixing, quality_rules, sentence_pieces, simhash_dedup, suffix_dedup
-from ledgerlens.llm.shared import read_table, staged
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, and all of rejected hosts, go."""
-    return quality_rules.keep_good(docs)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays: shingles of five words with a Jaccard similarity of 0.8 or more."""
-    return simhash_dedup.keep_one(docs, words=5, similarity=0.8)
-
-
-def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur earlier go from the texts; documents of which nothing is left go."""
-    cut = suffix_dedup.remove_repeats(docs, as_text=True)
-    cut = cut.filter((F.col("n_removed") == 0) | (F.length("text") > 0)).select(*docs.columns)
-    return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
-
-
-def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document is there as often as the mix takes it."""
-    return mixing.mix(docs)
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and the ids of the whole text."""
-    encoded = sentence_pieces.encode(docs.select("doc_id", "lang", "source", "text"))
-    return encoded.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
-
-
-STAGES = [
-    ("quality rules", quality),
-    ("SimHash near-dedup", near_duplicates),
-    ("suffix-array dedup", repeated_passages),
-    ("mixing sources to target weights", source_mix),
-    ("SentencePiece encoding and decoding", tokens),
-]
-#: SQL expresses neither the fingerprints' hash nor the mix's rounding nor the encoding: the tests hold brute force against run().
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = read_table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES, start=1):
-        docs = stage(spark, docs, sf_dir)
-        docs = staged(docs) if k < len(STAGES) else docs
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
