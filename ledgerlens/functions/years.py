@@ -7,19 +7,27 @@ from pyspark.sql import functions as F
 
 from .text import THAI_DIGITS, clean
 
-FIRST_YEAR, LAST_YEAR = 2540, 2580
-# Month names, fixed values.
+FIRST_YEAR, LAST_YEAR = 2540, 2600
+#: Years of two digits are read after a word for the budget or the year, within these; ranges are no longer than so many years.
+FIRST_SHORT, LAST_SHORT, LONGEST_RANGE = 40, 79, 30
+# Words before a year of two digits, fixed values.
+YEAR_WORDS = ("ปีงบประมาณ", "ของบประมาณ", "งบประมาณ", "ของบฯ", "ปีงบ", "ของบ", "พ.ศ.", "พ.ศ", "งบฯ", "งบ", "ปี")
+# Month names and their abbreviations (dots and blanks left out), fixed values.
 MONTHS = ("มกราคม", "กุมภาพันธ์", "มีนาคม", "เมษายน", "พฤษภาคม", "มิถุนายน", "กรกฎาคม", "สิงหาคม", "กันยายน", "ตุลาคม", "พฤศจิกายน", "ธันวาคม")
+SHORT_MONTHS = ("มค", "กพ", "มีค", "เมย", "พค", "มิย", "กค", "สค", "กย", "ตค", "พย", "ธค")
 
 
 def fiscal_years(text: Column) -> Column:
-    """Sorted distinct years of the local era that a text names: ranges as all their years, single years of 4 digits."""
-    x = F.translate(text, THAI_DIGITS, "0123456789")
-    ranges = F.transform(F.regexp_extract_all(x, F.lit(r"(25\d{2})\s*[-–]\s*(25\d{2})"), F.lit(0)), lambda r: F.regexp_extract_all(r, F.lit(r"(25\d{2})"), F.lit(1)))
-    spans = F.transform(ranges, lambda r: F.sequence(F.least(r[0], r[1]).cast("int"), F.greatest(r[0], r[1]).cast("int")))
-    single = F.transform(F.regexp_extract_all(x, F.lit(r"(?<!\d)(25\d{2})(?!\d)"), F.lit(1)), lambda y: y.cast("int"))
-    found = F.array_distinct(F.concat(F.flatten(spans), single))
-    return F.array_sort(F.filter(found, lambda y: y.between(FIRST_YEAR, LAST_YEAR)))
+    """Sorted distinct years of the local era that a text names: ranges as all their years, years of 4 digits, and of 2 after a word for them."""
+    x = clean(text)
+    pairs = F.transform(F.regexp_extract_all(x, F.lit(r"(25\d{2})\s*[-–]\s*(25\d{2})"), F.lit(0)), lambda r: F.transform(F.array(F.substring(r, 1, 4), F.right(r, F.lit(4))), lambda y: y.cast("int")))
+    ranges = F.filter(pairs, lambda r: (r[1] - r[0]).between(0, LONGEST_RANGE))
+    spans = F.flatten(F.transform(ranges, lambda r: F.sequence(r[0], r[1])))
+    single = F.transform(F.regexp_extract_all(x, F.lit(r"25\d{2}"), F.lit(0)), lambda y: y.cast("int"))
+    words = "|".join(w.replace(".", r"\.") for w in YEAR_WORDS)
+    short = F.transform(F.regexp_extract_all(x, F.lit(rf"(?:{words})[\s.:]{{0,4}}(\d\d)(?!\d)"), F.lit(1)), lambda y: y.cast("int"))
+    short = F.transform(F.filter(short, lambda y: y.between(FIRST_SHORT, LAST_SHORT)), lambda y: y + 2500)
+    return F.array_sort(F.array_distinct(F.filter(F.concat(spans, single, short), lambda y: y.between(FIRST_YEAR, LAST_YEAR))))
 
 
 def targets_year(sheet: Column, year: int) -> Column:
@@ -28,11 +36,12 @@ def targets_year(sheet: Column, year: int) -> Column:
 
 
 def meeting_date(folder: Column) -> Column:
-    """ISO date of a text like "... 12 <month> 2569": day, month's name, year of the local era."""
+    """The date of a text like "... 12 <month> 2569", in ISO form with the year of the local era; months in full or abbreviated."""
+    pattern = r"(\d{1,2})\s*([^\d()]+?)\s*(\d{4})(?!\d)"
     x = clean(folder)
-    pattern = r"(\d{1,2})\s*(" + "|".join(MONTHS) + r")\s*(25\d{2})"
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(x, pattern, 2))
-    day, year = F.regexp_extract(x, pattern, 1).try_cast("int"), F.regexp_extract(x, pattern, 3).try_cast("int") - 543
+    name = F.regexp_replace(F.regexp_extract(x, pattern, 2), r"[.\s]", "")
+    month = F.greatest(F.array_position(F.array(*map(F.lit, MONTHS)), name), F.array_position(F.array(*map(F.lit, SHORT_MONTHS)), name))
+    day, year = F.regexp_extract(x, pattern, 1).try_cast("int"), F.regexp_extract(x, pattern, 3).try_cast("int")
     return F.when(month > 0, F.format_string("%04d-%02d-%02d", year, month, day))
 
 

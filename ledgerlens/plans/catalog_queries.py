@@ -155,10 +155,10 @@ def trend_change_pct(spark, d):
     return trends.change(trends.with_basis(trends.points(counted(spark, d))))
 
 
-@query("WITH " + FLAGGED + _BASIS + """, r AS (SELECT group_key, year_be, year_be - row_number() OVER (PARTITION BY group_key ORDER BY year_be) AS run FROM ch WHERE year_be % 4 <> 1)
+@query("WITH " + FLAGGED + _BASIS + """, r AS (SELECT group_key, year_be, year_be - row_number() OVER (PARTITION BY group_key ORDER BY year_be) AS run FROM ch)
 SELECT group_key, min(year_be) AS from_year, max(year_be) AS to_year FROM r GROUP BY group_key, run""")
 def trend_year_runs(spark, d):
-    return trends.year_runs(trends.with_basis(trends.points(counted(spark, d))).filter("year_be % 4 <> 1"))
+    return trends.year_runs(trends.with_basis(trends.points(counted(spark, d))))
 
 
 @query("WITH " + FLAGGED + _BASIS + """ SELECT substr(sha1(group_key), 1, 2) AS hh, group_key, basis,

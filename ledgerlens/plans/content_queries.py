@@ -82,13 +82,13 @@ def doc_chunks(spark, d):
     return documents.chunks(table(spark, d, "documents"))
 
 
-@query("""WITH o AS (SELECT DISTINCT source_doc FROM (SELECT 'd' || (o_orderkey % 700) AS source_doc FROM orders WHERE o_orderkey % 700 < 350)), k AS (SELECT DISTINCT doc_id FROM documents WHERE n_chars > 1000)
-SELECT d.doc_id, CASE WHEN source_doc IS NOT NULL THEN 'table' WHEN k.doc_id IS NOT NULL THEN 'text' WHEN CASE WHEN d.doc_id % 5 = 0 THEN d.doc_id % 10 = 0 ELSE lang = 'en' END THEN 'text_layer' ELSE 'none' END AS extracted,
-  CASE WHEN d.doc_id % 5 = 0 THEN d.doc_id % 10 = 0 ELSE lang = 'en' END AS has_text_layer FROM documents d LEFT JOIN o ON source_doc = 'd' || d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""")
+@query("""WITH o AS (SELECT DISTINCT o_custkey AS doc_id FROM orders), k AS (SELECT DISTINCT doc_id FROM documents WHERE n_chars > 1000), l AS (SELECT doc_id, max(quality) = 1 AS layer FROM labels GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN o.doc_id IS NOT NULL THEN 'table' WHEN k.doc_id IS NOT NULL THEN 'text' WHEN coalesce(layer, lang = 'en') THEN 'text_layer' ELSE 'none' END AS extracted,
+  coalesce(layer, lang = 'en') AS has_text_layer FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id""")
 def document_state(spark, d):
     docs = table(spark, d, "documents")
-    report = docs.filter("doc_id % 5 = 0").select("doc_id", (F.col("doc_id") % 10 == 0).alias("has_text_layer"))
-    named = table(spark, d, "orders").select((F.col("o_orderkey") % 700).alias("source_doc_id")).filter("source_doc_id < 350")
+    report = table(spark, d, "labels").groupBy("doc_id").agg((F.max("quality") == 1).alias("has_text_layer"))
+    named = table(spark, d, "orders").select(F.col("o_custkey").alias("source_doc_id"))
     return documents.enriched(docs.select("doc_id", (F.col("lang") == "en").alias("has_text_layer")), report, docs.filter("n_chars > 1000"), named).select("doc_id", "extracted", "has_text_layer")
 
 
@@ -98,9 +98,11 @@ def fold_text(spark, d):
     return docs.select("doc_id", text.fold(F.col("text")).alias("folded"))
 
 
-@query("SELECT conv_id, turn, length(nfc_normalize(text)) AS n FROM conversations")
+@query(r"""WITH x AS (SELECT conv_id, turn, translate(replace(translate(nfc_normalize(text), chr(8203) || chr(65279), ''), chr(3661) || chr(3634), chr(3635)), '๐๑๒๓๔๕๖๗๘๙', '0123456789') AS t FROM conversations)
+SELECT conv_id, turn, length(t2) AS n, md5(t2) AS hash FROM (SELECT conv_id, turn, trim(regexp_replace(t, '[\t\n\v\f\r\x{85}\p{Z}]+', ' ', 'g')) AS t2 FROM x)""")
 def clean_text(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.length(text.nfc(F.col("text"))).cast("long").alias("n"))
+    cleaned = table(spark, d, "conversations").select("conv_id", "turn", text.clean(F.col("text")).alias("t"))
+    return cleaned.select("conv_id", "turn", F.length("t").cast("long").alias("n"), F.md5("t").alias("hash"))
 
 
 @query("""WITH x AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '(' || o_totalprice || ')' WHEN 1 THEN ' ' || o_totalprice || ' ' WHEN 2 THEN '-' WHEN 3 THEN 'n/a' WHEN 4 THEN '-' || o_totalprice ELSE floor(o_totalprice / 1000)::BIGINT || ',' || lpad((floor(o_totalprice)::BIGINT % 1000)::VARCHAR, 3, '0') END AS money FROM orders)
@@ -112,11 +114,18 @@ def price_normalization(spark, d):
     return table(spark, d, "orders").select("o_orderkey", numbers.baht(money).alias("baht"))
 
 
-@query("""SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_concat(range(2540 + o_orderkey % 10, 2543 + o_orderkey % 10), [2560 + o_orderkey % 25]))), ',') AS years FROM orders WHERE 2560 + o_orderkey % 25 <= 2580
-UNION ALL SELECT o_orderkey, array_to_string(range(2540 + o_orderkey % 10, 2543 + o_orderkey % 10), ',') FROM orders WHERE 2560 + o_orderkey % 25 > 2580""")
+@query("""WITH x AS (SELECT o_orderkey, o_orderkey % 5 AS kind, 2535 + o_orderkey % 75 AS y, o_orderkey % 7 AS n, 35 + o_orderkey % 50 AS short FROM orders),
+f AS (SELECT o_orderkey, CASE kind WHEN 0 THEN list_concat(CASE WHEN y + n < 2600 THEN range(y, y + n + 1) ELSE [y] END, [y + 9]) WHEN 1 THEN [y] WHEN 2 THEN CASE WHEN short BETWEEN 40 AND 79 THEN [2500 + short] ELSE [] END WHEN 3 THEN [y, y + 1] ELSE [] END AS years FROM x)
+SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_filter(years, lambda v: v BETWEEN 2540 AND 2599))), ',') AS years FROM f""")
 def fiscal_years_of_text(spark, d):
-    first, single = 2540 + F.col("o_orderkey") % 10, 2560 + F.col("o_orderkey") % 25
-    label = F.concat_ws(" ", F.lit("plan"), F.concat_ws("-", first.cast("string"), (first + 2).cast("string")), F.lit("annex"), single.cast("string"))
+    k = F.col("o_orderkey")
+    y, n, short = 2535 + k % 75, k % 7, 35 + k % 50
+    text_of = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    label = (
+        F.when(k % 5 == 0, text_of("plan ", y.cast("string"), " – ", (y + n).cast("string"), " annex", (y + 9).cast("string"), "x"))
+        .when(k % 5 == 1, text_of("report_", y.cast("string"), "07.pdf")).when(k % 5 == 2, text_of("งบประมาณ ", short.cast("string"), " เล่ม 3"))
+        .when(k % 5 == 3, text_of((y + 1).cast("string"), "-", y.cast("string"))).otherwise("no year, 24 files, 125 pages")
+    )
     return table(spark, d, "orders").select("o_orderkey", F.array_join(years.fiscal_years(label).cast("array<string>"), ",").alias("years"))
 
 

@@ -72,5 +72,5 @@ def find_documents(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", F.concat(F.lit("doc"), (F.col("doc_id") % 40).cast("string")).alias("topic"), F.when(F.col("doc_id") % 9 == 0, "other").otherwise("pdf").alias("kind"))
     index = endpoints.document_index(docs, ("lang", "source", "topic"))
     both = docs.withColumn("key", F.concat_ws(" ", "lang", "source", "topic"))
-    found = endpoints.find_documents(index, both, "src7 doc7", 20)
-    return found.filter(F.col("topic") == "doc7").filter(F.col("source") == "src7").select(F.col("id").alias("doc_id"))
+    asked = both.filter((F.col("topic") == "doc7") & (F.col("source") == "src7"))
+    return endpoints.find_documents(index, asked, "src7 doc7", 20).select(F.col("id").alias("doc_id"))

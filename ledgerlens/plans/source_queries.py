@@ -73,10 +73,45 @@ def _named_parts(spark, d):
     return table(spark, d, "part").withColumn("item_name_raw", name)
 
 
-@query(f"SELECT p_partkey, p_name || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' ใหม่' END AS item_key, {_PROVINCES}[1 + p_partkey % 77] AS province, 'ช้างเผือก' AS tambon, p_size::DOUBLE AS item_qty, 'เครื่อง' AS item_unit, '' AS flags FROM part")
+# What follows a part's name, and what the parser must make of it: key, quantity, unit, province, tambon, specification, flags.
+_ENDINGS = (
+    (" จำนวน 12 ชุด", "", 12, "ชุด", None, None, "", ""),
+    (" 3 คัน", "", 3, "คัน", None, None, "", ""),
+    (" 2 คัน 5 คัน", "", 5, "คัน", None, None, "", "qty_parsed_low_conf"),
+    (" จำนวน 4 เครื่อง พร้อม 2 ชุด", " พร้อม", 4, "เครื่อง", None, None, "", "qty_parsed_low_conf"),
+    (" กว้าง 4.50 เมตร", " กว้าง 4.5 เมตร", None, None, None, None, "4.5 เมตร", ""),
+    (" ขนาด 1,260 ลูกบาศก์เมตร ตำบลโคกก่อง จังหวัดตรัง", " ขนาด 1260 ลูกบาศก์เมตร", None, None, "ตรัง", "โคกก่อง", "1260 ลูกบาศก์เมตร", ""),
+    (" ระยะทาง 1,200 เมตร", "", 1200, "เมตร", None, None, "", "qty_is_measure"),
+    (" พื้นที่ 35 ไร่ จ.เลย", "", 35, "ไร่", "เลย", None, "", "qty_is_measure"),
+    (" 30,000 บีทียู", " 30000 บีทียู", None, None, None, None, "30000 บีทียู", ""),
+    (" แบบติดผนัง 18000 BTU จำนวน 2 เครื่อง", " แบบติดผนัง 18000 btu", 2, "เครื่อง", None, None, "18000 BTU|ติดผนัง", ""),
+    (" AC0405", " ac0405", None, None, None, None, "", ""),
+    (" IPv6 7 ชุด", " ipv6", 7, "ชุด", None, None, "", ""),
+    (" ต.นาดี,บ้านใหม่ อ.เมือง จ.พังงา", "", None, None, "พังงา", "นาดี", "", ""),
+    (" หมู่ที่ 3,5 ตำบลนาโยง", "", None, None, None, "นาโยง", "", ""),
+    (" โรงเรียนวัดใหม่ ตำบลบางแก้ว จังหวัดชลบุรี", "", None, None, "ชลบุรี", "บางแก้ว", "", ""),
+    (" ก่อสร้างโรงเรียนวัดใหม่ ตำบลบางแก้ว", " ก่อสร้างโรงเรียนวัดใหม่", None, None, None, "บางแก้ว", "", "org_tail_uncertain"),
+    (" กรุงเทพมหานคร", "", None, None, "กรุงเทพมหานคร", None, "", ""),
+    (" เทศบาลเมืองลำพูน", "", None, None, "ลำพูน", None, "", ""),
+    (" บ้านพัก 6 หลัง", " บ้านพัก", 6, "หลัง", None, None, "", ""),
+    (" บ้านคลอง16 หมู่ 2", "", None, None, None, None, "", ""),
+    (" (แบบพิเศษ) 0.50 ตัน", " แบบพิเศษ 0.5 ตัน", None, None, None, None, "0.5 ตัน", ""),
+    (" ติดตั้งระบบความยาวรวม", " ติดตั้งระบบ", None, None, None, None, "", ""),
+)
+
+
+def _ending_values() -> str:
+    quote = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else f"'{v}'"
+    return ", ".join(f"({k}, {', '.join(quote(v) for v in row)})" for k, row in enumerate(_ENDINGS))
+
+
+@query(f"""SELECT p_partkey, lower(p_name) || key AS item_key, province, tambon, qty::DOUBLE AS item_qty, unit AS item_unit, specs, flags
+FROM part JOIN (VALUES {_ending_values()}) AS e(k, ending, key, qty, unit, province, tambon, specs, flags) ON k = p_partkey % {len(_ENDINGS)}""")
 def parse_items(spark, d):
-    found = items.parse_items(_named_parts(spark, d))
-    return found.select("p_partkey", "item.item_key", "item.province", "item.tambon", "item.item_qty", "item.item_unit", F.array_join("item.quality_flags", "|").alias("flags"))
+    endings = F.array(*[F.lit(row[0]) for row in _ENDINGS])
+    named = table(spark, d, "part").withColumn("item_name_raw", F.concat("p_name", endings[(F.col("p_partkey") % len(_ENDINGS)).cast("int")]))
+    found = items.parse_items(named)
+    return found.select("p_partkey", "item.item_key", "item.province", "item.tambon", "item.item_qty", "item.item_unit", F.array_join("item.spec_tokens", "|").alias("specs"), F.array_join("item.quality_flags", "|").alias("flags"))
 
 
 @query(f"""WITH x AS (SELECT *, p_partkey % 3 = 0 OR p_size < 20 AS sure, CASE WHEN p_partkey % 11 = 0 THEN ['corrupt_row'] WHEN p_partkey % 13 = 0 THEN ['upstream_ocr'] ELSE []::VARCHAR[] END AS own FROM part)
@@ -96,15 +131,19 @@ def normalized_lines(spark, d):
     return found.select("source_id", F.col("fiscal_year_be").cast("int").alias("fiscal_year_be"), F.col("fiscal_year_ce").cast("int").alias("fiscal_year_ce"), "gov_level", "province", "unit_price_thb", "is_capital", F.array_join("quality_flags", "|").alias("quality_flags"), F.round("disbursement_rate", 6).alias("disbursement_rate"))
 
 
-@query("""WITH f AS (SELECT n_nationkey, n_name, s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
-SELECT CASE WHEN s_suppkey % 9 = 4 THEN 'nowhere' ELSE n_name END AS ministry, CASE WHEN s_suppkey % 7 = 3 THEN s_name || '  ' WHEN s_suppkey % 7 = 5 THEN 'unheard of ' || s_suppkey ELSE s_name END AS agency,
-  CASE WHEN s_suppkey % 9 <> 4 OR s_suppkey % 7 <> 5 THEN n_nationkey::VARCHAR END AS ministry_code, CASE WHEN s_suppkey % 7 <> 5 THEN s_suppkey::VARCHAR END AS agency_code,
-  CASE WHEN s_suppkey % 7 <> 5 THEN 'exact' ELSE 'none' END AS method, CASE WHEN s_suppkey % 7 <> 5 THEN '' WHEN s_suppkey % 9 = 4 THEN 'ministry_unmapped|org_unmapped' ELSE 'org_unmapped' END AS flags FROM f""")
+@query("""WITH f AS (SELECT n_nationkey, n_name, s_suppkey, s_name, s_suppkey % 9 = 4 AS lost, s_suppkey % 9 = 5 AS spoilt, s_suppkey % 7 NOT IN (3, 5) AND s_suppkey % 11 = 6 AS hurt FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+r AS (SELECT *, s_suppkey % 7 <> 5 AND NOT (lost AND hurt) AS found FROM f)
+SELECT CASE WHEN lost THEN 'nowhere' WHEN spoilt THEN 'Xinistry of ' || n_name ELSE 'Ministry of ' || n_name END AS ministry,
+  CASE WHEN s_suppkey % 7 = 3 THEN s_name || '  ' WHEN s_suppkey % 7 = 5 THEN 'unheard of ' || s_suppkey WHEN hurt THEN 'X' || substr(s_name, 2) ELSE s_name END AS agency,
+  CASE WHEN found OR NOT lost THEN n_nationkey::VARCHAR END AS ministry_code, CASE WHEN found THEN s_suppkey::VARCHAR END AS agency_code,
+  CASE WHEN NOT found THEN 'none' WHEN hurt OR spoilt THEN 'fuzzy' ELSE 'exact' END AS method, CASE WHEN found THEN '' WHEN lost THEN 'ministry_unmapped|org_unmapped' ELSE 'org_unmapped' END AS flags FROM r""")
 def resolve_orgs(spark, d):
     s, n = table(spark, d, "supplier"), table(spark, d, "nation")
-    facts = s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("n_nationkey").cast("string").alias("min_code"), F.col("n_name").alias("min_name"), F.col("s_suppkey").cast("string").alias("agc_code"), F.col("s_name").alias("agc_name"), F.col("s_suppkey").alias("row_no"))
-    k = F.col("row_no")
-    asked = facts.select(F.when(k % 9 == 4, "nowhere").otherwise(F.col("min_name")).alias("ministry"), F.when(k % 7 == 3, F.concat("agc_name", F.lit("  "))).when(k % 7 == 5, F.concat(F.lit("unheard of "), k.cast("string"))).otherwise(F.col("agc_name")).alias("agency"))
+    facts = s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("n_nationkey").cast("string").alias("min_code"), F.concat(F.lit("Ministry of "), "n_name").alias("min_name"), F.col("s_suppkey").cast("string").alias("agc_code"), F.col("s_name").alias("agc_name"), F.col("s_suppkey").alias("row_no"))
+    k, spoilt = F.col("row_no"), lambda c: F.concat(F.lit("X"), F.substring(c, 2, 1_000))
+    ministry = F.when(k % 9 == 4, "nowhere").when(k % 9 == 5, spoilt(F.col("min_name"))).otherwise(F.col("min_name"))
+    agency = F.when(k % 7 == 3, F.concat("agc_name", F.lit("  "))).when(k % 7 == 5, F.concat(F.lit("unheard of "), k.cast("string"))).when(k % 11 == 6, spoilt(F.col("agc_name"))).otherwise(F.col("agc_name"))
+    asked = facts.select(ministry.alias("ministry"), agency.alias("agency"))
     return orgs.resolve(asked, orgs.organisations(facts)).select("ministry", "agency", "ministry_code", "agency_code", "method", F.array_join("flags", "|").alias("flags"))
 
 

@@ -4,6 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.items import key_of
 from ledgerlens.functions import ids, numbers, places, text, years
 
 
@@ -25,7 +26,7 @@ def test_clean_and_fold(spark):
 def test_keys_and_tokens(spark):
     x = F.col("x")
     assert one(spark, "a b\tc", text.group_key(x)) == "abc"
-    assert one(spark, "Pump (A.B) 1.5kW, 7+000!", text.canonical_key(x)) == "pump a b 1.5kw 7+000"
+    assert key_of("Pump (A.B) 1.5kW, 7+000!") == "pump a b 1.5kw 7+000"
     assert one(spark, "ab เครื่อง", text.tokens(x)) == ["ab", "เคร", "ครื", "รื่", "ื่อ", "่อง"]
     assert one(spark, "12 units of 3.5, not 35", text.holds_number(x, "35"), text.holds_number(x, r"3\.5"), text.holds_number(x, "2")) == (True, True, False)
     assert one(spark, "อบต. บางนา", text.expand_local_gov(x)) == "องค์การบริหารส่วนตำบลบางนา"
@@ -54,7 +55,9 @@ def test_ids(spark):
 
 def test_years_and_places(spark):
     x = F.col("x")
-    assert one(spark, "plan 2566-2570 and ๒๕๖๔, 25999", years.fiscal_years(x)) == [2564, 2566, 2567, 2568, 2569, 2570]
+    assert one(spark, "plan 2566-2570 and ๒๕๖๔, 25999", years.fiscal_years(x)) == [2564, 2566, 2567, 2568, 2569, 2570, 2599]
+    assert one(spark, "งบ 70 ปี พ.ศ.69 เล่ม 55", years.fiscal_years(x)) == [2569, 2570]
     assert one(spark, "Data 2570", years.targets_year(x, 2570), years.targets_year(x, 2569)) == (True, False)
-    assert one(spark, "ครั้งที่ 3 วันที่ 12 มิถุนายน 2569", years.meeting_number(x), years.meeting_date(x)) == (3, "2026-06-12")
+    assert one(spark, "ครั้งที่ 3 วันที่ 12 มิถุนายน 2569", years.meeting_number(x), years.meeting_date(x)) == (3, "2569-06-12")
+    assert one(spark, "ครั้งที่ 12 (5 ม.ค. 2570)", years.meeting_number(x), years.meeting_date(x)) == (12, "2570-01-05")
     assert one(spark, "กทม.", places.province(x)) == "กรุงเทพมหานคร" and one(spark, "nowhere", places.province(x)) is None
