@@ -43,8 +43,35 @@ def test_few_or_no_vectors(spark):
     assert ann.nearest(spark.createDataFrame([(0, [1.0, 0.0])], kind), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_recall_with_windows_that_matter(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LEAST_REACH", 50)
+def test_recall_of_the_query_at_the_default_reach(spark):
+    """The registered query on vectors without structure; other columns of the table are ignored."""
+    from ledgerlens.llm.queries import op3_ann
+
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    x = np.stack(table["embedding"].to_numpy()).astype(float)
+    u, ids = x / np.linalg.norm(x, axis=1, keepdims=True), table["vec_id"].to_numpy()
+    got = op3_ann(spark, "/root/testdata/sf0.1").toPandas()
+    hits = 0
+    for q, near in got.groupby("query_id"):
+        at = int(np.flatnonzero(ids == q)[0])
+        s = u @ u[at]
+        assert near.sort_values("rank")["rank"].tolist() == [1, 2, 3, 4, 5] and near.sort_values("rank")["score"].is_monotonic_decreasing
+        assert np.allclose(near["score"], [s[int(np.flatnonzero(ids == j)[0])] for j in near["vec_id"]], atol=1e-12)
+        s[at] = -2
+        hits += len(set(near["vec_id"]) & set(ids[np.argsort(-s)[:5]].tolist()))
+    assert got["query_id"].nunique() == (ids % 50 == 0).sum() and hits / len(got) >= 0.9
+
+
+def test_lots_of_guests_and_extra_columns_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(size=8).tolist(), "x", k) for k in range(1200)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, ids string, entry long")
+    once = sorted(map(tuple, ann.nearest(table, F.col("vec_id") % 50 == 0).collect()))
+    monkeypatch.setattr(ann, "GUEST_ROWS", 3)
+    assert sorted(map(tuple, ann.nearest(table, F.col("vec_id") % 50 == 0).collect())) == once and len(once) == 24 * 5
+
+
+def test_recall_with_windows_that_matter(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(40, 16))
     x = (centres[rng.integers(0, 40, 4000)] + 0.3 * rng.normal(size=(4000, 16))).astype(np.float32)
