@@ -6,8 +6,10 @@ sums. An unseen word adds the mean over its longest n-grams of which any is know
 largest sum wins (ties: the first by code point); its score is its share of the posterior.
 
 The model is fitted on a bounded sample: of each language, about ``SAMPLE_ROWS`` training documents at most,
-chosen by a hash; whole texts of these. It keeps the ``MAX_WORDS`` most frequent words and ``MAX_GRAMS``
-n-grams of each length and language, which bounds what each executor receives.
+chosen by a hash; whole texts of these. Its parameters: a word must be seen ``LEAST_SEEN`` times in a language's sample, and the
+``MAX_WORDS`` most frequent words and ``MAX_GRAMS`` n-grams of each length and language are kept, fewer if the tables of all
+languages would have more than ``TABLE_CELLS`` numbers: this bounds what the driver and each executor hold. ``fit`` takes
+other values, and None for no limit. A word that isn't kept is scored by its n-grams, so none is ever left out.
 
 Defined results
 * null text, or text without a letter: ``und``, score 0.
@@ -36,6 +38,8 @@ from .shared import staged
 SAMPLE_ROWS = 4_000
 MAX_WORDS = 40_000
 MAX_GRAMS = 20_000
+LEAST_SEEN = 2
+TABLE_CELLS = 16_000_000
 GRAM = 5
 UNKNOWN = "und"
 #: Added to each count; the weight of what a language has never shown.
@@ -112,25 +116,30 @@ def _log_table(rows: list, key: str, languages: list[str]) -> tuple[dict[str, in
     return names, np.log(counts + SMOOTH) - np.log(counts.sum(axis=0) + SMOOTH * max(1, len(names)))
 
 
-def fit(training: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(training: DataFrame, sample_rows: int = SAMPLE_ROWS, max_words: int | None = MAX_WORDS, max_grams: int | None = MAX_GRAMS, least_seen: int = LEAST_SEEN) -> Model:
     """``training``: doc_id, text, lang, all non-null."""
     sizes = {r["lang"]: r["n"] for r in training.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
     share = F.element_at(F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample_rows / sizes[lang]))]), F.col("lang"))
-    chance = F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id"), 11) / float(1 << 53)
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id", F.xxhash64("text")), 11) / float(1 << 53)
     sample = training.filter(chance < share).select("lang", "text")
     words = sample.mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = staged(words)
     counted = words.mapInPandas(_count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
-    def top(rows: DataFrame, key: str, limit: int, *by) -> list:
+    room = max(1, TABLE_CELLS // len(languages) ** 2)
+
+    def top(rows: DataFrame, key: str, limit: int | None, *by) -> list:
+        if limit is None:
+            return rows.select("lang", key, "n").collect()
+        limit = min(limit, room // (GRAM if by else 1))
         order = Window.partitionBy("lang", *by).orderBy(F.desc("n"), key)
         return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("lang", key, "n").collect()
 
-    known, word_logs = _log_table(top(words.filter(F.col("n") > 1), "word", MAX_WORDS), "word", languages)
-    parts, gram_logs = _log_table(top(counted, "gram", MAX_GRAMS, F.length("gram")), "gram", languages)
+    known, word_logs = _log_table(top(words.filter(F.col("n") >= least_seen), "word", max_words), "word", languages)
+    parts, gram_logs = _log_table(top(counted, "gram", max_grams, F.length("gram")), "gram", languages)
     return Model(languages, known, word_logs, parts, gram_logs)
 
 

@@ -5,12 +5,14 @@ not). Counts of documents by feature and class give log-count ratios; the featur
 ratios are scaled by them, and a logistic regression is fitted on the scaled features.
 
 The fit takes a bounded sample: about ``SAMPLE_ROWS`` labelled documents of each class at most, chosen by a
-hash, whole texts of these; classes are weighed back to their true sizes.
+hash, whole texts of these, one text for each doc_id; classes are weighed back to their true sizes. The model's parameters
+are the ``FEATURES`` strongest features that are in ``MIN_DOCS`` sampled documents at least, and the penalty ``L2``.
 
 Defined results
 * null or empty text: the score of a text without features.
 * documents whose labels contradict each other are not learnt from; rows without doc_id are neither learnt from nor held out.
 * no label, or one class only: the share of label 1 (0.5 without any) is everyone's score.
+* of several texts with one doc_id, the one of the smallest hash is learnt from, so that the sample is bounded in rows.
 * repeated rows are scored each; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -108,7 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(13), "doc_id"), 11) / float(1 << 53)
     share = F.when(F.col("toxic") == 1, min(1.0, sample_rows / sizes[1])).otherwise(min(1.0, sample_rows / sizes[0]))
     chosen = agreed.filter(chance < share)  # about 2 * sample_rows rows at most: small enough to send to all
-    sample = staged(docs.join(F.broadcast(chosen), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text")))
+    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
+    sample = staged(texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).drop("doc_id"))
     counts = sample.mapInPandas(_count, "bucket long, no long, yes long").groupBy("bucket").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
     found = counts.filter(F.col("no") + F.col("yes") >= MIN_DOCS).toPandas().sort_values("bucket")
     seen = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
