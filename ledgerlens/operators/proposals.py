@@ -13,6 +13,7 @@ from ..functions.numbers import in_range
 PRICE_TOLERANCE = 0.02
 FACTOR_TOLERANCE = 0.005
 FAR_OFF = 10
+HINT_STEP = 1.05
 LEVELS = ("low", "medium", "high")
 
 
@@ -24,14 +25,14 @@ def level_name(rank: Column) -> Column:
     return F.array(*map(F.lit, LEVELS))[rank - 1]
 
 
-def citations(lines: DataFrame) -> DataFrame:
-    """line_id, pos, kind, ref: one row a citation. ``lines``: line_id and citations, an array of (kind, ref)."""
-    return lines.select("line_id", F.posexplode("citations").alias("pos", "c")).select("line_id", "pos", "c.kind", "c.ref")
+def citations(lines: DataFrame, *carried: Column) -> DataFrame:
+    """line_id, pos, kind, ref and what is carried along: one row a citation. ``lines``: line_id and citations, an array of (kind, ref)."""
+    return lines.select("line_id", *carried, F.posexplode("citations").alias("pos", "c")).select("*", "c.kind", "c.ref").drop("c")
 
 
-def kept_citations(lines: DataFrame, evidence: DataFrame) -> DataFrame:
+def kept_citations(lines: DataFrame, evidence: DataFrame, *carried: Column) -> DataFrame:
     """Citations that resolve: web ones with an https address, others by an id in the evidence."""
-    cited = citations(lines)
+    cited = citations(lines, *carried)
     known = cited.join(evidence.select(F.col("ref"), F.col("kind").alias("e_kind"), "unit_price_thb", "amount_thb", "item_qty", "ceiling"), "ref", "left")
     good = F.when(F.col("kind") == "web", F.col("ref").startswith("https://")).otherwise(F.col("e_kind") == F.col("kind"))
     return known.filter(F.coalesce(good, F.lit(False)))
@@ -43,9 +44,9 @@ def validate(lines: DataFrame, evidence: DataFrame, adjustments: DataFrame, hint
     ``lines``: line_id, qty, unit_price_thb, total_thb, basis, confidence, citations, and from_amount, from_year, to_year,
     indicator, factor of a declared price derivation (null: none). ``evidence``: ref, kind, unit_price_thb, amount_thb,
     item_qty, ceiling (a confidence or null). ``adjustments``: from_amount, from_year, to_year, indicator, real_factor,
-    adjusted_thb. ``hints``: value_thb, few rows.
+    adjusted_thb. ``hints``: value_thb (positive).
     """
-    kept = kept_citations(lines, evidence).join(lines.select("line_id", F.col("unit_price_thb").alias("asked_price"), F.col("from_amount").alias("asked_from")), "line_id")
+    kept = kept_citations(lines, evidence, F.col("unit_price_thb").alias("asked_price"), F.col("from_amount").alias("asked_from"))
     is_row = F.col("kind") == "budget_line"
     price = F.when(is_row, F.coalesce("unit_price_thb", "amount_thb"))
     lump = is_row & F.col("unit_price_thb").isNull() & F.col("item_qty").isNull() & (F.col("amount_thb") != 0)
@@ -56,9 +57,12 @@ def validate(lines: DataFrame, evidence: DataFrame, adjustments: DataFrame, hint
         F.max(F.coalesce(F.abs(price - F.col("asked_from")) <= 1, F.lit(False))).alias("from_cited"),
     )
     keys = ["from_amount", "from_year", "to_year", "indicator"]
-    all_hints = hints.agg(F.collect_set("value_thb").alias("__hints")).withColumn("__one", F.lit(1))
+    # A hint lies in its price's step of a geometric scale or in the next: steps are wider than the tolerance.
+    step = lambda c: F.floor(F.ln(c) / F.ln(F.lit(HINT_STEP)))
+    near = hints.select("value_thb", F.explode(F.array(*[step(F.col("value_thb")) + k for k in (-1, 0, 1)])).alias("__step"))
+    all_hints = near.groupBy("__step").agg(F.collect_set("value_thb").alias("__hints"))
     x = lines.join(facts, "line_id", "left").join(adjustments.select(*keys, "real_factor", "adjusted_thb"), keys, "left")
-    x = x.withColumn("__one", F.lit(1)).join(F.broadcast(all_hints), "__one")
+    x = x.withColumn("__step", step(F.col("unit_price_thb"))).join(all_hints, "__step", "left")
     for name in ("n_kept", "n_own", "n_web", "n_rows"):
         x = x.withColumn(name, F.coalesce(name, F.lit(0)))
 
@@ -82,7 +86,7 @@ def validate(lines: DataFrame, evidence: DataFrame, adjustments: DataFrame, hint
     untraced = historical & (ranged | declared) & ~F.coalesce(by_range, F.lit(False)) & ~F.coalesce(by_index, F.lit(False))
     far = untraced & ranged & ((F.col("unit_price_thb") > F.col("high") * FAR_OFF) | (F.col("unit_price_thb") < F.col("low") / FAR_OFF))
     as_lump = F.coalesce("as_lump", F.lit(False))
-    hinted_price = F.exists("__hints", lambda h: in_range(F.col("unit_price_thb"), h, h, PRICE_TOLERANCE))
+    hinted_price = F.exists(F.coalesce("__hints", F.array().cast("array<long>")), lambda h: in_range(F.col("unit_price_thb"), h, h, PRICE_TOLERANCE))
     x = x.withColumns({"unseen": unseen, "untraced": untraced, "far": F.coalesce(far, F.lit(False)), "lump": as_lump})
     x = x.withColumn("hinted", (F.when(F.col("far"), "estimate").otherwise(F.col("basis1")) != "estimate") & hinted_price)
     computed = F.col("qty") * F.col("unit_price_thb")

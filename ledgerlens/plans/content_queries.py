@@ -216,23 +216,25 @@ def basis_mix(spark, d):
 
 _EVIDENCE = f"""WITH {BUDGET}, l AS (SELECT *, ('0x' || substr(source_id, 1, 6))::BIGINT AS h, coalesce(unit_price_thb, amount_thb) AS ref_price FROM budget),
 x AS (SELECT *, ref_price * CASE WHEN h % 5 = 0 THEN 30 WHEN h % 5 = 1 THEN 2 ELSE 1 END AS price, CASE h % 3 WHEN 0 THEN 'market' WHEN 1 THEN 'historical' ELSE 'estimate' END AS basis0, h % 7 <> 0 AS own, h % 4 = 0 AS web, h % 2 = 0 AS declared,
-  CASE WHEN h % 13 = 0 THEN 2.5 ELSE 2.004 END AS factor0, 2.0 AS real, round(ref_price * 2.0) AS adjusted FROM l),
+  CASE WHEN h % 13 = 0 THEN 2.5 ELSE 2.004 END AS factor0, 2.0 AS real, round(ref_price * 2.0) AS adjusted, h % 7 <> 0 AND (unit_price_thb IS NOT NULL OR h % 19 <> 0) AS ranged FROM l),
 y AS (SELECT *, NOT own AND NOT web AND basis0 <> 'estimate' AS lost, own OR web AS any_kept, declared AND abs(real - factor0) <= real * 0.005 AS derived FROM x),
 z AS (SELECT *, NOT lost AND basis0 = 'historical' AND NOT own AS no_own, NOT lost AND basis0 = 'market' AND NOT web AS no_web FROM y),
 a AS (SELECT *, CASE WHEN lost OR no_own OR no_web THEN 'estimate' ELSE basis0 END AS basis1, least(CASE WHEN lost OR no_own OR no_web THEN 1 WHEN declared THEN 3 ELSE 2 END, CASE WHEN own AND list_contains(quality_flags, 'org_unmapped') THEN 2 ELSE 3 END) AS rank1 FROM z),
-b AS (SELECT *, own AND price >= ref_price * (1 - 0.02) AND price <= ref_price * (1 + 0.02) AS by_range, derived AND own AND abs(price - adjusted) <= greatest(1.0, adjusted * 0.005) AS by_index FROM a),
-c AS (SELECT *, basis1 = 'historical' AND NOT own AND NOT declared AND false AS unseen, basis1 = 'historical' AND (own OR declared) AND NOT by_range AND NOT by_index AS untraced FROM b),
-e AS (SELECT *, untraced AND own AND (price > ref_price * 10 OR price < ref_price / 10) AS far, false AS lump FROM c),
+b AS (SELECT *, ranged AND price >= ref_price * (1 - 0.02) AND price <= ref_price * (1 + 0.02) AS by_range, derived AND ranged AND abs(price - adjusted) <= greatest(1.0, adjusted * 0.005) AS by_index FROM a),
+c AS (SELECT *, basis1 = 'historical' AND NOT ranged AND NOT declared AND own AS unseen, basis1 = 'historical' AND (ranged OR declared) AND NOT by_range AND NOT by_index AS untraced FROM b),
+e AS (SELECT *, untraced AND ranged AND (price > ref_price * 10 OR price < ref_price / 10) AS far,
+  ranged AND unit_price_thb IS NULL AND h % 17 = 0 AND amount_thb <> 0 AND price >= amount_thb * (1 - 0.02) AND price <= amount_thb * (1 + 0.02) AS lump FROM c),
 f AS (SELECT *, CASE WHEN far THEN 'estimate' ELSE basis1 END <> 'estimate' AND price BETWEEN 2500 * (1 - 0.02) AND 2500 * (1 + 0.02) AS hinted FROM e)
 SELECT source_id AS line_id, CASE WHEN far OR hinted THEN 'estimate' ELSE basis1 END AS basis, ['low', 'medium', 'high'][CASE WHEN unseen OR untraced OR lump THEN 1 ELSE rank1 END] AS confidence, (item_qty * price)::DOUBLE + CASE WHEN h % 11 = 0 THEN 0 ELSE 0 END AS total_thb,
   CASE WHEN derived THEN 2.0::DOUBLE END AS factor, (own::INT + web::INT)::BIGINT AS n_kept, array_to_string(list_filter([CASE WHEN lost THEN 'citations_lost' END, CASE WHEN no_own THEN 'historical_without_source' END, CASE WHEN no_web THEN 'market_without_source' END,
-  CASE WHEN declared AND NOT derived THEN 'derivation_dropped' END, CASE WHEN untraced THEN 'price_not_traceable' END, CASE WHEN far THEN 'price_far_off' END, CASE WHEN hinted THEN 'implied_price' END, CASE WHEN h % 11 = 0 THEN 'total_recomputed' END], lambda w: w IS NOT NULL), '|') AS warnings FROM f"""
+  CASE WHEN declared AND NOT derived THEN 'derivation_dropped' END, CASE WHEN unseen THEN 'price_not_verifiable' END, CASE WHEN untraced THEN 'price_not_traceable' END, CASE WHEN far THEN 'price_far_off' END, CASE WHEN lump THEN 'amount_per_line_as_unit_price' END, CASE WHEN hinted THEN 'implied_price' END, CASE WHEN h % 11 = 0 THEN 'total_recomputed' END], lambda w: w IS NOT NULL), '|') AS warnings FROM f"""
 
 
 @query(_EVIDENCE)
 def evidence_check(spark, d):
     lines, source = _boq(spark, d), budget_lines(spark, d)
-    evidence = source.select(F.col("source_id").alias("ref"), F.lit("budget_line").alias("kind"), "unit_price_thb", "amount_thb", "item_qty", F.when(F.array_contains("quality_flags", "org_unmapped"), "medium").alias("ceiling"))
+    h = F.conv(F.substring("source_id", 1, 6), 16, 10).cast("long")
+    evidence = source.select(F.col("source_id").alias("ref"), F.lit("budget_line").alias("kind"), "unit_price_thb", F.when(h % 19 != 0, F.col("amount_thb")).alias("amount_thb"), F.when(h % 17 != 0, F.col("item_qty")).alias("item_qty"), F.when(F.array_contains("quality_flags", "org_unmapped"), "medium").alias("ceiling"))
     made = lines.filter(F.col("from_amount").isNotNull()).select("from_amount", "from_year", "to_year", "indicator").distinct()
     adjustments = made.withColumn("real_factor", F.lit(2.0)).withColumn("adjusted_thb", F.round(F.col("from_amount") * 2.0))
     hints = spark.createDataFrame([(2500,)], "value_thb long")

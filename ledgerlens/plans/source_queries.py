@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import text, years
 from ..functions.places import PROVINCES
-from ..operators import facets, items, normalize, orgs
-from ..sources import sheets, writers
+from ..operators import checks, facets, items, normalize, orgs, proposals
+from ..sources import files, sheets, writers
 from .standins import BUDGET, budget_lines, table
 
 QUERIES, ORACLES = {}, {}
@@ -159,3 +160,98 @@ def published_shards(spark, d):
     listed = writers.manifest(spark, folder).select(F.url_decode("partition").alias("path")).distinct().withColumn("in_manifest", F.lit(True))
     back = writers.read_shards(spark, folder).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_thb").alias("amount_thb"))
     return back.join(listed, "path", "left").withColumn("in_manifest", F.coalesce("in_manifest", F.lit(False)))
+
+
+# ---- layouts that the disbursement workbooks don't have
+
+
+_FIELD_CELLS = {"min": "ministry_code", "min_name": "ministry", "agc_name": "agency", "item_name": "item_name_raw", "p_total_bud": "amount_thb"}
+
+
+@query(f"""WITH {BUDGET} SELECT substr(sha1('act_2570_draft|' || source_path || '|Data|' || (source_row + 10)), 1, 16) AS source_id, ministry_code, ministry, agency, item_name_raw, amount_thb
+FROM budget WHERE dataset = 'act_2570_draft' AND substr(source_id, 1, 2) <> '2d'""")
+def draft_workbook_lines(spark, d):
+    """Field-code headers at row 2, in odd years with the short name of one code; rows without an item are left out."""
+    rows = budget_lines(spark, d).filter("dataset = 'act_2570_draft'")
+    item = F.when(F.substring("source_id", 1, 2) != "2d", F.col("item_name_raw")).otherwise(" ")
+    cells = F.array(*[item if c == "item_name" else F.col(_FIELD_CELLS[c]).cast("string") if c in _FIELD_CELLS else F.lit("-") for c in sheets.DRAFT_COLUMNS])
+    body = rows.select(F.col("source_path").alias("path"), F.lit("Data").alias("sheet"), (F.col("source_row") + 10).alias("row_no"), cells.alias("cells"))
+    short = {v: k for k, v in sheets.DRAFT_ALIASES.items()}
+    heads = [F.array(*map(F.lit, sheets.DRAFT_COLUMNS)), F.array(*[F.lit(short.get(c, c)) for c in sheets.DRAFT_COLUMNS])]
+    odd = F.right("path", F.lit(4)).cast("int") % 2 == 1
+    head = body.select("path").distinct().select("path", F.lit("Data").alias("sheet"), F.lit(2).alias("row_no"), F.when(odd, heads[1]).otherwise(heads[0]).alias("cells"))
+    return sheets.draft_lines(body.unionByName(head)).select("source_id", "ministry_code", "ministry", "agency", "item_name_raw", "amount_thb")
+
+
+@query(f"""WITH {BUDGET}, b AS (SELECT *, CASE WHEN substr(source_id, 1, 2) = '1c' THEN 50 ELSE amount_thb END AS a FROM budget WHERE dataset = 'local_ordinance_2570')
+SELECT substr(sha1('local_ordinance_2570|' || source_path || '|' || source_sheet || '|' || (source_row + 10)), 1, 16) AS source_id, plan, item_name_raw, a AS amount_thb, (source_row % 90)::INT AS source_page,
+  CASE WHEN a < 100 THEN 'upstream_ocr|amount_outlier' ELSE 'upstream_ocr' END AS quality_flags FROM b""")
+def local_workbook_lines(spark, d):
+    rows = budget_lines(spark, d).filter("dataset = 'local_ordinance_2570'")
+    amount = F.when(F.substring("source_id", 1, 2) == "1c", F.lit("50")).otherwise(F.col("amount_thb").cast("string"))
+    given = {"page": F.concat((F.col("source_row") % 90).cast("string"), F.lit("/90")), "plan": F.col("plan"), "item": F.col("item_name_raw"), "amount": amount}
+    cells = F.array(*[given.get(c, F.lit("x")) for c in sheets.LOCAL_COLUMNS])
+    body = rows.select(F.col("source_path").alias("path"), F.col("source_sheet").alias("sheet"), (F.col("source_row") + 10).alias("row_no"), cells.alias("cells"))
+    head = body.select("path", "sheet").distinct().select("path", "sheet", F.lit(1).alias("row_no"), F.array(*[F.lit(f" {c} ") for c in sheets.LOCAL_COLUMNS]).alias("cells"))
+    found = sheets.local_lines(body.unionByName(head))
+    return found.select("source_id", "plan", "item_name_raw", "amount_thb", F.col("source_page").cast("int").alias("source_page"), F.array_join("quality_flags", "|").alias("quality_flags"))
+
+
+@query(f"""WITH {BUDGET}, b AS (SELECT source_id, CASE WHEN substr(source_id, 1, 1) < '4' THEN 'รวม' || item_name_raw ELSE item_name_raw END AS item, CASE WHEN substr(source_id, 2, 1) > '7' THEN agency END AS agency FROM budget)
+SELECT source_id FROM b WHERE NOT (item LIKE 'รวม%' AND agency IS NULL)""")
+def lines_without_subtotals(spark, d):
+    item = F.when(F.substring("source_id", 1, 1) < "4", F.concat(F.lit(sheets.TOTAL_WORDS[0]), "item_name_raw")).otherwise(F.col("item_name_raw"))
+    marked = budget_lines(spark, d).withColumns({"item_name_raw": item, "agency": F.when(F.substring("source_id", 2, 1) > "7", F.col("agency"))})
+    return sheets.without_subtotals(marked).select("source_id")
+
+
+@query("""WITH s AS (SELECT 'd' || s_nationkey AS f, s_name, s_suppkey FROM supplier), p AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'other' ELSE f END AS f, s_name || CASE WHEN s_suppkey % 2 = 0 THEN ' vol 2' ELSE '' END AS stem FROM s)
+SELECT s.f || '/' || s_name || '.xlsx' AS sheet_path, p.f || '/' || p.stem || '.pdf' AS pdf_path FROM s JOIN p ON s.f = p.f AND starts_with(p.stem, s_name)""")
+def sheets_with_pdfs(spark, d):
+    k, folder = F.col("s_suppkey"), F.concat(F.lit("d"), F.col("s_nationkey").cast("string"))
+    suppliers = table(spark, d, "supplier")
+    books = suppliers.select(F.concat(folder, F.lit("/"), "s_name", F.lit(".xlsx")).alias("path"))
+    pdfs = suppliers.select(F.concat(F.when(k % 3 == 0, "other").otherwise(folder), F.lit("/"), "s_name", F.when(k % 2 == 0, " vol 2").otherwise(""), F.lit(".pdf")).alias("path"))
+    return files.paired_pdfs(books, pdfs)
+
+
+@query("""WITH f AS (SELECT c_custkey AS k, (c_custkey % 40) / 10 AS pct FROM customer), j AS (SELECT k, pct, CASE WHEN k % 3 = 0 THEN pct + (k % 5) / 4 END AS known FROM f)
+SELECT k, CASE WHEN pct < 1 THEN 'ok' WHEN abs(pct - known) <= 0.5 THEN 'known_gap' ELSE 'new' END AS status FROM j""")
+def check_statuses(spark, d):
+    found = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), ((F.col("c_custkey") % 40) / 10).alias("pct"))
+    known = found.filter("k % 3 = 0").select("k", (F.col("pct") + (F.col("k") % 5) / 4).alias("pct"))
+    return checks.resolve_status(found.withColumn("ok", F.col("pct") < 1), known, "k").select("k", "status")
+
+
+@query("""WITH x AS (SELECT o_orderkey AS line_id, o_orderkey % 7 AS n, (o_orderkey % 50)::DOUBLE AS q, o_totalprice AS p FROM orders),
+y AS (SELECT line_id, CASE n WHEN 2 THEN q + 1 ELSE q END AS qty, CASE n WHEN 2 THEN 5.0 WHEN 4 THEN 9.0 ELSE p END::DOUBLE AS unit_price_thb FROM x) SELECT *, round(qty * unit_price_thb, 2) AS total_thb FROM y""")
+def edited_lines(spark, d):
+    """Of some lines a new quantity and price, of others a price and a quantity out of bounds, which is ignored."""
+    n, q = F.col("o_orderkey") % 7, (F.col("o_orderkey") % 50).cast("double")
+    orders = table(spark, d, "orders")
+    edits = orders.filter(n.isin(2, 4)).select(F.col("o_orderkey").alias("line_id"), F.when(n == 2, q + 1).otherwise(-1.0).alias("qty"), F.when(n == 2, 5.0).otherwise(9.0).alias("unit_price_thb"))
+    found = proposals.edited(orders.select(F.col("o_orderkey").alias("line_id"), q.alias("qty"), F.col("o_totalprice").cast("double").alias("unit_price_thb")), edits)
+    return found.withColumn("total_thb", F.round("total_thb", 2))
+
+
+@query("SELECT o_orderkey AS ref, round(o_totalprice)::BIGINT + CASE WHEN o_orderkey % 7 = 5 THEN 1 ELSE 0 END AS amount_thb, o_orderkey % 7 = 3 AS corrected FROM orders")
+def comparables_corrected(spark, d):
+    n, amount = F.col("o_orderkey") % 7, F.round("o_totalprice").cast("long")
+    orders = table(spark, d, "orders")
+    given = orders.select(F.col("o_orderkey").alias("ref"), (amount + F.when(n.isin(3, 5), 1).otherwise(0)).cast("long").alias("amount_thb"))
+    return proposals.corrected_comparables(given, orders.filter(n != 5).select(F.col("o_orderkey").alias("ref"), amount.alias("amount_thb")), ("amount_thb",))
+
+
+@query("""WITH x AS (SELECT c_custkey AS k, c_name AS n FROM customer)
+SELECT k, CASE k % 4 WHEN 0 THEN (k % 90)::INT WHEN 1 THEN (k % 90)::INT END AS page, CASE WHEN length(n) > 12 THEN substr(n, 1, 12) || '…' ELSE n END AS short,
+  CASE k % 3 WHEN 0 THEN 'องค์การบริหารส่วนตำบล' || k WHEN 1 THEN 'เทศบาลเมือง' || k ELSE 'x' || k END AS gov, regexp_replace(regexp_replace(lower(n), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '-' || substr(sha1(n), 1, 6) AS slug,
+  'say ' || k || ',5 ' || n AS quote, k % 2 = 0 OR k % 2 <> 0 AND k % 5 = 0 AS this_year, k % 100 = 25 AS holds FROM (SELECT k, n FROM x)""")
+def text_helpers(spark, d):
+    k, n = F.col("c_custkey"), F.col("c_name")
+    s = k.cast("string")
+    page = F.when(k % 4 == 0, F.concat((k % 90).cast("string"), F.lit(" / 90"))).when(k % 4 == 1, (k % 90).cast("string")).when(k % 4 == 2, "p. 3").otherwise("")
+    gov = F.when(k % 3 == 0, F.concat(F.lit("อบต. "), s)).when(k % 3 == 1, F.concat(F.lit("ทม."), s)).otherwise(F.concat(F.lit("x"), s))
+    sheet = F.when(k % 2 == 0, "Data").when(k % 5 == 0, "ปี ๒๕๗๐ Data 2570").otherwise("Data 2570-2571")
+    held = text.holds_number(F.concat(F.lit("a "), (k % 100).cast("string"), F.lit(" b 125 c 25.5 d 1,250")), "25")
+    return table(spark, d, "customer").select(k.alias("k"), text.page_of(page).alias("page"), text.shortened(n, 12).alias("short"), text.expand_local_gov(gov).alias("gov"), text.slug(n).alias("slug"),
+                                              F.replace(text.quoted(F.concat(F.lit('“Say’ '), s, F.lit(",๕   "), n)), F.lower(n), n).alias("quote"), years.targets_year(sheet, 2570).alias("this_year"), held.alias("holds"))
