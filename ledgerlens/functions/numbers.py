@@ -20,10 +20,10 @@ def round_half_away(x: Column, places: int = 0) -> Column:
     return F.round(x, places)
 
 
-def baht(text: Column, factor: int = 1) -> Column:
+def baht(text: Column, factor: int | Column = 1) -> Column:
     """Money text as whole baht; null for blanks and what isn't a number.
 
-    Commas and spaces go, local digits count, brackets or a minus sign make it negative. ``factor`` is 1 or 1,000,000.
+    Commas and spaces go, local digits count, brackets or a minus sign make it negative. ``factor``: baht in the unit of the text, a number or a column.
     """
     plain = clean(text)
     bracketed = plain.rlike(r"^\(.*\)$")

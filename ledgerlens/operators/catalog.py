@@ -45,15 +45,20 @@ def eligibility(lines: DataFrame) -> DataFrame:
     )
 
 
-def adaptive_eligibility(counts: DataFrame, most_entries: int = 150_000, bytes_per_entry: float = 0.0, most_bytes: float = 8e6, start: Thresholds = Thresholds(), rounds: int = 10) -> tuple[DataFrame, Thresholds]:
-    """Raises the thresholds until the catalogue is small enough. ``counts``, of ``eligibility``, is cached: only the filter changes."""
-    counts.cache()
-    now = start
+def adaptive_eligibility(counts: DataFrame, most_entries: int = 150_000, most_bytes: float = 8e6, packed: float = 1.0, start: Thresholds = Thresholds(), rounds: int = 10) -> tuple[DataFrame, Thresholds]:
+    """Raises the thresholds until the catalogue is small enough in entries and in bytes.
+
+    ``counts``: of ``eligibility``, or ``entries`` for their true size; a row counts with the bytes of its JSON times
+    ``packed``, the share that compression leaves. All rounds are counted in one pass.
+    """
+    steps = [start]
     for _ in range(rounds):
-        n = counts.filter(now.met()).count()
-        if n <= most_entries and n * bytes_per_entry <= most_bytes:
-            break
-        now = now.raised()
+        steps.append(steps[-1].raised())
+    size = F.octet_length(F.to_json(F.struct(*counts.columns)))
+    sized = counts.withColumn("__bytes", size)
+    sums = [x for k, t in enumerate(steps[:-1]) for x in (F.count_if(t.met()).alias(f"n{k}"), F.coalesce(F.sum(F.when(t.met(), F.col("__bytes"))), F.lit(0)).alias(f"b{k}"))]
+    found = sized.agg(*sums).first() if sums else {}
+    now = next((t for k, t in enumerate(steps[:-1]) if found[f"n{k}"] <= most_entries and found[f"b{k}"] * packed <= most_bytes), steps[-1])
     return counts.filter(now.met()), now
 
 
@@ -83,7 +88,7 @@ def ranked(lines: DataFrame, value: str) -> DataFrame:
 
 def variants(lines: DataFrame) -> DataFrame:
     """group_key, key (the commonest spelling), keys (up to MAX_VARIANTS, by frequency), keys_truncated."""
-    found = ranked(lines, "item_key").groupBy("group_key").agg(F.array_sort(F.collect_list(F.struct("rn", "item_key"))).alias("__k"))
+    found = ranked(lines, "item_key").filter(F.col("rn") <= MAX_VARIANTS + 1).groupBy("group_key").agg(F.array_sort(F.collect_list(F.struct("rn", "item_key"))).alias("__k"))
     keys = F.transform("__k", lambda x: x["item_key"])
     return found.select("group_key", keys[0].alias("key"), F.slice(keys, 1, MAX_VARIANTS).alias("keys"), (F.size("__k") > MAX_VARIANTS).alias("keys_truncated"))
 

@@ -89,6 +89,36 @@ def path_parts(paths: DataFrame) -> DataFrame:
     return paths.select(part[0].alias("dataset"), part[1].alias("part")).groupBy("dataset").agg(F.countDistinct("part").alias("n_parts"), F.min("part").alias("first_part"), F.max("part").alias("last_part"))
 
 
-def numbered_paths(paths: DataFrame) -> DataFrame:
-    """path, index from 0 in order of the paths: a dictionary for lists of paths."""
-    return paths.select("path").distinct().withColumn("index", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("path")) - 1)
+def numbered_paths(paths: DataFrame, width: int = 20) -> DataFrame:
+    """path, index from 0 in order of the paths: a dictionary for lists of paths.
+
+    Paths are numbered within blocks of equal first ``width`` characters, which keep their order; the blocks' sizes are
+    summed up. The width only spreads the work.
+    """
+    blocks = paths.select("path").distinct().withColumn("__block", F.substring("path", 1, width))
+    sizes = blocks.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__block", (F.sum("__n").over(Window.orderBy("__block")) - F.col("__n")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__block").orderBy("path"))
+    return blocks.withColumn("__own", own).join(before, "__block").select("path", (F.col("__before") + F.col("__own") - 1).cast("int").alias("index"))
+
+
+def resolved_paths(items: DataFrame, numbered: DataFrame, listed: DataFrame) -> DataFrame:
+    """items (an index of a path in each row) with the path; indexes out of range and paths that no manifest lists are dropped."""
+    return items.join(numbered.select("index", "path"), "index").join(listed.select("path").distinct(), "path", "left_semi").drop("index")
+
+
+def shards_of(asked: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Of the paths that a caller names, those that the filter leaves; in the caller's other columns nothing changes."""
+    return asked.join(allowed.select("path").distinct(), "path", "left_semi")
+
+
+def first_shards(ranked: DataFrame, most: int) -> DataFrame:
+    """path, place: the shards of ranked hits (rank, path) put together, each once at its first place, up to ``most``."""
+    first = ranked.groupBy("path").agg(F.min("rank").alias("rank"))
+    kept = first.orderBy("rank", "path").limit(most)
+    return kept.select("path", F.row_number().over(Window.orderBy("rank", "path")).alias("place"))
+
+
+def smallest(files: DataFrame, n: int, size: str = "bytes", name: str = "path") -> DataFrame:
+    """The n smallest files, ties by name."""
+    return files.orderBy(size, name).limit(n)

@@ -22,7 +22,7 @@ def too_round(base: int) -> bool:
 
 
 def implied_base(values: np.ndarray, counts: np.ndarray) -> tuple[int, int] | None:
-    """(base, supporting rows) of distinct positive amounts with their numbers of rows.
+    """(base, supporting rows) of distinct positive amounts, ascending, with their numbers of rows.
 
     At most MAX_DROPPED rows stand aside, so that of any five rows two support the base: it is a whole part of the
     greatest common divisor of a pair of these, and not less than a MAX_MULTIPLE-th of them. Every such base is tried.
@@ -32,7 +32,8 @@ def implied_base(values: np.ndarray, counts: np.ndarray) -> tuple[int, int] | No
         return None
     least = max(int(np.ceil(rows * MIN_SUPPORT)), MIN_ROWS, rows - MAX_DROPPED)
     order = np.repeat(values, np.minimum(counts, MAX_DROPPED + 2))[: MAX_DROPPED + 2]
-    middle = np.median(np.repeat(values, counts))
+    at = np.searchsorted(np.cumsum(counts), [(rows - 1) // 2, rows // 2], side="right")
+    middle = values[at].mean()
     tried = {g // m for a, b in combinations(order.tolist(), 2) for g in [gcd(int(a), int(b))] for m in range(1, MAX_MULTIPLE + 1) if g % m == 0}
     best = None
     for base in tried:
@@ -47,9 +48,15 @@ def implied_base(values: np.ndarray, counts: np.ndarray) -> tuple[int, int] | No
 
 
 def implied_prices(lines: DataFrame, by: str, amount: str = "amount_thb") -> DataFrame:
-    """by, value_thb, support_rows, total_rows: for groups that have such a base. Equal amounts are counted before they meet."""
+    """by, value_thb, support_rows, total_rows: for groups that have such a base. Equal amounts are counted before they meet.
+
+    All but MAX_DROPPED rows must be one of MAX_MULTIPLE multiples: a group of more distinct amounts has no base and
+    never meets in a task.
+    """
     counts = lines.filter(F.col(amount) > 0).groupBy(by, F.col(amount).alias("amount")).agg(F.count(F.lit(1)).alias("n"))
     kind = dict(counts.dtypes)[by]
+    few = counts.groupBy(F.col(by).alias("__by")).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") <= MAX_MULTIPLE + MAX_DROPPED)
+    counts = counts.join(few, F.col(by).eqNullSafe(F.col("__by")), "left_semi")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("amount")

@@ -40,7 +40,7 @@ def budget_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").alias("item_qty"), amount.alias("amount_thb"), F.when(F.col("l_returnflag") != "N", round_half_even(amount / F.col("l_quantity")).cast("long")).alias("unit_price_thb"),
         F.round(F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("long").alias("revised_thb"), F.round(F.col("l_extendedprice") * F.col("l_discount")).cast("long").alias("disbursed_thb"),
         F.when((F.col("l_linenumber") == 7) & (F.col("l_suppkey") % 7 == 0), None).otherwise(flags).alias("quality_flags"),
-        path.alias("source_path"), ministry.alias("source_sheet"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("int").alias("source_row"),
+        path.alias("source_path"), ministry.alias("source_sheet"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("source_row"),
         F.concat(F.lit("d_"), F.substring(F.sha1(path), 1, 12)).alias("source_doc_id"),
     )
     return lines
@@ -67,7 +67,7 @@ budget AS (
              CASE WHEN l_discount > 0.095 THEN 'corrupt_row' END, CASE WHEN l_returnflag = 'R' AND l_discount < 0.005 THEN 'subset_of_act_2570_draft' END,
              CASE WHEN l_quantity >= 49 THEN 'qty_is_measure' END, CASE WHEN l_tax > 0.075 THEN 'qty_parsed_low_conf' END,
              CASE WHEN l_suppkey % 10 = 3 THEN 'org_unmapped' END], lambda x: x IS NOT NULL) END AS quality_flags,
-         'raw/' || dataset || '/' || fiscal_year_be AS source_path, ministry_code AS source_sheet, (l_orderkey * 8 + l_linenumber)::INT AS source_row,
+         'raw/' || dataset || '/' || fiscal_year_be AS source_path, ministry_code AS source_sheet, (l_orderkey * 8 + l_linenumber)::BIGINT AS source_row,
          'd_' || substr(sha1('raw/' || dataset || '/' || fiscal_year_be), 1, 12) AS source_doc_id
   FROM bl0)"""
 

@@ -111,7 +111,9 @@ def mapped_headers(rows: DataFrame, synonyms: dict[str, tuple[str, ...]], within
     known = rows.sparkSession.createDataFrame([(f, n, s.lower()) for f, names in synonyms.items() for n, s in enumerate(names)], "field string, rank int, synonym string")
     cells = rows.filter(F.col("row_no") <= within).select("path", "sheet", "row_no", F.posexplode("cells").alias("column", "cell")).withColumn("cell", F.lower(clean(F.col("cell")))).filter(F.length("cell") > 0)
     like = 1 - F.levenshtein("cell", "synonym") / F.greatest(F.length("cell"), F.length("synonym"))
-    scored = cells.join(F.broadcast(known), F.abs(F.length("cell") - F.length("synonym")) <= F.greatest(F.length("cell"), F.length("synonym")) * (1 - HEADER_LIKENESS)).withColumn("score", like).filter(F.col("score") >= HEADER_LIKENESS)
+    # Each text once against the few synonyms.
+    scored = cells.select("cell").distinct().join(F.broadcast(known), F.abs(F.length("cell") - F.length("synonym")) <= F.greatest(F.length("cell"), F.length("synonym")) * (1 - HEADER_LIKENESS)).withColumn("score", like).filter(F.col("score") >= HEADER_LIKENESS)
+    scored = cells.join(scored, "cell")
     order = [F.desc("score"), F.asc("rank"), F.asc("column")]
     place = ["path", "sheet", "row_no"]
     by_column = scored.withColumn("n", F.row_number().over(Window.partitionBy(*place, "column").orderBy(*order, "field"))).filter("n = 1")
