@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import bucket_of
+from ..operators.facets import stratified_sample
 from ..schema import NOT_PUBLISHED
 
 MAX_FILE_BYTES = 24_000_000
@@ -16,17 +17,53 @@ def records_per_file(rows: int, size: int, limit: int = MAX_FILE_BYTES) -> int:
     return max(1, int(limit * 0.9 / max(1.0, size / max(1, rows))))
 
 
-def write_shards(located: DataFrame, folder: str, bytes_per_row: float = 60.0, limit: int = MAX_FILE_BYTES) -> None:
+def write_shards(located: DataFrame, folder: str, bytes_per_row: float = 60.0, limit: int = MAX_FILE_BYTES, keep_others: bool = False) -> None:
     """Lines by their column ``path`` as Parquet partitions, sorted by what is asked for, in files of bounded size.
 
     The range of (path, sort columns) is what is dealt out: a large shard spreads over tasks, a small one fills a file.
+    With ``keep_others`` only the shards that ``located`` holds are replaced.
     """
     order = "path", F.asc_nulls_last("agency"), F.asc_nulls_last("item_key"), F.asc("source_id")
     frame = located.select(*[c for c in located.columns if c not in NOT_PUBLISHED])
     parts = int(located.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = frame.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     most = max(1, int(limit * 0.9 / bytes_per_row))
-    dealt.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", most).partitionBy("path").parquet(folder)
+    out = dealt.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", most)
+    out.option("partitionOverwriteMode", "dynamic" if keep_others else "static").partitionBy("path").parquet(folder)
+
+
+def write_fitting_shards(located: DataFrame, folder: str, bytes_per_row: float = 60.0, limit: int = MAX_FILE_BYTES, rounds: int = 8) -> int:
+    """``write_shards``, then again for shards that hold a file above the limit, in smaller slices each time; how many rounds it took.
+
+    A file of one row can't be divided: such a shard is an error, as is one that still is too large in the end.
+    """
+    spark, left, per_row = located.sparkSession, located, bytes_per_row
+    for n in range(1, rounds + 1):
+        write_shards(left, folder, per_row, limit, keep_others=n > 1)
+        sizes = spark.read.parquet(folder).select("path", F.col("_metadata.file_size").alias("size"))
+        large = sizes.filter(F.col("size") > limit).groupBy("path").agg(F.max("size").alias("size"))
+        worst = large.agg(F.max("size")).first()[0]
+        if worst is None:
+            return n
+        if limit * 0.9 / per_row <= 1:
+            break
+        per_row = per_row * max(2.0, worst / limit)
+        left = located.join(large.select("path"), "path", "left_semi")
+    raise ValueError(f"files of {folder} stay above {limit} bytes")
+
+
+def write_json(frame: DataFrame, folder: str, *order: str) -> None:
+    """A small table (facets, organisations, sources, index series, a report) as one JSON file in a stated order."""
+    frame.orderBy(*order).coalesce(1).write.mode("overwrite").json(folder)
+
+
+def publish_sample(located: DataFrame, folder: str, by: str, shares: dict[str, float], n: int, limit: int = 1_500_000) -> int:
+    """The same shards from about n lines with fixed shares; the bytes written, which must stay below a limit."""
+    write_shards(stratified_sample(located, by, shares, n), folder)
+    size = oversized(located.sparkSession, folder, 0).agg(F.sum("length")).first()[0] or 0
+    if size > limit:
+        raise ValueError(f"the sample takes {size} bytes, more than {limit}")
+    return size
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:

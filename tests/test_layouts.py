@@ -77,3 +77,25 @@ def test_catalogue_is_raised_until_it_fits(spark):
     kept, now = catalog.adaptive_eligibility(counts, most_bytes=500)
     assert kept.count() < 10 and sum(len(x) for x in kept.toJSON().collect()) <= 500
     assert catalog.adaptive_eligibility(counts, most_entries=0, rounds=2)[1].lines == 7
+
+
+def test_shards_are_split_until_they_fit(spark, tmp_path):
+    import json
+
+    from ledgerlens.sources import writers
+
+    lines = spark.range(4000).select(F.when(F.col("id") < 3900, "a/b").otherwise("c").alias("path"), F.sha2(F.col("id").cast("string"), 512).alias("item_key"), F.lit("g").alias("agency"), F.col("id").cast("string").alias("source_id"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("dataset"))
+    folder = str(tmp_path / "shards")
+    assert writers.write_fitting_shards(lines, folder, limit=30_000) > 1
+    back = spark.read.parquet(folder)
+    assert back.select("_metadata.file_size").agg(F.max("file_size")).first()[0] <= 30_000
+    assert sorted(map(tuple, back.select(*lines.columns).collect())) == sorted(map(tuple, lines.collect()))
+    with pytest.raises(ValueError):
+        writers.write_fitting_shards(lines.limit(5), str(tmp_path / "never"), limit=10)
+    assert 0 < writers.publish_sample(lines, str(tmp_path / "sample"), "dataset", {"x": 0.5, "y": 0.5}, 100) < 1_500_000
+    assert spark.read.parquet(str(tmp_path / "sample")).groupBy("dataset").count().orderBy("dataset").collect() == [("x", 50), ("y", 50)]
+    with pytest.raises(ValueError):
+        writers.publish_sample(lines, str(tmp_path / "sample"), "dataset", {"x": 1.0}, 100, limit=10)
+    writers.write_json(facets.facets(lines, ("dataset",)), str(tmp_path / "facets"), "facet", "value")
+    (file,) = (tmp_path / "facets").glob("*.json")
+    assert [json.loads(x) for x in file.read_text().splitlines()] == [{"facet": "dataset", "value": "x", "n": 2000}, {"facet": "dataset", "value": "y", "n": 2000}]
