@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language_id, mixing, quality_rules, sentence_pieces, sharding, simhash_dedup, suffix_dedup, token_counts, toxicity
+from . import ann, importance, language_id, mixing, page_text, periodic, quality_rules, sentence_pieces, sharding, simhash_dedup, suffix_dedup, token_counts, toxicity
 from .shared import read_table
 
 
@@ -59,6 +59,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_text(read_table(spark, sf_dir, "pages"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -70,4 +82,7 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_toxicity": op10_toxicity,
+    "op11_importance": op11_importance,
+    "op12_page_text": op12_page_text,
+    "op13_periodic_runs": op13_periodic_runs,
 }

@@ -16,10 +16,11 @@ LABELS = [(k, int(k % 3 == 0)) for k in range(100, 130)] + [(1, 0), (2, 1), (2,
 
 
 @pytest.fixture(scope="module")
-def folder(spark, odd, tmp_path_factory):
+def folder(spark, odd, odd_rows, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("tables"))
     odd.write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(LABELS, "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(k, r[1] and r[1][:300], "x") for k, r in enumerate(odd_rows[:9])], "item_id long, text string, weight string").write.parquet(f"{path}/benchmark.parquet")
     return path
 
 
@@ -28,6 +29,8 @@ def bare(spark, empty, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("bare"))
     empty.coalesce(1).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").coalesce(1).write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").coalesce(1).write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").coalesce(1).write.parquet(f"{path}/pages.parquet")
     return path
 
 
@@ -206,3 +209,39 @@ def test_op10(spark, folder, odd, odd_rows):
     strength = {b: abs(math.log((counts[1][b] + 1) / (sizes[1] + 2)) - math.log((counts[0][b] + 1) / (sizes[0] + 2))) * math.sqrt(n) for b, n in both.items() if n >= toxicity.MIN_DOCS}
     cut = sorted(strength.values(), reverse=True)[: toxicity.FEATURES][-1]
     assert weights and all(strength[b] >= cut - 1e-9 for b in weights)
+
+
+def test_op11(spark, folder, odd_rows):
+    got = queries.op11_importance(spark, folder)
+    assert got.columns[:5] == ["doc_id", "n_features", "weight", "score", "rank"]
+    found = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
+    codes = lambda w: [zlib.crc32(x) % 10_000 for x in [*w, *(a + b" " + b for a, b in zip(w, w[1:]))]]
+    s, t = Counter(), Counter()
+    for r in odd_rows:
+        s.update(codes(found(r[1])))
+    for r in odd_rows[:9]:
+        t.update(codes(found(r[1] and r[1][:300])))
+    s_all, t_all, scored = sum(s.values()), sum(t.values()), []
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (s_all + 10_000) / ((s[b] + 1) * (t_all + 10_000))))
+    for r in odd_rows:
+        words_, doc = found(r[1]), "" if r[0] is None else str(r[0])
+        own = codes(words_)
+        weight = sum(map(gain, own)) // len(own) if own else 0
+        h = int(hashlib.sha256(f"7:{doc}".encode()).hexdigest()[:8], 16)
+        scored.append((r[0], len(own), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), len(words_)))
+    able = sorted((x for x in scored if x[4] >= 20), key=lambda x: (-x[3], x[0] is None, x[0] or 0))
+    drawn = Counter((*x[:4], k + 1) for k, x in enumerate(able[: 25 * len(able) // 100]))
+    rows = got.collect()
+    assert Counter(tuple(r)[:4] for r in rows) == Counter(x[:4] for x in scored)
+    assert Counter(tuple(r)[:5] for r in rows if r["rank"] is not None) == drawn and drawn
+
+
+def test_op13(spark, folder, odd_rows):
+    from tests.llm.test_new_operators import brute_digest
+
+    got = queries.op13_periodic_runs(spark, folder)
+    assert got.columns[:8] == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    few = [r for r in odd_rows if len(r[1] or "") < 20_000]  # the two longest have no run by construction; tested apart
+    rows = [tuple(r)[:8] for r in got.collect()]
+    want = Counter(brute_digest(r[0], r[1]) for r in few)
+    assert len(rows) == len(odd_rows) and not want - Counter(rows)
