@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text, years
 from ..functions.places import PROVINCES
 from ..operators import checks, facets, items, normalize, orgs, proposals
 from ..sources import files, sheets, writers
-from .standins import BUDGET, budget_lines, table
+from .standins import BUDGET, budget_lines, scratch, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -155,7 +153,7 @@ _PATH = """CASE dataset WHEN 'pbo_disbursement' THEN dataset || '/' || fiscal_ye
 @query(f"WITH {BUDGET} SELECT path, count(*) AS n, sum(amount_thb)::BIGINT AS amount_thb, true AS in_manifest FROM (SELECT *, {_PATH} AS path FROM budget) GROUP BY path")
 def published_shards(spark, d):
     """Writes the shards into the shared folder, reads them back, and sees that the manifest lists each."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + f"/shards-{uuid.uuid4().hex}"
+    folder = scratch(spark, "shards")
     writers.write_shards(facets.shard_path(budget_lines(spark, d)), folder)
     listed = writers.manifest(spark, folder).select(F.url_decode("partition").alias("path")).distinct().withColumn("in_manifest", F.lit(True))
     back = writers.read_shards(spark, folder).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_thb").alias("amount_thb"))
