@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import checks, facets, flags, lines
 from ..operators.lines import LineFilter
-from .standins import BUDGET, FLAGGED, PHRASE, budget_lines, table
+from .standins import BUDGET, FLAGGED, PHRASE, budget_lines, published_lines, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -24,25 +24,34 @@ _SHOWN = "source_id", "dataset", "fiscal_year_be", "item_key", "amount_thb", "un
 _CLEAN = "NOT list_contains(quality_flags, 'corrupt_row') AND NOT list_contains(quality_flags, 'lump_sum_category')"
 
 
+_PATH = """CASE dataset WHEN 'pbo_disbursement' THEN dataset || '/' || fiscal_year_be || '/' || ministry_code WHEN 'act_2570_draft' THEN dataset || '/' || ministry_code
+  WHEN 'committee_table' THEN dataset || '/' || source_doc_id ELSE dataset || '/' || coalesce(province, '_unmapped') END"""
+
+
 def flagged(spark, d):
     return flags.flag_lines(budget_lines(spark, d), PHRASE)
 
 
+def published(spark, d):
+    """The flagged lines as published: written at the first question, and again when a table they come from has changed."""
+    return published_lines(spark, d, flagged)
+
+
 @query(f"WITH {FLAGGED} SELECT {', '.join(_SHOWN)} FROM flagged WHERE {_CLEAN} ORDER BY amount_thb DESC NULLS LAST, source_id LIMIT 20")
 def query_lines_default(spark, d):
-    return lines.top(flagged(spark, d), LineFilter()).select(*_SHOWN)
+    return lines.top(published(spark, d).facts(), LineFilter()).select(*_SHOWN)
 
 
 @query(f"WITH {FLAGGED} SELECT {', '.join(_SHOWN)}, CASE WHEN unit_price_thb IS NOT NULL THEN 'unit_price' ELSE 'amount_per_line' END AS price_basis FROM flagged WHERE item_key IN ('red plate', 'redplate', 'hot ring') AND fiscal_year_be BETWEEN 2540 AND 2543 AND {_CLEAN}")
 def query_lines_by_key(spark, d):
     wanted = LineFilter(item_keys=("red plate", "redplate", "hot ring"), year_from=2540, year_to=2543)
-    return lines.matching(flagged(spark, d), wanted).select(*_SHOWN, lines.price_basis().alias("price_basis"))
+    return published(spark, d).matching(wanted).select(*_SHOWN, lines.price_basis().alias("price_basis"))
 
 
 @query(f"WITH {FLAGGED} SELECT {', '.join(_SHOWN)} FROM flagged WHERE (item_name_raw ILIKE '%RED%' OR item_key ILIKE '%RED%') AND agency ILIKE '%PLIER#000000%' AND province IS NULL AND {_CLEAN}")
 def query_lines_keyword(spark, d):
     wanted = LineFilter(keyword="RED", agency_contains="PLIER#000000", missing=("province",))
-    return lines.matching(flagged(spark, d), wanted).select(*_SHOWN)
+    return published(spark, d).matching(wanted).select(*_SHOWN)
 
 
 def _orders_sql() -> str:
@@ -62,7 +71,7 @@ def query_lines_orders(spark, d):
 
 @query(f"WITH {FLAGGED} SELECT count(*) AS total FROM flagged WHERE amount_thb >= 50000 AND amount_thb <= 90000 AND ministry_code IN ('3', '75000') AND {_CLEAN}")
 def query_lines_total(spark, d):
-    return lines.total(flagged(spark, d), LineFilter(min_amount=50000, max_amount=90000, ministry_codes=("3", "75000")))
+    return lines.total(published(spark, d).facts(), LineFilter(min_amount=50000, max_amount=90000, ministry_codes=("3", "75000")))
 
 
 @query(f"""WITH {BUDGET}, a AS (SELECT DISTINCT source_id, source_path, source_sheet, source_row FROM budget)
@@ -73,6 +82,18 @@ def neighbor_lines(spark, d):
     return lines.neighbours(all_lines, all_lines, 40)
 
 
+@query(f"WITH {FLAGGED} SELECT fiscal_year_be, count(*) AS n, sum(amount_thb)::BIGINT AS amount_thb FROM flagged WHERE dataset = 'pbo_disbursement' AND fiscal_year_be IN (2539, 2540, 2541) AND {_CLEAN} GROUP BY fiscal_year_be")
+def published_sums_by_year(spark, d):
+    """Counts and sums by year over the shards of three years."""
+    wanted = LineFilter(datasets=("pbo_disbursement",), years=(2539, 2540, 2541))
+    return published(spark, d).matching(wanted).groupBy("fiscal_year_be").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_thb").alias("amount_thb"))
+
+
+@query(f"WITH {FLAGGED}, p AS (SELECT *, {_PATH} AS path FROM flagged WHERE item_key IS NOT NULL) SELECT regexp_replace(item_key, '\\s+', '', 'g') AS group_key, path, count(*) AS n FROM p GROUP BY ALL")
+def published_item_index(spark, d):
+    return published(spark, d).items()
+
+
 @query(f"""WITH {BUDGET}, a AS (SELECT DISTINCT source_id, source_path, source_sheet, source_row FROM budget)
 SELECT a.source_id AS anchor_id, b.source_id, b.source_row, b.source_row - a.source_row AS distance FROM budget b JOIN a ON b.source_path = a.source_path AND b.source_sheet IS NOT DISTINCT FROM a.source_sheet
 WHERE b.source_row BETWEEN a.source_row - 40 AND a.source_row + 40""")
@@ -96,7 +117,7 @@ def get_lines_not_found(spark, d):
 @query(f"""WITH {FLAGGED}, m AS (SELECT * FROM flagged WHERE province = 'NATION_4' AND {_CLEAN}), y AS (SELECT DISTINCT fiscal_year_be FROM m ORDER BY 1 DESC LIMIT 1)
 SELECT source_id, fiscal_year_be, 'latest 1 years' AS scope FROM m WHERE fiscal_year_be IN (SELECT * FROM y)""")
 def query_lines_narrowed(spark, d):
-    found, scope = lines.narrowed(flagged(spark, d), LineFilter(provinces=("NATION_4",)), 1)
+    found, scope = lines.narrowed(published(spark, d).facts(), LineFilter(provinces=("NATION_4",)), 1)
     return found.select("source_id", "fiscal_year_be", F.lit(scope).alias("scope"))
 
 
@@ -147,10 +168,6 @@ def top_item_keys(spark, d):
     return facets.top_values(budget_lines(spark, d), "item_key", 15)
 
 
-_PATH = """CASE dataset WHEN 'pbo_disbursement' THEN dataset || '/' || fiscal_year_be || '/' || ministry_code WHEN 'act_2570_draft' THEN dataset || '/' || ministry_code
-  WHEN 'committee_table' THEN dataset || '/' || source_doc_id ELSE dataset || '/' || coalesce(province, '_unmapped') END"""
-
-
 @query(f"WITH {BUDGET} SELECT path, count(*) AS rows, min(source_id) AS first_id, max(source_id) AS last_id, array_to_string(list_sort(list_distinct(list(fiscal_year_be))), ',') AS years FROM (SELECT *, {_PATH} AS path FROM budget) GROUP BY path")
 def shard_manifest(spark, d):
     return facets.shard_summary(facets.shard_path(budget_lines(spark, d)))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import round_half_even
+from ..sources import published
 
 #: Stands in for the lump-sum phrase in part names.
 PHRASE = "gizmo"
@@ -23,6 +24,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Readers of the lines published by an application: (application, folder, state of the tables) -> reader.
+_PUBLISHED: dict[tuple, published.Published] = {}
+
+
+def published_lines(spark: SparkSession, sf_dir: str, lines) -> published.Published:
+    """A reader of ``lines(spark, sf_dir)``, which are published at the first question, and anew when the tables' files are others than before."""
+    names = [f"{sf_dir}/{t}.parquet{rest}" for t in ("lineitem", "part", "supplier", "nation") for rest in ("", "/*")]
+    key = spark.sparkContext.applicationId, sf_dir, tuple(s for name in names for s in published.statuses(spark, name))
+    if key not in _PUBLISHED:
+        root = scratch(spark, "published")
+        published.publish(lines(spark, sf_dir), root)
+        _PUBLISHED[key] = published.Published(spark, root)
+    _PUBLISHED[key] = _PUBLISHED[key].up_to_date()
+    return _PUBLISHED[key]
+
+
 def budget_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
     parts, suppliers, nations = (table(spark, sf_dir, t) for t in ("part", "supplier", "nation"))
