@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text, years
 from ..operators import documents, econ, implied, proposals, search
-from .standins import BUDGET, budget_lines, table
+from ..sources.search_index import KeptIndex
+from .standins import BUDGET, budget_lines, scratch, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -66,6 +67,47 @@ def search_catalog_filtered(spark, d):
     return search.search(search.build_index(items), items, "Blue, ring 12", 10, priced_only=True).select("id", "key", "rank_score")
 
 
+def _kept(spark, d):
+    """The items and their index, kept: built of two items in three, then merged with the rest and a changed name, then brought up to date."""
+    items = _items(spark, d)
+    index = KeptIndex(spark, scratch(spark, "index")).build(items.filter("id % 9 <> 0"))
+    odd = items.withColumn("key", F.when(F.col("id") % 50 == 1, F.concat(F.lit("changed "), "key")).otherwise(F.col("key")))
+    index, first = index.refresh(odd)
+    index, second = index.refresh(items)
+    return items, index, [first, second, index.refresh(items)[1]]
+
+
+@query(f"WITH x AS ({_rank_sql(['smal', 'rign', 'promo'], '', 1_000_000_000)}) SELECT id, key, rank_score, (SELECT count(*) FROM x) AS total FROM x ORDER BY rank_score DESC, id LIMIT 20")
+def search_kept_index(spark, d):
+    """Over an index that was built, merged twice and is fresh then."""
+    items, index, _ = _kept(spark, d)
+    return index.search(items, "smal rign PROMO 7", 20).select("id", "key", "rank_score", "total")
+
+
+@query(f"WITH {_ITEMS} SELECT *, 'merged,merged,fresh' AS states FROM ix")
+def search_index_merged(spark, d):
+    """The merged index holds what one built anew would."""
+    _, index, states = _kept(spark, d)
+    return index.postings().withColumn("states", F.lit(",".join(states)))
+
+
+@query(f"SELECT key FROM ({_rank_sql(['bluw', 'plat', 'ecnomy'], '', 5)})")
+def search_suggestions(spark, d):
+    items, index, _ = _kept(spark, d)
+    return index.suggestions(items, "bluw plat 3 ecnomy")
+
+
+_YEARS_SQL = "list_contains([2538 + id % 7, 2540], 2541)"
+
+
+@query(f"WITH x AS ({_rank_sql(['blue', 'ring'], f'WHERE {_YEARS_SQL}', 1_000_000_000)}) SELECT id, key, rank_score, (SELECT count(*) FROM x) AS total FROM x ORDER BY rank_score DESC, id LIMIT 10")
+def search_by_year(spark, d):
+    """Hits of a year only, and how many there are before the limit."""
+    items = _items(spark, d).withColumn("years", F.array((2538 + F.col("id") % 7).cast("int"), F.lit(2540)))
+    index = KeptIndex(spark, scratch(spark, "index")).build(items)
+    return index.search(items, "blue ring", 10, years=(2541,)).select("id", "key", "rank_score", "total")
+
+
 # ---- documents
 
 
