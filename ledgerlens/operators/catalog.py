@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import round_half_even
 from ..functions.text import group_key
 from ..schema import countable, usable_amount, usable_price
+from . import quantiles
 
 MAX_VARIANTS = 12
 TOP_AGENCIES = 3
@@ -112,20 +113,16 @@ def low_specificity() -> Column:
     return (F.char_length("key") <= SHORT_KEY) | F.coalesce(spread, F.lit(False))
 
 
-def _spread(value: str, usable: Column, prefix: str) -> list[Column]:
-    x = F.when(usable, F.col(value))
-    return [F.min(x).alias(f"{prefix}_min"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"__{prefix}"), F.max(x).alias(f"{prefix}_max"), F.nullif(F.count(x), F.lit(0)).alias(f"{prefix}_n")]
-
-
 def summaries(lines: DataFrame) -> DataFrame:
-    """Counts and statistics of each group, all in one pass and one shuffle; combined map-side."""
-    prices = F.collect_set(F.when(usable_price(), F.col("unit_price_thb")))
-    found = lines.groupBy("group_key").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_set("fiscal_year_be")).alias("years"), F.size(prices).cast("long").alias("n_unit_prices"),
-        *_spread("unit_price_thb", usable_price(), "up"), *_spread("amount_thb", usable_amount(), "amt"),
-    )
-    parts = {f"{p}_{n}": round_half_even(F.col(f"__{p}")[i]).cast("long") for p in ("up", "amt") for i, n in enumerate(("p25", "median", "p75"))}
-    found = found.withColumns(parts | {"n_years": F.size("years").cast("long")})
+    """Counts and statistics of each group; percentiles are of values counted before."""
+    values = {"up": F.when(usable_price(), F.col("unit_price_thb")), "amt": F.when(usable_amount(), F.col("amount_thb"))}
+    told = quantiles.spread(quantiles.value_counts(lines, ("group_key",), values), ("group_key", "kind"), (0.25, 0.5, 0.75))
+    of = lambda kind, value: F.max(F.when(F.col("kind") == kind, value))
+    parts = {"min": F.col("low"), "p25": F.col("p")[0], "median": F.col("p")[1], "p75": F.col("p")[2], "max": F.col("high"), "n": F.col("n")}
+    columns = [of(kind, round_half_even(x).cast("long") if name in ("p25", "median", "p75") else x).alias(f"{kind}_{name}") for kind in values for name, x in parts.items()]
+    wide = told.groupBy("group_key").agg(*columns, of("up", F.col("n_distinct")).alias("n_unit_prices"))
+    years = lines.groupBy("group_key").agg(F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_set("fiscal_year_be")).alias("years"))
+    found = years.join(wide, "group_key", "left").withColumns({"n_years": F.size("years").cast("long"), "n_unit_prices": F.coalesce("n_unit_prices", F.lit(0).cast("long"))})
     stats = [f"{p}_{n}" for p in ("up", "amt") for n in ("min", "p25", "median", "p75", "max", "n")]
     return found.select("group_key", "n_lines", "n_years", "years", "n_unit_prices", *stats)
 

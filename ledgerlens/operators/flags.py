@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CORRUPT, LUMP_SUM, LUMP_SUM_PHRASE, PRICE_OUTLIER, lacks
+from . import quantiles
 
 #: A unit price is an outlier above this many times its key's 99.5th percentile.
 OUTLIER_FACTOR = 10
@@ -16,9 +17,8 @@ def outlier_thresholds(lines: DataFrame, skip_corrupt: bool = True) -> DataFrame
     """item_key, threshold: exact percentile of positive prices. The validation report's own form keeps corrupt rows."""
     priced = lines.filter(F.col("item_key").isNotNull() & (F.col("unit_price_thb") > 0))
     priced = priced.filter(lacks(CORRUPT)) if skip_corrupt else priced
-    # Counts by price first: what meets in a hot key's task is its distinct prices, not its rows.
-    counted = priced.groupBy("item_key", "unit_price_thb").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("item_key").agg((F.expr(f"percentile(unit_price_thb, {OUTLIER_SHARE}, n)") * OUTLIER_FACTOR).alias("threshold"))
+    counted = quantiles.value_counts(priced, ("item_key",), {"up": F.col("unit_price_thb")}).drop("kind")
+    return quantiles.spread(counted, ("item_key",), (OUTLIER_SHARE,)).select("item_key", (F.col("p")[0] * OUTLIER_FACTOR).alias("threshold"))
 
 
 def flag_lines(lines: DataFrame, phrase: str = LUMP_SUM_PHRASE) -> DataFrame:

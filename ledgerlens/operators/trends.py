@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import round_half_away, round_half_even
 from ..schema import usable_amount, usable_price
+from . import quantiles
 
 MIN_YEARS = 3
 MIN_PRICES = 3
@@ -18,13 +19,15 @@ BY_PRICE, BY_AMOUNT = "unit_price_per_line", "amount_per_line"
 
 def points(lines: DataFrame) -> DataFrame:
     """group_key, year_be and the year's statistics of unit prices and of amounts. ``lines``: of catalog.grouped_lines."""
-    lines = lines.filter(F.col("fiscal_year_be").isNotNull())
-    keys = "group_key", F.col("fiscal_year_be").alias("year_be")
-    prices = lines.filter(usable_price()).groupBy(*keys).agg(F.count(F.lit(1)).alias("up_n"), F.expr("percentile(unit_price_thb, array(0.25, 0.5, 0.75))").alias("__p"))
-    amounts = lines.filter(usable_amount()).groupBy(*keys).agg(F.count(F.lit(1)).alias("amt_n"), F.expr("percentile(amount_thb, 0.5)").alias("__m"))
-    both = prices.join(amounts, ["group_key", "year_be"], "full")
-    parts = [round_half_even(F.col("__p")[i]).cast("long").alias(n) for i, n in enumerate(("up_p25", "up_median", "up_p75"))]
-    return both.select("group_key", "year_be", "up_n", *parts, "amt_n", round_half_even(F.col("__m")).cast("long").alias("amt_median"))
+    dated = lines.filter(F.col("fiscal_year_be").isNotNull()).withColumn("year_be", F.col("fiscal_year_be"))
+    keys, values = ("group_key", "year_be"), {"up": F.when(usable_price(), F.col("unit_price_thb")), "amt": F.when(usable_amount(), F.col("amount_thb"))}
+    told = quantiles.spread(quantiles.value_counts(dated, keys, values), (*keys, "kind"), (0.25, 0.5, 0.75))
+    of = lambda kind, value: F.max(F.when(F.col("kind") == kind, value))
+    part = lambda k: round_half_even(F.col("p")[k]).cast("long")
+    return told.groupBy(*keys).agg(
+        of("up", F.col("n")).alias("up_n"), *[of("up", part(k)).alias(n) for k, n in enumerate(("up_p25", "up_median", "up_p75"))],
+        of("amt", F.col("n")).alias("amt_n"), of("amt", part(1)).alias("amt_median"),
+    )
 
 
 def with_basis(found: DataFrame) -> DataFrame:

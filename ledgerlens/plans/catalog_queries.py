@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog, flags, trends
+from .line_queries import published
 from .standins import FLAGGED, PHRASE, budget_lines, table
 
 QUERIES, ORACLES = {}, {}
@@ -24,7 +25,7 @@ def flagged(spark, d):
 
 
 def counted(spark, d):
-    return catalog.grouped_lines(flagged(spark, d))
+    return catalog.grouped_lines(published(spark, d).facts())
 
 
 def _list(c: str):
@@ -109,7 +110,7 @@ SELECT el.*, va.* EXCLUDE (group_key), up.* EXCLUDE (group_key), am.* EXCLUDE (g
 FROM el LEFT JOIN va USING (group_key) LEFT JOIN up USING (group_key) LEFT JOIN am USING (group_key) LEFT JOIN dn USING (group_key) LEFT JOIN ag USING (group_key) LEFT JOIN sa USING (group_key)
 WHERE n_lines >= 5 OR n_years >= 3 OR n_unit_prices >= 2""")
 def catalog_entries(spark, d):
-    out = catalog.entries(flagged(spark, d))
+    out = catalog.entries(published(spark, d).facts())
     lists = ("years", "keys", "agencies", "sample_ids")
     return out.select(*[_list(c) if c in lists else F.col(c) for c in out.columns])
 

@@ -136,7 +136,7 @@ def check_unmapped_pct(spark, d):
 
 @query(f"WITH {FLAGGED} SELECT flag, count(*) AS n FROM (SELECT unnest(quality_flags) AS flag FROM flagged) GROUP BY flag")
 def flag_histogram(spark, d):
-    return facets.flag_histogram(flagged(spark, d))
+    return facets.flag_histogram(published(spark, d).facts())
 
 
 _NOTES = [("pbo_disbursement", 2541, "partial year"), ("pbo_disbursement", None, "amounts in millions"), ("committee_table", None, "scanned"), ("act_2570_draft", 2599, "never used")]
@@ -183,7 +183,7 @@ SELECT group_key, string_agg(i, ',' ORDER BY i) AS shards FROM (SELECT DISTINCT
 def item_shard_index(spark, d):
     from ..operators import catalog
 
-    index = catalog.file_index(facets.shard_path(flagged(spark, d)))
+    index = catalog.file_index(published(spark, d).facts())
     paths = index.select("group_key", F.explode("paths").alias("path"))
     numbered = paths.join(facets.numbered_paths(paths), "path").groupBy("group_key").agg(F.array_sort(F.collect_list("index")).alias("i"))
     return numbered.select("group_key", F.array_join(F.col("i").cast("array<string>"), ",").alias("shards"))
