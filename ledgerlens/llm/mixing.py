@@ -8,9 +8,9 @@ direction that keeps each one's expectation, until one of them has 0 or 1 copies
 the next. The last document left open in a source takes the nearer of 0 and 1: the words taken from a
 source are right up to half the size of that document.
 
-Documents are dealt to chunks; each chunk is rounded by itself and leaves one open document for
-each source at most; these meet in a reduction tree of fan-in ``FAN_IN`` over the chunks. The larger
-documents of a chunk come first, which leaves a small one open.
+A source's documents are dealt to chunks; each (source, chunk) is rounded by itself and leaves one open document
+at most; those of a source meet in a reduction tree of fan-in ``FAN_IN`` over its chunks, so a node above the first level has at most
+``FAN_IN`` rows. The larger documents of a chunk come first, which leaves a small one open. Equal sizes: by a hash of the document.
 
 Defined results
 * null or blank text: size 0; such documents bring no words, and their copies follow the bare probability.
@@ -107,6 +107,12 @@ def _round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([held], columns=names)
 
 
+def dealt(level: DataFrame, parts: int) -> DataFrame:
+    """Open rows of a level by (source, chunk), each such node in order: rows of different sources never need to meet, so however many
+    sources there are, their nodes spread over all tasks."""
+    return level.repartition(parts, "source", "chunk").sortWithinPartitions("source", "chunk", F.desc("size"), "dice", "uid")
+
+
 def rounded(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, source, size, source_size, target, copies of each document."""
     sized = docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("mark"), F.monotonically_increasing_id().alias("uid"))
@@ -132,8 +138,7 @@ def _round_copies(sized: DataFrame) -> DataFrame:
     level = aimed.filter((F.col("size") > 0) & (part > 0)).select("uid", "source", "size", whole.alias("whole"), part.alias("p"), chunk.alias("chunk"), dice.alias("dice"))
     parts, closed = int(spark.conf.get("spark.sql.shuffle.partitions")), None
     while True:
-        sorted_rows = level.repartition(parts, "chunk").sortWithinPartitions("chunk", "source", F.desc("size"), "dice", "uid")
-        out = staged(sorted_rows.mapInPandas(_round, _OPEN))
+        out = staged(dealt(level, parts).mapInPandas(_round, _OPEN))
         done = out.filter(F.col("p").isin(0.0, 1.0))
         closed = done if closed is None else closed.unionByName(done)
         level = out.filter(~F.col("p").isin(0.0, 1.0))
