@@ -61,3 +61,20 @@ def test_years_and_places(spark):
     assert one(spark, "ครั้งที่ 3 วันที่ 12 มิถุนายน 2569", years.meeting_number(x), years.meeting_date(x)) == (3, "2569-06-12")
     assert one(spark, "ครั้งที่ 12 (5 ม.ค. 2570)", years.meeting_number(x), years.meeting_date(x)) == (12, "2570-01-05")
     assert one(spark, "กทม.", places.province(x)) == "กรุงเทพมหานคร" and one(spark, "nowhere", places.province(x)) is None
+
+
+YEAR_TEXTS = {
+    "2566-2567-2570": [2566, 2567, 2570], "2566 – 2569": [2566, 2567, 2568, 2569], "2570-2566": [2566, 2570], "12566-25701": [2566, 2567, 2568, 2569, 2570], "พ.ศ.... 70": [2570], "พ.ศ..... 70": [],
+    "งบประมาณ: 70": [2570], "ปี     71": [2571], "ปี.:.:.71": [], "ของบฯ70": [2570], "งบ 705": [], "งบ 39 งบ 80": [], "25252566": [2566], "2500-2599": [2599], "2560/2561": [2560, 2561], "": [], "x": [],
+}
+
+
+def test_years_of_odd_texts(spark):
+    rows = spark.createDataFrame([*((k,) for k in YEAR_TEXTS), (None,)], "t string").select("t", years.fiscal_years(F.col("t")).alias("y")).collect()
+    assert {r["t"]: r["y"] for r in rows} == YEAR_TEXTS | {None: None}
+
+
+def test_dates_of_odd_texts(spark):
+    texts = {"12มิถุนายน2569": "2569-06-12", "(1) 3 ม.ค. 2570)": "2570-01-03", "5 abc 2569, 6 มกราคม 2570": None, "มกราคม 2570": None, "7 มกราคม 25701": None, "1225 ธ . ค . 2568": "2568-12-25", "": None}
+    rows = spark.createDataFrame([(k,) for k in texts], "t string").select("t", years.meeting_date(F.col("t")).alias("d")).collect()
+    assert {r["t"]: r["d"] for r in rows} == texts
