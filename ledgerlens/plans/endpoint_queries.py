@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import catalog, endpoints, flags, search, trends
+from ..operators import catalog, endpoints, search, trends
 from ..operators.lines import LineFilter
 from .line_queries import published
-from .standins import BUDGET, FLAGGED, PHRASE, budget_lines, table
+from .standins import BUDGET, FLAGGED, budget_lines, table
 
 QUERIES, ORACLES = {}, {}
 
