@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import checks, documents, facets, implied, lines, search, trends
+from . import documents, facets, implied, lines, search, trends
 from .lines import LineFilter
 
 #: Price statistics of fewer values are of low reliability.
 RELIABLE_FROM = 3
-HARD, SOFT = "hard", "soft"
 
 
 def query_budget_lines(source: DataFrame, wanted: LineFilter, order: str = "amount_desc", limit: int | None = None) -> DataFrame:
@@ -61,20 +60,3 @@ def find_documents(index: DataFrame, docs: DataFrame, query: str, limit: int = 1
 def suggestions(index: DataFrame, items: DataFrame, unknown_key: str) -> DataFrame:
     """The five nearest keys to one that isn't there."""
     return search.search(index, items, unknown_key, 5).select("key")
-
-
-def report(results: list[tuple[str, str, DataFrame]]) -> DataFrame:
-    """check, severity, problems, passed. ``results``: name, hard or soft, and the rows that are wrong."""
-    out = None
-    for name, severity, wrong in results:
-        row = wrong.agg(F.count(F.lit(1)).alias("problems")).select(F.lit(name).alias("check"), F.lit(severity).alias("severity"), "problems", (F.col("problems") == 0).alias("passed"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-def standard_checks(source: DataFrame, docs: DataFrame, first: int, last: int) -> list[tuple[str, str, DataFrame]]:
-    unmapped = facets.flag_share(source, "dataset").filter("pct > 10")
-    return [
-        ("unique_ids", HARD, checks.duplicate_ids(source)), ("years_in_range", HARD, checks.years_out_of_range(source, first, last).filter("n_bad > 0")), ("documents_known", HARD, checks.missing_documents(source, docs)),
-        ("no_gaps", SOFT, checks.absent_years(source)), ("organisations_mapped", SOFT, unmapped), ("amounts_positive", SOFT, source.filter("amount_thb < 0")),
-    ]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import catalog, endpoints, search, trends
 from ..operators.lines import LineFilter
 from .line_queries import published
-from .standins import BUDGET, FLAGGED, budget_lines, table
+from .standins import FLAGGED, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -54,19 +54,6 @@ def price_trend_of_item(spark, d):
     return endpoints.price_trend(chosen, "redplate", (2539, 2543)).select("year_be", "n", "median", "change_pct")
 
 
-@query(f"""WITH {BUDGET}, b AS (SELECT * FROM budget WHERE NOT (fiscal_year_be = 2541 AND ministry_code IN ('2', '9'))), u AS (SELECT count(*) FILTER (WHERE list_contains(quality_flags, 'org_unmapped')) * 100.0 / count(*) AS pct FROM b GROUP BY dataset),
-s AS (SELECT DISTINCT ministry_code, fiscal_year_be FROM b), g AS (SELECT *, lead(fiscal_year_be) OVER (PARTITION BY ministry_code ORDER BY fiscal_year_be) AS nxt FROM s),
-r AS (SELECT 'unique_ids' AS "check", 'hard' AS severity, (SELECT count(DISTINCT dataset) FROM (SELECT dataset FROM b GROUP BY dataset, source_id HAVING count(*) > 1)) AS problems
-UNION ALL SELECT 'years_in_range', 'hard', (SELECT count(DISTINCT dataset) FROM b WHERE fiscal_year_be NOT BETWEEN 2538 AND 2543)
-UNION ALL SELECT 'documents_known', 'hard', (SELECT count(DISTINCT source_doc_id) FROM b WHERE source_doc_id NOT IN (SELECT source_doc_id FROM b WHERE fiscal_year_be < 2543))
-UNION ALL SELECT 'no_gaps', 'soft', (SELECT count(*) FROM g WHERE nxt = fiscal_year_be + 2) UNION ALL SELECT 'organisations_mapped', 'soft', (SELECT count(*) FROM u WHERE round(pct, 2) > 10) UNION ALL SELECT 'amounts_positive', 'soft', (SELECT count(*) FROM b WHERE amount_thb < 0))
-SELECT *, problems = 0 AS passed FROM r""")
-def validation_report(spark, d):
-    source = budget_lines(spark, d).filter("NOT (fiscal_year_be = 2541 AND ministry_code IN ('2', '9'))")
-    docs = source.filter("fiscal_year_be < 2543").select(F.col("source_doc_id").alias("doc_id"))
-    return endpoints.report(endpoints.standard_checks(source, docs, 2538, 2543))
-
-
 @query("""WITH d AS (SELECT doc_id, string_split(lower(lang || ' ' || source || ' doc' || doc_id % 40), ' ') AS t, CASE WHEN doc_id % 9 = 0 THEN 'other' ELSE 'pdf' END AS kind FROM documents)
 SELECT doc_id FROM d WHERE list_contains(t, 'src7') AND list_contains(t, 'doc7') AND kind <> 'other' ORDER BY doc_id LIMIT 20""")
 def find_documents(spark, d):
