@@ -253,3 +253,18 @@ def text_helpers(spark, d):
     held = text.holds_number(F.concat(F.lit("a "), (k % 100).cast("string"), F.lit(" b 125 c 25.5 d 1,250")), "25")
     return table(spark, d, "customer").select(k.alias("k"), text.page_of(page).alias("page"), text.shortened(n, 12).alias("short"), text.expand_local_gov(gov).alias("gov"), text.slug(n).alias("slug"),
                                               F.replace(text.quoted(F.concat(F.lit('“Say’ '), s, F.lit(",๕   "), n)), F.lower(n), n).alias("quote"), years.targets_year(sheet, 2570).alias("this_year"), held.alias("holds"))
+
+
+_ROOTS = """CASE o_orderkey % 6 WHEN 0 THEN 'PBO/2567/k' || o_orderkey || '.xlsx' WHEN 1 THEN 'OPEN SSO/งบ 67/k.pdf' WHEN 2 THEN 'กมธ.ติดตามงบ/ครั้งที่ ' || o_orderkey % 50 || ' (12 มกราคม 2569)/topic  ' || o_custkey || '/x/office ' || o_custkey % 9 || '/ปี 2568.pdf'
+  WHEN 3 THEN 'งบประมาณ  north ' || o_custkey % 7 || '/' || o_orderkey % 4 || ' - ' || CASE o_custkey % 3 WHEN 0 THEN 'ฟังก์ชัน' WHEN 1 THEN 'เทศบาล x' ELSE 'plain' END || '/2566-2568.pdf' WHEN 4 THEN 'กมธ.ติดตามงบ/ครั้งที่ ' || o_orderkey % 50 || '/only/k.pdf' ELSE 'other 2565/ปี 2566/k.pdf' END"""
+
+
+@query(f"""SELECT o_orderkey AS k, {_ROOTS} AS rel_path, CASE WHEN m = 0 THEN 'pbo' WHEN m = 1 THEN 'open_sso' WHEN m = 3 THEN 'province_budget' ELSE 'committee' END AS collection, CASE WHEN m IN (2, 4) THEN (o_orderkey % 50)::INT END AS meeting_no,
+  CASE WHEN m = 2 THEN '2569-01-12' END AS meeting_date, CASE m WHEN 2 THEN 'topic ' || o_custkey WHEN 4 THEN 'only' END AS topic, CASE m WHEN 1 THEN 'สำนักงานประกันสังคม' WHEN 2 THEN 'office ' || o_custkey % 9 END AS agency_guess, CASE WHEN m = 3 THEN 'north ' || o_custkey % 7 END AS province,
+  CASE WHEN m = 3 THEN CASE o_custkey % 3 WHEN 0 THEN 'central' WHEN 1 THEN 'local' END END AS gov_level, CASE WHEN m = 3 THEN CASE o_custkey % 3 WHEN 0 THEN 'ฟังก์ชัน' WHEN 1 THEN 'เทศบาล x' ELSE 'plain' END END AS level,
+  CASE m WHEN 0 THEN '2567' WHEN 1 THEN '2567' WHEN 2 THEN '2568' WHEN 3 THEN '2566,2567,2568' WHEN 5 THEN '2565' ELSE '' END AS fiscal_years FROM (SELECT *, o_orderkey % 6 AS m FROM orders)""")
+def inventory_fields(spark, d):
+    """What the folders of a path say, for a path made of each order."""
+    paths = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.expr(_ROOTS).alias("rel_path"))
+    found = paths.withColumn("of", files.folder_fields(F.col("rel_path"))).select("k", "rel_path", "of.*")
+    return found.withColumn("fiscal_years", F.array_join("fiscal_years", ","))
