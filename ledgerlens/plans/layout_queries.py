@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, facets, flags
 from ..sources import layouts
-from .standins import BUDGET, FLAGGED, PHRASE, budget_lines
+from .standins import BUDGET, FLAGGED, PHRASE, budget_lines, written
 
 QUERIES, ORACLES = {}, {}
 
@@ -105,21 +105,25 @@ def _tables(spark, d):
     blank = F.array(F.lit(""), F.lit(" "))
     extra = [(F.lit(1), F.array(title)), (F.lit(2), F.array(F.lit("agency"), second, F.lit("Amount"), F.lit("plan"))), (F.lit(3), blank), (F.lit(4), blank), (F.col("n") + 5, F.array(F.lit(""), F.lit("รวมทั้งสิ้น"), thousand("v"))),
              (F.col("n") + 6, blank), (F.col("n") + 7, blank), (F.col("n") + 8, F.array(F.lit("note"), F.lit("7")))]
-    for n, cells in extra:
-        body = body.unionByName(books.select("path", "sheet", n.alias("row_no"), cells.alias("cells")))
-    return body
+    around = F.array(*[F.struct(n.cast("int").alias("row_no"), cells.alias("cells")) for n, cells in extra])
+    # What a layout makes of the rows reads them several times.
+    return written(body.unionByName(books.select("path", "sheet", F.inline(around))), "tables")
+
+
+def _unknown(rows):
+    return layouts.unknown_tables(rows, _NAMES, regions=written(layouts.table_regions(rows), "regions"))
 
 
 @query(f"""WITH {BUDGET} SELECT source_path AS path, source_sheet AS sheet, 2 AS header_row, 5 AS first_row, count(*)::INT + 5 AS last_row, CASE WHEN source_sheet <> '2' THEN 1000 END AS unit,
 CASE source_sheet WHEN '9' THEN 'columns missing' WHEN '2' THEN 'unit unknown' END AS reason FROM budget WHERE dataset = 'committee_table' GROUP BY ALL""")
 def unknown_tables(spark, d):
-    return layouts.unknown_tables(_tables(spark, d), _NAMES).select("path", "sheet", "header_row", "first_row", "last_row", "unit", "reason")
+    return _unknown(_tables(spark, d)).select("path", "sheet", "header_row", "first_row", "last_row", "unit", "reason")
 
 
 @query(f"""WITH {BUDGET} SELECT source_path AS path, source_sheet AS sheet, item_name_raw, agency, amount_thb FROM budget WHERE dataset = 'committee_table' AND source_sheet NOT IN ('2', '9')""")
 def unknown_table_lines(spark, d):
     rows = _tables(spark, d)
-    return layouts.table_lines(rows, layouts.unknown_tables(rows, _NAMES)).select("path", "sheet", "item_name_raw", "agency", "amount_thb")
+    return layouts.table_lines(rows, written(_unknown(rows), "unknown")).select("path", "sheet", "item_name_raw", "agency", "amount_thb")
 
 
 # ---- shards

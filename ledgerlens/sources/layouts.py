@@ -143,23 +143,26 @@ def table_regions(rows: DataFrame) -> DataFrame:
     """
     seen = rows.withColumn("__t", _cleaned()).withColumn("__t", F.filter("__t", lambda t: F.length(t) > 0))
     n_numbers = F.size(F.filter("__t", lambda t: F.regexp_replace(t, "[, ]", "").rlike(rf"^([-+]?{_FIGURE}|\([-+]?{_FIGURE}\))$")))
-    order = Window.partitionBy(*_SHEET).orderBy("row_no")
+    order, upward = Window.partitionBy(*_SHEET).orderBy("row_no"), Window.partitionBy(*_SHEET).orderBy(F.desc("row_no"))
     marked = seen.select(*_SHEET, "row_no", (F.size("__t") - n_numbers >= TABLE_TEXTS).alias("head"), (n_numbers > 0).alias("number"), (F.size("__t") == 0).alias("blank"))
     stop = F.when(F.col("blank") & F.coalesce(F.lag("blank").over(order), F.lit(False)), F.col("row_no"))
+    # The next stop below is the last one met from the bottom up: a frame that reaches to the end would be summed anew for each of its rows.
     marked = marked.withColumn("stop", stop).withColumns({
-        "first_row": F.min(F.when(F.col("number"), F.col("row_no"))).over(order.rowsBetween(1, NUMBER_WITHIN)),
-        "next_stop": F.min("stop").over(order.rowsBetween(1, Window.unboundedFollowing)),
+        "next_stop": F.min("stop").over(upward.rowsBetween(Window.unboundedPreceding, -1)),
         "bottom": F.max(F.when(~F.col("blank"), F.col("row_no"))).over(Window.partitionBy(*_SHEET)),
     })
-    ends = marked.filter("number").select(*_SHEET, F.col("row_no").alias("first_row"), F.coalesce(F.col("next_stop") - 2, F.col("bottom")).alias("last_row"))
-    found = marked.filter("head AND first_row IS NOT NULL").select(*_SHEET, F.col("row_no").alias("header_row"), "first_row").join(ends, [*_SHEET, "first_row"])
-    best = Window.partitionBy(*_SHEET).orderBy((F.col("first_row") - F.col("last_row")), "header_row")
-    return found.withColumn("n", F.row_number().over(best)).filter("n = 1").select(*_SHEET, "header_row", "first_row", "last_row")
+    body = F.struct(F.col("row_no").alias("first_row"), F.coalesce(F.col("next_stop") - 2, F.col("bottom")).alias("last_row"))
+    marked = marked.withColumn("body", F.min(F.when(F.col("number"), body)).over(order.rowsBetween(1, NUMBER_WITHIN)))
+    found = marked.filter("head AND body IS NOT NULL").select(*_SHEET, F.struct((F.col("body.first_row") - F.col("body.last_row")).alias("size"), F.col("row_no").alias("header_row"), "body").alias("r"))
+    return found.groupBy(*_SHEET).agg(F.min("r").alias("r")).select(*_SHEET, "r.header_row", "r.body.*")
 
 
-def unknown_tables(rows: DataFrame, synonyms: dict[str, tuple[str, ...]], needed: tuple[str, ...] = ("item_name", "amount_thb")) -> DataFrame:
-    """path, sheet, header_row, first_row, last_row, columns (field to place), unit, reason: null where the table can be read."""
-    regions = table_regions(rows)
+def unknown_tables(rows: DataFrame, synonyms: dict[str, tuple[str, ...]], needed: tuple[str, ...] = ("item_name", "amount_thb"), regions: DataFrame | None = None) -> DataFrame:
+    """path, sheet, header_row, first_row, last_row, columns (field to place), unit, reason: null where the table can be read.
+
+    ``regions``: those of ``table_regions``, for callers that have written them; they are read several times.
+    """
+    regions = table_regions(rows) if regions is None else regions
     heads = rows.join(regions.select(*_SHEET, F.col("header_row").alias("row_no")), [*_SHEET, "row_no"])
     fields = mapped_headers(heads, synonyms, within=2**31 - 1).groupBy(*_SHEET).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "column")))).alias("columns"))
     near = rows.join(regions, list(_SHEET)).filter((F.col("row_no") >= F.col("header_row") - UNIT_ABOVE) & (F.col("row_no") < F.col("first_row")))
