@@ -25,14 +25,18 @@ def baht(text: Column, factor: int | Column = 1) -> Column:
 
     Commas and spaces go, local digits count, brackets or a minus sign make it negative. ``factor``: baht in the unit of the text, a number or a column.
     """
-    plain = clean(text)
-    bracketed = plain.rlike(r"^\(.*\)$")
-    inner = F.trim(F.when(bracketed, F.regexp_replace(plain, r"^\(|\)$", "")).otherwise(plain))
-    minus = inner.startswith("-")
-    digits = F.regexp_replace(F.regexp_replace(inner, r"^[-+]", ""), "[, ]", "")
-    number = F.when(digits.rlike(r"^(\d+(\.\d*)?|\.\d+)$"), digits).try_cast(_MONEY)
-    signed = F.when(bracketed != minus, -number).when(bracketed & minus, -number).otherwise(number)
-    return round_half_away(signed * F.lit(factor).cast("decimal(10,0)")).cast("long")
+
+    def signed(plain: Column) -> Column:
+        bracketed = plain.rlike(r"^\(.*\)$")
+        inner = F.trim(F.when(bracketed, F.regexp_replace(plain, r"^\(|\)$", "")).otherwise(plain))
+        minus = inner.startswith("-")
+        digits = F.regexp_replace(F.regexp_replace(inner, r"^[-+]", ""), "[, ]", "")
+        number = F.when(digits.rlike(r"^(\d+(\.\d*)?|\.\d+)$"), digits).try_cast(_MONEY)
+        return F.when(bracketed != minus, -number).when(bracketed & minus, -number).otherwise(number)
+
+    # As the one element of an array the clean text has a name: written out, it would be cleaned anew wherever it is used.
+    value = F.get(F.transform(F.array(clean(text)), signed), F.lit(0))
+    return round_half_away(value * F.lit(factor).cast("decimal(10,0)")).cast("long")
 
 
 def within(value: Column, expected: Column, share: float = 0.0001, least: float = 1000) -> Column:
