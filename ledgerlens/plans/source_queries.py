@@ -8,7 +8,7 @@ from ..functions import text, years
 from ..functions.places import PROVINCES
 from ..operators import checks, facets, items, normalize, orgs, proposals
 from ..sources import files, sheets, writers
-from .standins import BUDGET, budget_lines, scratch, table
+from .standins import BUDGET, budget_lines, scratch, table, written
 
 QUERIES, ORACLES = {}, {}
 
@@ -32,10 +32,10 @@ def _workbooks(spark, d):
     money = [million("amount_thb"), million("revised_thb"), F.lit("-"), F.when(bad, "see note").otherwise(million("disbursed_thb")), *[F.lit("-")] * 8]
     body = lines.select(F.col("source_path").alias("path"), F.lit("Sheet1").alias("sheet"), (F.col("source_row") + 10).alias("row_no"), F.array(*given, *money).alias("cells"))
     files = lines.groupBy(F.col("source_path").alias("path")).agg(F.sum("amount_thb").alias("amount_thb"))
-    head = files.select("path", F.lit("Sheet1").alias("sheet"), F.lit(3).alias("row_no"), F.array(*[F.lit(c.upper()) for c in sheets.PBO_COLUMNS]).alias("cells"))
-    blank = F.array_repeat(F.lit(""), 9)
-    foot = files.select("path", F.lit("Sheet1").alias("sheet"), F.lit(2_000_000_000).alias("row_no"), F.concat(F.array(F.lit(sheets.GRAND_TOTAL)), blank, F.array(million("amount_thb"))).alias("cells"))
-    return body.unionByName(head).unionByName(foot)
+    head = F.struct(F.lit(3).cast("long").alias("row_no"), F.array(*[F.lit(c.upper()) for c in sheets.PBO_COLUMNS]).alias("cells"))
+    foot = F.struct(F.lit(2_000_000_000).cast("long").alias("row_no"), F.concat(F.array(F.lit(sheets.GRAND_TOTAL)), F.array_repeat(F.lit(""), 9), F.array(million("amount_thb"))).alias("cells"))
+    # A layout reads the rows twice, for the header and for what is below.
+    return written(body.unionByName(files.select("path", F.lit("Sheet1").alias("sheet"), F.inline(F.array(head, foot)))), "workbooks")
 
 
 @query(f"""WITH {BUDGET} SELECT substr(sha1('pbo_disbursement|' || source_path || '|Sheet1|' || (source_row + 10)), 1, 16) AS source_id, fiscal_year_be, agency,
