@@ -21,9 +21,13 @@ def outlier_thresholds(lines: DataFrame, skip_corrupt: bool = True) -> DataFrame
     return quantiles.spread(counted, ("item_key",), (OUTLIER_SHARE,)).select("item_key", (F.col("p")[0] * OUTLIER_FACTOR).alias("threshold"))
 
 
-def flag_lines(lines: DataFrame, phrase: str = LUMP_SUM_PHRASE) -> DataFrame:
-    """The lines with ``unit_price_outlier`` and ``lump_sum_category`` added to their flags. Null flags become a list."""
-    joined = lines.join(outlier_thresholds(lines), "item_key", "left")
+def flag_lines(lines: DataFrame, phrase: str = LUMP_SUM_PHRASE, thresholds: DataFrame | None = None) -> DataFrame:
+    """The lines with ``unit_price_outlier`` and ``lump_sum_category`` added to their flags. Null flags become a list.
+
+    ``thresholds``: of outlier_thresholds, where they are written already. Spark knows the size of those, so that it need not
+    shuffle and sort all lines by their keys, many of which are hot.
+    """
+    joined = lines.join(outlier_thresholds(lines) if thresholds is None else thresholds, "item_key", "left")
 
     def flag(condition, name: str):
         return F.when(condition, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import catalog, facets, flags
+from ..operators import catalog, facets
 from ..sources import layouts
-from .standins import BUDGET, FLAGGED, PHRASE, budget_lines, written
+from .standins import BUDGET, FLAGGED, budget_lines, flagged_lines, written
 
 QUERIES, ORACLES = {}, {}
 
@@ -134,7 +134,7 @@ _PATH = """CASE dataset WHEN 'pbo_disbursement' THEN dataset || '/' || fiscal_ye
 
 
 def _located(spark, d):
-    return facets.shard_path(flags.flag_lines(budget_lines(spark, d), PHRASE))
+    return facets.shard_path(flagged_lines(spark, d))
 
 
 @query(f"WITH {FLAGGED} SELECT DISTINCT group_key, path FROM (SELECT *, {_PATH} AS path FROM cl) WHERE path NOT LIKE 'committee_table/%'")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import checks, facets, flags, lines
 from ..operators.lines import LineFilter
-from .standins import BUDGET, FLAGGED, PHRASE, budget_lines, published_lines, table
+from .standins import BUDGET, FLAGGED, budget_lines, published_lines, table
+from .standins import flagged_lines as flagged_lines_of
 
 QUERIES, ORACLES = {}, {}
 
@@ -29,7 +30,7 @@ _PATH = """CASE dataset WHEN 'pbo_disbursement' THEN dataset || '/' || fiscal_ye
 
 
 def flagged(spark, d):
-    return flags.flag_lines(budget_lines(spark, d), PHRASE)
+    return flagged_lines_of(spark, d)
 
 
 def published(spark, d):

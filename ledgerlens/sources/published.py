@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from ..operators.lines import LineFilter
 
 #: Bytes of a row group: small enough that sorted keys leave most of them unread.
 ROW_GROUP = 8 << 20
+#: Bytes of input to a task that sorts lines: some 150,000 lines, which fit into its memory.
+SORTED_AT_ONCE = 4 << 20
 #: Shard names that may go to all executors at a time (some 50 bytes each).
 MOST_NAMES = 200_000
 _RELEASE = "seq int, version string, schema string, n_rows long, n_shards long"
@@ -60,10 +63,13 @@ def current(spark: SparkSession, root: str) -> Release | None:
 
 def _write_version(lines: DataFrame, folder: str) -> tuple[str, int, int]:
     spark = lines.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = sum(s[1] for name in lines.inputFiles() for s in statuses(spark, unquote(name)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SORTED_AT_ONCE)
     order = "dataset", "path", F.asc_nulls_last("item_key"), "source_id"
     dealt = shard_path(lines).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     out = dealt.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP)
+    # As large as the row group's distinct values ask for, not a megabyte each.
+    out = out.option("parquet.bloom.filter.adaptive.enabled", "true")
     for column in ("item_key", "source_id"):
         out = out.option(f"parquet.bloom.filter.enabled#{column}", "true")
     out.partitionBy("dataset", "path").parquet(f"{folder}/facts")
