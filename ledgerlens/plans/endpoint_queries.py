@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, endpoints, search, trends
 from ..operators.lines import LineFilter
+from .catalog_queries import dated_values
 from .line_queries import published
-from .standins import FLAGGED, table
+from .standins import FLAGGED, all_lines, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -40,7 +41,7 @@ _UP = """up AS (SELECT group_key, round_even(quantile_cont(unit_price_thb, 0.5),
 @query(f"""WITH {FLAGGED}, {_UP}, names AS (SELECT p_name AS key, min(p_partkey) AS id FROM part GROUP BY p_name), hit AS (SELECT * FROM names WHERE list_contains(string_split(key, ' '), 'hot'))
 SELECT key, up_median, coalesce(up_n, 0) AS up_n, CASE WHEN coalesce(up_n, 0) < 3 THEN 'low' ELSE 'normal' END AS reliability FROM hit LEFT JOIN up ON replace(key, ' ', '') = group_key ORDER BY id LIMIT 20""")
 def search_catalog(spark, d):
-    counted = catalog.grouped_lines(published(spark, d).facts())
+    counted = catalog.grouped_lines(all_lines(spark, d, "item_key", "quality_flags", "unit_price_thb"))
     names = table(spark, d, "part").groupBy(F.col("p_name").alias("key")).agg(F.min("p_partkey").alias("id")).withColumn("n_lines", F.lit(1))
     stats = names.select("id", F.regexp_replace("key", " ", "").alias("group_key")).join(catalog.price_statistics(counted), "group_key").select("id", "up_median", "up_n")
     found = endpoints.search_catalog(search.build_index(names), names, stats, "hot", 20)
@@ -50,7 +51,7 @@ def search_catalog(spark, d):
 @query(f"""WITH {FLAGGED}, t AS (SELECT fiscal_year_be AS year_be, count(*) AS n, round_even(quantile_cont(unit_price_thb, 0.5), 0)::BIGINT AS median FROM cl WHERE up_ok AND group_key = 'redplate' AND fiscal_year_be BETWEEN 2539 AND 2543 GROUP BY 1 HAVING count(*) >= 3)
 SELECT year_be, n, median, round((arg_max(median, year_be) OVER () - arg_min(median, year_be) OVER ()) * 100.0 / arg_min(median, year_be) OVER (), 2) AS change_pct FROM t""")
 def price_trend_of_item(spark, d):
-    chosen = trends.with_basis(trends.points(catalog.grouped_lines(published(spark, d).facts())))
+    chosen = trends.with_basis(trends.points(dated_values(spark, d)))
     return endpoints.price_trend(chosen, "redplate", (2539, 2543)).select("year_be", "n", "median", "change_pct")
 
 

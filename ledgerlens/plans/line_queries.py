@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import checks, facets, flags, lines
 from ..operators.lines import LineFilter
-from .standins import BUDGET, FLAGGED, budget_lines, published_lines, table
+from .standins import BUDGET, FLAGGED, all_lines, budget_lines, published_lines, table
 from .standins import flagged_lines as flagged_lines_of
 
 QUERIES, ORACLES = {}, {}
@@ -137,7 +137,7 @@ def check_unmapped_pct(spark, d):
 
 @query(f"WITH {FLAGGED} SELECT flag, count(*) AS n FROM (SELECT unnest(quality_flags) AS flag FROM flagged) GROUP BY flag")
 def flag_histogram(spark, d):
-    return facets.flag_histogram(published(spark, d).facts())
+    return facets.flag_histogram(all_lines(spark, d, "quality_flags"))
 
 
 _NOTES = [("pbo_disbursement", 2541, "partial year"), ("pbo_disbursement", None, "amounts in millions"), ("committee_table", None, "scanned"), ("act_2570_draft", 2599, "never used")]

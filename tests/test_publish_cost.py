@@ -19,3 +19,15 @@ def test_bloom_filters_fit_their_row_groups(spark, tmp_path):
     one = published.Published(spark, root)
     some = one.facts().first()["source_id"]
     assert one.by_ids([some]).count() >= 1
+
+
+def test_whole_table_questions_do_not_publish(spark, monkeypatch):
+    from ledgerlens.plans.registry import QUERIES
+
+    def refused(*_):
+        raise AssertionError("published")
+
+    monkeypatch.setattr(standins, "_PUBLISHED", {})
+    monkeypatch.setattr(published, "publish", refused)
+    for name in ("flag_histogram", "price_trend_of_item", "catalog_adaptive_thresholds"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").columns
