@@ -56,20 +56,44 @@ def _first(hits: DataFrame, *order) -> DataFrame:
     return hits.withColumn("__n", F.row_number().over(best)).filter(F.col("__n") == 1).drop("__n")
 
 
+def _most_edits(length: Column) -> Column:
+    """Edits between a name of this length and any that is like it enough; not less, whatever floating point makes of the bound."""
+    return F.floor(F.ceil(length / MIN_SIMILARITY) * (1 - MIN_SIMILARITY) + 1e-6).cast("int")
+
+
+def _near(asked: DataFrame, known: DataFrame, parent: list[str]) -> DataFrame:
+    """key, parent, near, score: the known spellings (spelling, parent) that are like each asked key. Exact, without comparing all with all.
+
+    A spelling is cut into one piece more than it may have edits, so that one of them stands unchanged in whatever is like it, moved by
+    no more places than there are edits. Candidates are looked up by pieces and compared whole.
+    """
+    piece = lambda length, edits, k: (F.floor(length * k / (edits + 1)) + 1).cast("int")
+    cut = known.withColumn("__length", F.length("spelling")).withColumn("__edits", _most_edits(F.col("__length")))
+    cut = cut.withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__edits"))))
+    start, end = piece(F.col("__length"), F.col("__edits"), F.col("__k")), piece(F.col("__length"), F.col("__edits"), F.col("__k") + 1)
+    cut = cut.select("spelling", *parent, "__length", "__k", F.substring("spelling", start, end - start).alias("__piece"))
+    length = F.length("key")
+    # Each edit changes the length by one at most.
+    lengths = F.sequence(F.floor(length * MIN_SIMILARITY).cast("int"), F.ceil(length / MIN_SIMILARITY).cast("int"))
+    look = asked.withColumn("__length", F.explode(lengths)).withColumn("__edits", _most_edits(F.col("__length")))
+    look = look.withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__edits")))).withColumn("__by", F.explode(F.sequence(-F.col("__edits"), F.col("__edits"))))
+    look = look.withColumn("__from", start + F.col("__by")).filter(F.col("__from") >= 1)
+    look = look.select("key", *parent, "__length", "__k", F.substring("key", F.col("__from"), end - start).alias("__piece"))
+    pairs = look.join(cut, [*parent, "__length", "__k", "__piece"]).select("key", *parent, F.col("spelling").alias("near")).distinct()
+    return pairs.withColumn("score", likeness(F.col("key"), F.col("near"))).filter(F.col("score") >= MIN_SIMILARITY)
+
+
 def _step(asked: DataFrame, names: DataFrame, within: bool) -> DataFrame:
     """pair, code, method, score of the asked (pair, key, and parent where ``within``): equal spelling first, likeness for the rest."""
     same = [F.col("key") == F.col("spelling")] + ([F.col("parent") == F.col("ministry_code")] if within else [])
     exact = _first(asked.join(names, same), F.desc("own")).select("pair", "code", F.when(F.col("own"), "exact").otherwise("alias").alias("method"), F.lit(1.0).alias("score"))
     rest = asked.join(exact.select("pair"), "pair", "left_anti").filter(~F.coalesce(F.col("key").rlike("^(" + "|".join(LOCAL_PREFIXES) + ")"), F.lit(False)))
-    # Candidates share the parent, if there is one, and about the length: each edit changes it by one at most.
     parent = ["parent"] if within else []
-    todo, known = rest.select("key", *parent).distinct(), names.withColumn("__length", F.length("spelling"))
-    length = F.length("key")
-    lengths = F.sequence(F.floor(length * MIN_SIMILARITY).cast("int"), F.ceil(length / MIN_SIMILARITY).cast("int"))
-    todo = todo.select("*", F.explode(lengths).alias("__asked"))
-    block = [F.col("__asked") == F.col("__length")] + ([F.col("parent") == F.col("ministry_code")] if within else [])
-    scored = todo.join(known, block).withColumn("score", likeness(F.col("key"), F.col("spelling"))).filter(F.col("score") >= MIN_SIMILARITY)
-    scored = rest.join(scored.select("key", *parent, "code", "score"), ["key", *parent])
+    todo, known = rest.select("key", *parent).distinct(), names.select("spelling", *([F.col("ministry_code").alias("parent")] if within else [])).distinct()
+    near = _near(todo, known, parent)
+    again = [F.col("near") == F.col("spelling")] + ([F.col("parent") == F.col("ministry_code")] if within else [])
+    scored = near.join(names, again).select("key", *parent, "code", "score")
+    scored = rest.join(scored, ["key", *parent])
     return exact.unionByName(_first(scored, F.desc("score")).select("pair", "code", F.lit("fuzzy").alias("method"), "score"))
 
 
