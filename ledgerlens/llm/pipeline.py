@@ -30,7 +30,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays: shingles of five words with a Jaccard similarity of 0.8 or more."""
+    """One document of each class of near-duplicates stays: shingles of five words with a Jaccard similarity of 0.8 or more.
+
+    SimHash fingerprints, searched in BK-trees, give the first links; what lies further apart in bits is found by shared shingles.
+    """
     return simhash_dedup.keep_one(docs, words=5, similarity=0.8)
 
 

@@ -10,11 +10,12 @@ differ, three blocks are made, and members within two bits agree in one of these
 are small, at any size of the input. Trees aren't sent to all executors: all trees together hold all fingerprints, which
 has no bound, so a tree is built and searched in the task of its shard.
 
-``keep_one(docs, words=5, similarity=0.8)`` links texts by the exact Jaccard similarity of their shingles instead, for
-stages that remove near copies. Fingerprints of such pairs lie up to a dozen bits apart, and blocks for such a radius are
-so short that nearly all pairs would meet. So the candidates are found without loss by shared shingles: of n shingles in
-one order, similar sets share one of the first n - ceil(similarity * n) + 1. Shingles that a sample shows to be common go
-last in the order; this decides the work only, not the result. All candidates are verified on their whole shingle sets.
+``keep_one(docs, words=5, similarity=0.8)`` asks of its links an exact Jaccard similarity of the shingles, for stages that
+remove near copies. The same fingerprints (of shingle sets) and trees find the first links, each verified on the whole sets.
+Fingerprints of similar pairs lie up to a dozen bits apart, though, and blocks for such a radius are so short that nearly all
+pairs would meet. So an exact search follows, of pairs that the fingerprints have not joined: of n shingles in one order, similar
+sets share one of the first n - ceil(similarity * n) + 1. Shingles that a sample shows to be common go last in the order;
+this decides the work only, not the result. These candidates are verified too.
 
 Links become classes by repeated minimum over neighbours with pointer jumping; nothing is collected.
 
@@ -28,7 +29,7 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -82,13 +83,23 @@ def fingerprint(text: str | None, words_in_shingle: int = SHINGLE_WORDS) -> int:
     joined, starts, ends = _shingle_bounds(text, words_in_shingle)
     if not starts:
         return 0
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, len(starts), _PIECE):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + _PIECE], ends[at : at + _PIECE], strict=True)], np.uint64)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    ones = np.packbits(2 * counts > len(starts), bitorder="little")
-    return int(ones.view(np.int64)[0])
+    digest = xxhash.xxh64_intdigest
+    pieces = ((starts[at : at + _PIECE], ends[at : at + _PIECE]) for at in range(0, len(starts), _PIECE))
+    return _majority(np.array([digest(joined[a:b], SEED) for a, b in zip(*piece, strict=True)], np.uint64) for piece in pieces)
+
+
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """The SimHash of a set of shingles as a signed 64-bit number; of the empty set 0."""
+    return _majority(shingles[at : at + _PIECE] for at in range(0, len(shingles), _PIECE))
+
+
+def _majority(pieces: Iterable[np.ndarray]) -> int:
+    """The bits that over half the 64-bit hashes have set."""
+    n, counts = 0, np.zeros(64, np.int64)
+    for hashes in pieces:
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
 
 
 def _fingerprints(words: int):
@@ -252,18 +263,18 @@ def common_shingles(docs: DataFrame, text: str, words: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, text: str, words: int, percent: int):
-    """A function of a text: fp (the id of its set of shingles), n (the set's size) and prefix."""
+    """A function of a text: fp (the id of its set of shingles), print (the set's SimHash), n (its size) and prefix."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, words))
 
-    @pandas_udf("fp long, n long, prefix array<long>")
+    @pandas_udf("fp long, print long, n long, prefix array<long>")
     def prefixes(texts: pd.Series) -> pd.DataFrame:
         last, rows = common.value, []
         for t in texts:
             x = shingle_set(t, words)
             often = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] == x if len(last) else np.zeros(len(x), bool)
             length = len(x) - -(-len(x) * percent // 100) + 1 if len(x) else 0
-            rows.append((_set_id(x), len(x), np.concatenate((x[~often], x[often]))[:length]))
-        return pd.DataFrame(rows, columns=["fp", "n", "prefix"])
+            rows.append((_set_id(x), set_fingerprint(x), len(x), np.concatenate((x[~often], x[often]))[:length]))
+        return pd.DataFrame(rows, columns=["fp", "print", "n", "prefix"])
 
     return prefixes
 
@@ -277,9 +288,21 @@ def _may_match(percent: int) -> Column:
     return (F.col("a.fp") != F.col("b.fp")) & ((100 + percent) * shared >= percent * (F.col("a.n") + F.col("b.n")))
 
 
+def near_prints(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of set ids that join the sets with fingerprints (``print``) within the radius; ``sets``: one row each, staged."""
+    firsts = staged(sets.groupBy("print").agg(F.min("fp").alias("first"), F.count(F.lit(1)).alias("sets")))
+    shared = firsts.filter("sets > 1").select("print", "first")
+    shared = F.broadcast(shared) if shared.count() <= NAMED_LIMIT else shared
+    equal = sets.select("print", F.col("fp").alias("b")).join(shared, "print").filter("first <> b").select(F.col("first").alias("a"), "b")
+    near = links(firsts.select(F.col("print").alias("fp")))
+    for side in "ab":
+        near = near.join(firsts.select(F.col("print").alias(side), F.col("first").alias(f"x{side}")), side)
+    return equal.union(near.select(F.least("xa", "xb").alias("a"), F.greatest("xa", "xb").alias("b")))
+
+
 def similar(prints: DataFrame, docs: DataFrame, mark: dict, text: str, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) of set ids with a Jaccard similarity of at least ``percent`` of 100. ``prints`` is staged."""
-    chosen = F.min_by(F.struct("n", "prefix", *mark), F.struct("__crc", "__id"))
+    chosen = F.min_by(F.struct("print", "n", "prefix", *mark), F.struct("__crc", "__id"))
     sets = staged(prints.filter("n > 0").groupBy("fp").agg(chosen.alias("s")).select("fp", "s.*"))
     keyed = sets.select("fp", "n", F.posexplode("prefix").alias("pos", "h"))
     shared = staged(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1"))
@@ -307,15 +330,25 @@ def similar(prints: DataFrame, docs: DataFrame, mark: dict, text: str, words: in
         alike = (100 + percent) * F.size(F.array_intersect("xa", "xb")) >= percent * (F.size("xa") + F.size("xb"))
         return staged(both_sides(pairs, whole, "x").filter(alike).select("a", "b"))
 
+    found = verified(near_prints(sets))
+    joined = connected(found)
+    joined = F.broadcast(joined) if joined.count() <= NAMED_LIMIT else joined
+
+    def apart(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        """Without pairs of sets that links of fingerprints connect."""
+        for side, label in ((a, "label_a"), (b, "label_b")):
+            pairs = pairs.join(joined.select(F.col("node").alias(side), F.col("label").alias(label)), side, "left")
+        return pairs.filter(~F.coalesce(F.col("label_a") == F.col("label_b"), F.lit(False))).drop("label_a", "label_b")
+
     few, many = keyed.filter(F.col("sets") <= STAR_LIMIT), keyed.filter(F.col("sets") > STAR_LIMIT)
     # The centre has the fewest shingles before the shared one: the copied text itself, if it is there.
     centres = staged(many.groupBy("h").agg(F.min(F.struct("pos", "n", "fp")).alias("c")).select("h", "c.*"))
-    out = verified(meet(few, few).union(meet(many, centres)).distinct())
-    # Sets that aren't like the centre of a large group are compared with all of the group.
+    out = found.union(verified(apart(meet(few, few).union(meet(many, centres)).distinct(), "a", "b").select("a", "b")))
+    # Sets that aren't joined to the centre by fingerprints and aren't like the centre of a large group are compared with all of the group.
     centred = out.union(out.select("b", "a")).select(F.col("a").alias("fp"), F.col("b").alias("centre"))
     rest = many.join(centres.select("h", F.col("fp").alias("centre")), "h").filter(F.col("fp") != F.col("centre"))
-    rest = staged(rest.join(centred, ["fp", "centre"], "left_anti").select("h", "fp", "n", "pos"))
-    return out if rest.isEmpty() else out.union(verified(meet(rest, many))).distinct()
+    rest = staged(apart(rest, "fp", "centre").join(centred, ["fp", "centre"], "left_anti").select("h", "fp", "n", "pos"))
+    return out if rest.isEmpty() else out.union(verified(apart(meet(rest, many), "a", "b").select("a", "b"))).distinct()
 
 
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -332,7 +365,7 @@ def keep_one(docs: DataFrame, text: str = "text", words: int = SHINGLE_WORDS, si
     """One document of each class, with all its columns: the smallest doc_id (nulls last), then the smallest text hash.
 
     Classes are those of the fingerprints within the radius, or with ``similarity`` (of two decimals) those that pairs of
-    at least this Jaccard similarity of shingles of ``words`` words connect.
+    at least this Jaccard similarity of shingles of ``words`` words connect: found by fingerprints, then completed.
     The documents that go are looked up by doc_id and text hash; of rows that agree in both, one stays.
     """
     mark = {"__id": F.col("doc_id"), "__crc": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "__none": F.col(text).isNull()}

@@ -2,8 +2,10 @@
 
 import random
 from collections import Counter
+from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import pipeline, simhash_dedup
 from ledgerlens.llm.shared import staged
@@ -46,3 +48,25 @@ def test_near_duplicate_stage(spark):
     assert ids == brute_similar(rows) and ids != {c for _, _, c in brute_classes([(i, brute_fingerprint(t)) for i, t in rows])}
     cut = pipeline.repeated_passages(spark, left, "")
     assert Counter((r["doc_id"], r["text"]) for r in cut.collect()) == Counter(_cut(left.collect()))
+
+
+def test_fingerprints_find_near_copies(spark, monkeypatch):
+    """Fingerprints and trees alone, without the search by shared shingles, join what lies within their radius and is similar."""
+    monkeypatch.setattr(simhash_dedup, "_may_match", lambda percent: F.lit(False))
+    rng = random.Random(4)
+    rows = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(5_000)}" for _ in range(400)]
+        for _ in range(4):
+            rows.append((len(rows) + 1, " ".join(base)))
+            base[rng.randrange(400)] = "new"
+    rows += [(len(rows) + k, "w " * k) for k in (1, 2, 9, 30)]  # one shingle or few, and repeats of one: fingerprints of a set
+    sets = {i: simhash_dedup.shingle_set(t, 5) for i, t in rows}
+    prints = {i: simhash_dedup.set_fingerprint(x) & (1 << 64) - 1 for i, x in sets.items()}
+    label = {i: i for i in sets}
+    for a, b in combinations(sorted(sets), 2):
+        if (prints[a] ^ prints[b]).bit_count() <= 2 and 9 * len(set(sets[a].tolist()) & set(sets[b].tolist())) >= 4 * (len(sets[a]) + len(sets[b])):
+            low, high = sorted((label[a], label[b]))
+            label = {i: low if x == high else x for i, x in label.items()}
+    kept = simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=5, similarity=0.8)
+    assert {r["doc_id"] for r in kept.collect()} == set(label.values()) and len(set(label.values())) < len(rows) - 12
