@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType
 
-from .shared import bound_batches, free_name, release, staged
+from .shared import bound_batches, free_name, release, sieved, staged
 
 RADIUS = 2
 SHINGLE_WORDS = 3
@@ -51,8 +51,11 @@ LEAST_FREE = 6
 COMMON_SAMPLE, COMMON_DOCS = 20_000, 20
 #: A shingle shared by more sets than this is compared with its most central set first.
 STAR_LIMIT = 64
-#: Up to so many candidate sets, the rows that name them are broadcast to find their texts.
+#: Up to so many candidate sets, the rows that name them are broadcast to find their texts; of more, a map of bits is, and only
+#: the texts that pass it are shuffled.
 NAMED_LIMIT = 200_000
+#: Bits of a set's signature: the parity of how many of its shingles fall on each bit.
+SIGNATURE_BITS = 1024
 _PIECE = 1 << 15
 
 
@@ -93,6 +96,12 @@ def set_fingerprint(shingles: np.ndarray) -> int:
     return _majority(shingles[at : at + _PIECE] for at in range(0, len(shingles), _PIECE))
 
 
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """Parities of a set's shingles by SIGNATURE_BITS places (as int64). Two sets differ in as many shingles as their signatures in bits, at least."""
+    odd = np.bincount(shingles & (SIGNATURE_BITS - 1), minlength=SIGNATURE_BITS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def _majority(pieces: Iterable[np.ndarray]) -> int:
     """The bits that over half the 64-bit hashes have set."""
     n, counts = 0, np.zeros(64, np.int64)
@@ -259,22 +268,25 @@ def common_shingles(docs: DataFrame, text: str, words: int) -> np.ndarray:
     share = min(1.0, COMMON_SAMPLE / max(1, docs.count()))
     chosen = docs.filter(F.pmod(F.xxhash64(F.lit(SEED), F.col(text)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     found = chosen.select(F.explode(_shingle_sets(words)(F.col(text))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    return np.sort(found.filter(F.col("n") >= COMMON_DOCS).select("h").toPandas()["h"].to_numpy(np.int64))
+    kept = staged(found.filter(F.col("n") >= COMMON_DOCS).select("h"))
+    hashes = np.sort(kept.toPandas()["h"].to_numpy(np.int64))
+    release(kept)
+    return hashes
 
 
 def _prefixes(docs: DataFrame, text: str, words: int, percent: int):
-    """A function of a text: fp (the id of its set of shingles), print (the set's SimHash), n (its size) and prefix."""
+    """A function of a text: fp (the id of its set of shingles), print (the set's SimHash), n (its size), sig (its signature) and prefix."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, words))
 
-    @pandas_udf("fp long, print long, n long, prefix array<long>")
+    @pandas_udf("fp long, print long, n long, sig array<long>, prefix array<long>")
     def prefixes(texts: pd.Series) -> pd.DataFrame:
         last, rows = common.value, []
         for t in texts:
             x = shingle_set(t, words)
             often = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] == x if len(last) else np.zeros(len(x), bool)
             length = len(x) - -(-len(x) * percent // 100) + 1 if len(x) else 0
-            rows.append((_set_id(x), set_fingerprint(x), len(x), np.concatenate((x[~often], x[often]))[:length]))
-        return pd.DataFrame(rows, columns=["fp", "print", "n", "prefix"])
+            rows.append((_set_id(x), set_fingerprint(x), len(x), signature(x), np.concatenate((x[~often], x[often]))[:length]))
+        return pd.DataFrame(rows, columns=["fp", "print", "n", "sig", "prefix"])
 
     return prefixes
 
@@ -288,6 +300,12 @@ def _may_match(percent: int) -> Column:
     return (F.col("a.fp") != F.col("b.fp")) & ((100 + percent) * shared >= percent * (F.col("a.n") + F.col("b.n")))
 
 
+def _signatures_allow(percent: int, one: str, other: str, n: Column) -> Column:
+    """Whether sets of ``n`` shingles together can be similar by their signatures: an upper bound of what they share, so it loses no pair."""
+    apart = sum((F.bit_count(F.col(one)[k].bitwiseXOR(F.col(other)[k])) for k in range(1, SIGNATURE_BITS // 64)), F.bit_count(F.col(one)[0].bitwiseXOR(F.col(other)[0])))
+    return (100 + percent) * (n - apart) >= 2 * percent * n
+
+
 def near_prints(sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of set ids that join the sets with fingerprints (``print``) within the radius; ``sets``: one row each, staged."""
     firsts = staged(sets.groupBy("print").agg(F.min("fp").alias("first"), F.count(F.lit(1)).alias("sets")))
@@ -300,16 +318,28 @@ def near_prints(sets: DataFrame) -> DataFrame:
     return equal.union(near.select(F.least("xa", "xb").alias("a"), F.greatest("xa", "xb").alias("b")))
 
 
+def _named(rows: DataFrame, wanted: DataFrame, *key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` to look for the keys of ``wanted`` (staged) in, and ``wanted`` as it is to be joined: rows that can't match don't meet a shuffle."""
+    if wanted.count() <= NAMED_LIMIT:
+        return rows, F.broadcast(wanted)
+    return sieved(rows, wanted, *key).filter("__may").drop("__may"), wanted
+
+
 def similar(prints: DataFrame, docs: DataFrame, mark: dict, text: str, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) of set ids with a Jaccard similarity of at least ``percent`` of 100. ``prints`` is staged."""
-    chosen = F.min_by(F.struct("print", "n", "prefix", *mark), F.struct("__crc", "__id"))
+    chosen = F.min_by(F.struct("print", "n", "sig", "prefix", *mark), F.struct("__crc", "__id"))
     sets = staged(prints.filter("n > 0").groupBy("fp").agg(chosen.alias("s")).select("fp", "s.*"))
+    release(prints)
     keyed = sets.select("fp", "n", F.posexplode("prefix").alias("pos", "h"))
     shared = staged(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1"))
-    keyed = staged(keyed.join(shared, "h"))
+    within, few = _named(keyed, shared, "h")
+    keyed = staged(within.join(few, "h"))
+    release(shared)
 
     def meet(a: DataFrame, b: DataFrame) -> DataFrame:
         pairs = a.alias("a").join(b.alias("b"), "h").filter(_may_match(percent))
+        if "sig" in a.columns:
+            pairs = pairs.filter(_signatures_allow(percent, "a.sig", "b.sig", F.col("a.n") + F.col("b.n")))
         return pairs.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct()
 
     def both_sides(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
@@ -318,17 +348,29 @@ def similar(prints: DataFrame, docs: DataFrame, mark: dict, text: str, words: in
         return pairs
 
     def verified(pairs: DataFrame) -> DataFrame:
+        def of_ends(pairs: DataFrame, column: str) -> DataFrame:
+            """``pairs`` with a column of both sets; sets that are in no pair are not moved."""
+            ends = staged(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
+            within, few = _named(sets.select("fp", "n", column), ends, "fp")
+            return both_sides(pairs, staged(within.join(few, "fp", "left_semi")), column)
+
+        # Most candidates go by their short signatures, before the longer prefixes are moved.
+        met = staged(pairs)
+        close = staged(of_ends(met, "sig").filter(_signatures_allow(percent, "xa", "xb", F.col("na") + F.col("nb"))).select("a", "b"))
         # What prefixes don't share can only be shared by what follows one of the two.
         most = F.size(F.array_intersect("xa", "xb")) + F.greatest(F.col("na") - F.size("xa"), F.col("nb") - F.size("xb"))
-        pairs = staged(both_sides(staged(pairs), sets, "prefix").filter((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b"))
+        pairs = staged(of_ends(close, "prefix").filter((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b"))
+        release(met, close)
         asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(sets.select("fp", *mark), "fp")
         asked = staged(asked)
-        asked = F.broadcast(asked) if asked.count() <= NAMED_LIMIT else asked
+        within, few = _named(docs.withColumns(mark), asked, *mark)
         same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in mark]
-        texts = docs.withColumns(mark).alias("l").join(asked.alias("r"), same).select("r.fp", F.col(f"l.{text}").alias("t"))
+        texts = within.alias("l").join(few.alias("r"), same).select("r.fp", F.col(f"l.{text}").alias("t"))
         whole = staged(texts.select("fp", _shingle_sets(words)(F.col("t")).alias("x")).dropDuplicates(["fp"]))
         alike = (100 + percent) * F.size(F.array_intersect("xa", "xb")) >= percent * (F.size("xa") + F.size("xb"))
-        return staged(both_sides(pairs, whole, "x").filter(alike).select("a", "b"))
+        alike_pairs = staged(both_sides(pairs, whole, "x").filter(alike).select("a", "b"))
+        release(pairs, asked, whole)
+        return alike_pairs
 
     found = verified(near_prints(sets))
     joined = connected(found)
@@ -348,7 +390,14 @@ def similar(prints: DataFrame, docs: DataFrame, mark: dict, text: str, words: in
     centred = out.union(out.select("b", "a")).select(F.col("a").alias("fp"), F.col("b").alias("centre"))
     rest = many.join(centres.select("h", F.col("fp").alias("centre")), "h").filter(F.col("fp") != F.col("centre"))
     rest = staged(apart(rest, "fp", "centre").join(centred, ["fp", "centre"], "left_anti").select("h", "fp", "n", "pos"))
-    return out if rest.isEmpty() else out.union(verified(apart(meet(rest, many), "a", "b").select("a", "b"))).distinct()
+    if not rest.isEmpty():
+        # Signatures are compared where the members of a group meet, so that what is written doesn't grow with the square of its size.
+        crowded, signs = staged(rest.select("h").distinct()), sets.select("fp", "sig")
+        within, few = _named(many, crowded, "h")
+        groups = within.join(few, "h", "left_semi").join(signs, "fp")
+        out = out.union(verified(apart(meet(rest.join(signs, "fp"), groups), "a", "b").select("a", "b"))).distinct()
+    release(sets, keyed, centres, rest)
+    return out
 
 
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -379,8 +428,9 @@ def keep_one(docs: DataFrame, text: str = "text", words: int = SHINGLE_WORDS, si
     else:
         bound_batches(docs.sparkSession)
         percent = round(100 * similarity)
-        prints = staged(docs.select(*[c.alias(n) for n, c in mark.items()], _prefixes(docs, text, words, percent)(F.col(text)).alias("p"))).select(*mark, "p.*")
-        of = _classes(prints, similar(prints, docs, mark, text, words, percent))
+        whole = staged(docs.select(*[c.alias(n) for n, c in mark.items()], _prefixes(docs, text, words, percent)(F.col(text)).alias("p"))).select(*mark, "p.*")
+        prints = staged(whole.select(*mark, "fp"))
+        of = _classes(prints, similar(whole, docs, mark, text, words, percent))
     order = F.struct(F.col("__id").isNull().alias("n"), F.col("__id"), F.col("__crc"), F.col("__none"))
     by_fp = prints.groupBy("fp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows"))
     stay = of.join(by_fp, "fp").groupBy("label").agg(F.min("first").alias("s")).select("s.__id", "s.__crc", "s.__none")
@@ -388,14 +438,21 @@ def keep_one(docs: DataFrame, text: str = "text", words: int = SHINGLE_WORDS, si
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in mark]
     judged = staged(rows.alias("l").join(stay.withColumn("__stays", F.lit(True)).alias("r"), same, "left").select("l.*", F.coalesce("r.__stays", F.lit(False)).alias("__stays")))
 
-    def named(wanted: Column) -> DataFrame:
-        few = judged.filter(wanted).select(*mark)
-        return (F.broadcast(few) if few.count() <= NAMED_LIMIT else few).alias("r")
+    marked = docs.withColumns(mark)
+    goes, again = staged(judged.filter(~F.col("__stays")).select(*mark)), F.col("__stays") & (F.col("__rows") > 1)
+
+    def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+        if gone.count() <= NAMED_LIMIT:
+            return rows.alias("l").join(F.broadcast(gone).alias("r"), same, "left_anti")
+        # Only rows that may be among those that go meet a shuffle.
+        told = sieved(rows, gone, *mark)
+        doubtful = told.filter("__may").drop("__may").alias("l").join(gone.alias("r"), same, "left_anti")
+        return told.filter("NOT __may").drop("__may").unionByName(doubtful)
 
-    marked = docs.withColumns(mark).alias("l")
-    left = marked.join(named(~F.col("__stays")), same, "left_anti")
-    again = F.col("__stays") & (F.col("__rows") > 1)
+    left = without(marked, goes)
     if judged.filter(again).isEmpty():
         return left.select(*docs.columns)
-    once = left.join(named(again), same, "left_anti").select(*docs.columns)
-    return once.unionByName(left.join(named(again), same, "left_semi").dropDuplicates(list(mark)).select(*docs.columns))
+    repeated = staged(judged.filter(again).select(*mark))
+    within, few = _named(marked, repeated, *mark)
+    twice = within.alias("l").join(few.alias("r"), same, "left_semi")
+    return without(left, repeated).select(*docs.columns).unionByName(twice.dropDuplicates(list(mark)).select(*docs.columns))
