@@ -35,7 +35,8 @@ def baht(text: Column, factor: int | Column = 1) -> Column:
         return F.when(bracketed != minus, -number).when(bracketed & minus, -number).otherwise(number)
 
     # As the one element of an array the clean text has a name: written out, it would be cleaned anew wherever it is used.
-    value = F.get(F.transform(F.array(clean(text)), signed), F.lit(0))
+    # Plain digits and the dash for nothing are most of what sheets hold: these need none of it.
+    value = F.when(text.rlike(r"^[0-9]+(\.[0-9]*)?$"), text.try_cast(_MONEY)).when(text != "-", F.get(F.transform(F.array(clean(text)), signed), F.lit(0)))
     return round_half_away(value * F.lit(factor).cast("decimal(10,0)")).cast("long")
 
 

@@ -56,11 +56,11 @@ def named_cells(rows: DataFrame, header: tuple[str, ...]) -> DataFrame:
 
 def damaged(columns: tuple[str, ...]) -> Column:
     """Whether any money cell is text, or beyond all bounds."""
-    text = [F.col(c).isNotNull() & (F.trim(F.col(c)) != "-") & F.regexp_replace(F.col(c), ",", "").try_cast("double").isNull() for c in columns]
-    large = [F.coalesce(F.abs(F.regexp_replace(F.col(c), ",", "").try_cast("double")) > MAX_MONEY, F.lit(False)) for c in columns]
     out = F.lit(False)
-    for condition in (*text, *large):
-        out = out | condition
+    for c in columns:
+        number = F.replace(F.col(c), F.lit(","), F.lit("")).try_cast("double")
+        # What is no number has no size to compare: then it is damage if there is a text at all.
+        out = out | F.when(F.trim(F.col(c)) == "-", False).otherwise(F.coalesce(F.abs(number) > MAX_MONEY, F.col(c).isNotNull()))
     return out
 
 
